@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +37,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def set_for(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions within the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Shuffle files go when the action ends: what it wrote is read from the table, never computed again.
+FILES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with set_for(spark, FILES_GO):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
