@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.workspace import new_path, write_table
+from ..functions.workspace import FILES_GO, new_path, set_for, write_table
 
 _END = "\r\n\r\n"
 INDEX = "archive int, page_id long, url string, offset long, length long, digest string, payload_bytes long"
@@ -67,13 +67,14 @@ def _header(length: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(_END))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, min_bytes: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, min_bytes: int = 1000, waves: int = 2) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC archives below ``path``; returns the index as a table.
 
     Rows go to archives of about ``archive_bytes`` by a hash of page_id, ordered by
     page_id within each (repeated page_ids in the order of their digests).  Index
     columns: archive, page_id, url, offset, length (without the closing CR LF CR LF),
-    digest, payload_bytes.  Null html is an empty payload, a null url an empty one.
+    digest, payload_bytes.  ``waves`` divides the payloads that are shuffled at a time
+    (and multiplies scans of ``pages``).  Null html is an empty payload, a null url an empty one.
     """
     spark = pages.sparkSession
     plan = plan_records(pages, min_bytes)
@@ -97,26 +98,26 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, m
         F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int").alias("_archive"),
     )
     # Both sides are dealt by archive, which is enough for the join by archive and page: payloads move once.
-    setting = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        once = index.select("archive", "page_id", "digest", "_k", "head", "refers_to").repartition(archives, "archive")
-        # Rows that repeat page_id and payload are one on this side and as many as they are on the other.
-        distinct = html.repartition(archives, "_archive").dropDuplicates(["_archive", "_page", "_digest"])
-        on = (once["archive"] == distinct["_archive"]) & once["page_id"].eqNullSafe(distinct["_page"]) & (once["digest"] == distinct["_digest"])
-        joined = once.join(distinct.hint("merge"), on)
-        record = F.concat("head", F.when(F.col("refers_to").isNull(), F.col("_html")).otherwise(F.lit("")))
-        (
-            joined.select("archive", "page_id", "digest", "_k", record.alias("value"))
-            .sortWithinPartitions("archive", "page_id", "digest", "_k")
-            .select("archive", "value")
-            .write.partitionBy("archive")
-            .option("lineSep", _END)
-            .text(path)
-        )
-    finally:
-        spark.conf.set(setting, before)
+    # Archives are written in waves, so that only a wave's payloads lie in shuffle files at a time.
+    with set_for(spark, FILES_GO | {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        for wave in range(waves):
+            of_wave = F.pmod(F.col("archive"), F.lit(waves)) == wave
+            once = index.where(of_wave).select("archive", "page_id", "digest", "_k", "head", "refers_to").repartition(archives, "archive")
+            # Rows that repeat page_id and payload are one on this side and as many as they are on the other.
+            distinct = html.withColumnRenamed("_archive", "archive").where(of_wave).withColumnRenamed("archive", "_archive")
+            distinct = distinct.repartition(archives, "_archive").dropDuplicates(["_archive", "_page", "_digest"])
+            on = (once["archive"] == distinct["_archive"]) & once["page_id"].eqNullSafe(distinct["_page"]) & (once["digest"] == distinct["_digest"])
+            joined = once.join(distinct.hint("merge"), on)
+            record = F.concat("head", F.when(F.col("refers_to").isNull(), F.col("_html")).otherwise(F.lit("")))
+            (
+                joined.select("archive", "page_id", "digest", "_k", record.alias("value"))
+                .sortWithinPartitions("archive", "page_id", "digest", "_k")
+                .select("archive", "value")
+                .write.mode("append")
+                .partitionBy("archive")
+                .option("lineSep", _END)
+                .text(path)
+            )
     return index.select("archive", "page_id", "url", "offset", "length", "digest", "payload_bytes")
 
 
