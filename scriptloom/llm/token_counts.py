@@ -39,7 +39,7 @@ class Transducer:
     def __init__(self, tokenizer_json: dict):
         model = tokenizer_json["model"]
         self._suffix = model["end_of_word_suffix"] or ""
-        chars = _byte_chars()
+        chars = byte_chars()
         code = {c: b for b, c in chars.items()}
         # Symbols 0-255 are bytes, 256-511 bytes that end a word.
         self._rank: dict[tuple, tuple[int, tuple]] = {}
@@ -139,7 +139,7 @@ class Transducer:
         return total + (step.get(state << 9 | s) or self._build(state, s))[1]
 
 
-def _byte_chars() -> dict[int, str]:
+def byte_chars() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     free = iter(range(256, 512))
@@ -175,7 +175,7 @@ class CompiledTokenizer:
             return self._split.findall(text.lower())
         normal = self._library.normalizer.normalize_str(text)
         # The second step of the splitter maps bytes to characters; the first alone gives the words' places.
-        chars = {c: b for b, c in _byte_chars().items()}
+        chars = {c: b for b, c in byte_chars().items()}
         pieces = self._library.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(chars[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in pieces]
 
