@@ -45,42 +45,39 @@ class BKForest:
         order = np.argsort(key, kind="stable")
         self._key, self._child = key[order], child[order]
 
-    def search(self, fingerprints: np.ndarray, groups: np.ndarray, radius: int, frontier: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, fingerprints: np.ndarray, groups: np.ndarray, radius: int, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays (query, node) within ``radius``, of each query in its group's tree.
 
-        Only edges from distance - radius to distance + radius are followed.  The
-        frontier is worked off in slices, so memory stays bounded.
+        Only edges from distance - radius to distance + radius are followed.  Ranges of
+        children are kept and opened ``frontier`` nodes at a time, depth first, so memory
+        is bounded by frontier x depth.
         """
         fp = np.asarray(fingerprints, np.uint64)
         root = np.array([self.roots.get(g, -1) for g in np.asarray(groups).tolist()], np.int64)
         has = np.flatnonzero(root >= 0)
-        stack = [(has[i : i + frontier], root[has[i : i + frontier]]) for i in range(0, len(has), frontier)]
-        while stack:
-            q, node = stack.pop()
-            if len(q) > frontier:
-                stack.append((q[frontier:], node[frontier:]))
-                q, node = q[:frontier], node[:frontier]
-            d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
-            near = d <= radius
-            if near.any():
-                yield q[near], node[near]
-            lo = np.searchsorted(self._key, node * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self._key, node * 65 + np.minimum(d + radius, 64), "right")
-            n = hi - lo
-            total = int(n.sum())
-            if not total:
-                continue
-            # Expand in parts of at most ``frontier`` children, or one node's children.
-            ends = np.cumsum(n)
-            first = 0
-            while first < len(q):
-                base = ends[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, base + frontier, "right")))
-                m = n[first:last]
-                at = np.repeat(lo[first:last] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(int(m.sum()))
-                if len(at):
-                    stack.append((np.repeat(q[first:last], m), self._child[at]))
-                first = last
+        for start in range(0, len(has), frontier):
+            q = has[start : start + frontier]
+            visited = [(q, root[q])]
+            waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            while visited or waiting:
+                if not visited:
+                    q, lo, n = waiting.pop()
+                    ends = np.cumsum(n)
+                    first = max(1, int(np.searchsorted(ends, frontier, "right")))
+                    if first < len(q):
+                        waiting.append((q[first:], lo[first:], n[first:]))
+                    q, lo, n = q[:first], lo[:first], n[:first]
+                    at = np.repeat(lo - np.r_[0, ends[: first - 1]], n) + np.arange(int(ends[first - 1]))
+                    visited.append((np.repeat(q, n), self._child[at]))
+                q, node = visited.pop()
+                d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
+                near = d <= radius
+                if near.any():
+                    yield q[near], node[near]
+                lo = np.searchsorted(self._key, node * 65 + np.maximum(d - radius, 0), "left")
+                n = np.searchsorted(self._key, node * 65 + np.minimum(d + radius, 64), "right") - lo
+                if (some := n > 0).any():
+                    waiting.append((q[some], lo[some], n[some]))
 
 
 class Union:
