@@ -154,8 +154,8 @@ def train(labelled: DataFrame, dimension: int = 1024, seed: int = 7) -> dict[str
     return found
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int = 1024, seed: int = 7) -> DataFrame:
-    """``docs`` (text and any other columns) with lang_pred and score added.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int = 1024, seed: int = 7, drop_text: bool = False) -> DataFrame:
+    """``docs`` (text and any other columns) with lang_pred and score added; without its text on demand.
 
     The nearest prototype's language and its cosine, kept in 0..1; ties go to the
     first language by name.  ``und`` and 0 for a text that is null or has no letters,
@@ -180,12 +180,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int =
                 has = [n > 0 or bool(t) and any(c.isalpha() for c in t) for n, t in zip(norms, texts)]
                 names += [langs[b] if h else UNDETERMINED for b, h in zip(best, has)]
                 scores += [float(min(1.0, max(0.0, cosine[j, b]))) if h else 0.0 for j, (b, h) in enumerate(zip(best, has))]
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"])
+            kept = [c for c in batch.schema.names if not (drop_text and c == "text")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    fields = [f for f in docs.schema.fields if not (drop_text and f.name == "text")]
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(guess, schema)
 
@@ -199,4 +199,20 @@ def identify(docs: DataFrame, dimension: int = 1024, seed: int = 7) -> DataFrame
     """doc_id, held_out, lang_pred, score of each row of ``docs`` (doc_id, text, lang), learned from those not held out."""
     slim = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     prototypes = train(slim.where("NOT held_out"), dimension, seed)
-    return predict(slim.select("doc_id", "held_out", "text"), prototypes, dimension, seed)
+    return predict(slim.select("doc_id", "held_out", "text"), prototypes, dimension, seed, drop_text=True)
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.2, min_chars: int = 400, dimension: int = 1024, seed: int = 7) -> DataFrame:
+    """``docs`` (doc_id, text, lang and any other columns) without those of no language.
+
+    Rejected are texts that are null or have no letters, and texts of at least
+    ``min_chars`` characters whose score is under ``min_score``: they resemble no learned
+    language.  (The score of a short text says little.)  If nothing can be learned, only
+    the former go.
+    """
+    prototypes = train(docs.where(~held_out(F.col("doc_id"))), dimension, seed)
+    own = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
+    found = predict(own.drop(f"_{docs.columns.index('text')}"), prototypes, dimension, seed)
+    few = (F.length("text") >= min_chars) & (F.col("score") < min_score) if prototypes else F.lit(False)
+    found = found.where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~few)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

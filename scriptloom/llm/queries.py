@@ -16,6 +16,15 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of all documents by temperature, with no source read more than four times."""
+    from .mixing import schedule
+
+    plan = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), repetition_limit=4.0)
+    return plan.select("doc_id", "source", "n_tokens", "epoch", "place")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -38,6 +47,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row for each row whose id is divisible by 20."""
+    from .permutation_index import nearest_neighbours
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose fingerprints differ in at most 3 bits."""
@@ -47,6 +65,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to equal or similar ones."""
+    from .line_dedup import line_report
+
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 ids."""
@@ -64,6 +90,34 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op9_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all embeddings with a cosine of at least 0.9."""
+    from .epsilon_join import cosine_components
+
+    return cosine_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+ORACLES["op9_epsilon_join"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), ok AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_inner_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id AS vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links,
+       (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(b) FROM reach WHERE reach.a = e.vec_id) AS kept
+FROM e
+"""
+
+
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back by the index."""

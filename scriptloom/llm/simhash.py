@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import shuffle_partitions, write_table
@@ -88,14 +88,14 @@ def near_links(fps: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> D
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_units(batches, 1 << 18):
+        for part in whole_units(batches, 1 << 18):
             yield from _link_units(part, radius)
 
     n = shuffle_partitions(fps.sparkSession)
     return units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp").mapInArrow(link, "a long, b long")
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, np.ndarray]]:
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, np.ndarray]]:
     """Sorted batches joined to parts of about ``rows`` rows that end where a unit (shard, i, j) ends."""
     held: list[dict[str, np.ndarray]] = []
     count = 0
@@ -151,3 +151,16 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     named = reached.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("component_id"))
     of_class = reached.join(named, reached["component"] == named["_c"]).select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(of_class, rows["fp"] == of_class["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns): of each component the document with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays.  Rows with a null doc_id are kept as
+    they are: nothing tells which of them to keep.
+    """
+    found = simhash_components(docs, width, radius)
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # The window needs no other exchange than the join.
+    stay = docs.join(keep, "doc_id", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return stay.where("_k = 1").select(*docs.columns).union(docs.where("doc_id IS NULL"))
