@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("scriptloom.plans.statistics",)
+_MODULES = ("scriptloom.plans.statistics", "scriptloom.plans.quality", "scriptloom.plans.relational")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
