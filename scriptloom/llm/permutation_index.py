@@ -15,29 +15,31 @@ from .vectors import is_valid, matrix, sample, width_of
 
 
 class PermutationBlock:
-    """Inverted files of one block of vectors: for each pivot, the vectors that have it among their ``prefix`` nearest, with its rank."""
+    """Inverted files of one block of vectors: for each pivot, at what rank each vector has it, ``prefix`` if it is not among its nearest.
+
+    With half of the pivots in a prefix half of all entries are there, so files are dense
+    bytes: they are read in order, without places of vectors.
+    """
 
     def __init__(self, near: np.ndarray, pivots: int):
-        n, self.prefix = near.shape
-        flat = near.ravel()
-        order = np.argsort(flat, kind="stable")
-        self.rows = n
-        self.posting = (order // self.prefix).astype(np.int32)
-        self.rank = (order % self.prefix).astype(np.int32)
-        self.start = np.searchsorted(flat[order], np.arange(pivots + 1))
-
-    def closeness(self, query: np.ndarray) -> np.ndarray:
-        """What the footrule distance falls short of its maximum, for each vector.
-
-        With absent pivots at rank ``prefix`` the distance of two prefixes is a constant
-        less 2 x (prefix - larger rank) for each pivot in both: only the inverted files
-        of the query's own pivots are read.
+        self.rows, self.prefix = near.shape
+        self.files = np.full((pivots, self.rows), self.prefix, np.uint8)
+        self.files[near.T, np.arange(self.rows)[None, :]] = np.arange(self.prefix, dtype=np.uint8)[:, None]
+        self._larger, self._sum = np.empty(self.rows, np.uint8), np.empty(self.rows, np.uint16)
+
+    def distance(self, query: np.ndarray) -> np.ndarray:
+        """Half the footrule distance of two prefixes, less what is the same for all vectors.
+
+        With absent pivots at rank ``prefix`` the distance is a constant less
+        2 x (prefix - larger rank) for each pivot in both: only the files of the query's
+        own pivots are read.
         """
-        score = np.zeros(self.rows, np.int32)
+        total = self._sum
+        total[:] = 0
         for rank, pivot in enumerate(query.tolist()):
-            s, e = self.start[pivot], self.start[pivot + 1]
-            score[self.posting[s:e]] += self.prefix - np.maximum(self.rank[s:e], rank)
-        return score
+            np.maximum(self.files[pivot], np.uint8(rank), out=self._larger)
+            np.add(total, self._larger, out=total)
+        return total
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
 
 def nearest_neighbours(
     vectors: DataFrame, queries: Column, k: int = 20, row_id: str = "vec_id", embedding: str = "embedding",
-    pivots: int = 256, prefix: int = 128, share: float = 0.2, least: int = 200, block_rows: int = 8192, query_rows: int = 1024,
+    pivots: int = 256, prefix: int = 128, share: float = 0.1, least: int = 200, block_rows: int = 8192, query_rows: int = 1024,
 ) -> DataFrame:
     """The ``k`` rows of largest inner product with each row of ``vectors`` for which ``queries`` holds, itself left out.
 
@@ -74,6 +76,8 @@ def nearest_neighbours(
     drawn = np.unique(np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in fit]).reshape(-1, width), axis=0)
     drawn = drawn[np.random.default_rng(5).permutation(len(drawn))[:pivots]]
     prefix = min(prefix, len(drawn))
+    if prefix > 250:
+        raise ValueError("prefix must be at most 250")
 
     def lifted(x: np.ndarray) -> np.ndarray:
         x = x / longest
@@ -121,12 +125,12 @@ def nearest_neighbours(
                 ids, q_ids = np.array(value("ids").as_py()), value("q_ids").as_py()
                 files = PermutationBlock(array("near", np.uint16, prefix), len(pivot))
                 most = min(len(ids), max(least, k + 1, int(np.ceil(share * len(ids)))))
+                place = np.arange(len(ids))
                 out_q, out_i, out_s = [], [], []
                 for one, own, near in zip(q, q_ids, array("q_near", np.uint16, prefix)):
-                    close = files.closeness(near).astype(np.int64)
                     # Rows are in the order of their ids: the place breaks ties.
-                    key = close * len(ids) + np.arange(len(ids) - 1, -1, -1)
-                    chosen = np.argpartition(-key, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
+                    key = files.distance(near).astype(np.int64) * len(ids) + place
+                    chosen = np.argpartition(key, most - 1)[:most] if most < len(ids) else place
                     chosen = chosen[ids[chosen] != own]
                     score = np.einsum("ij,j->i", x[chosen], one)
                     best = np.lexsort((ids[chosen], -score))[:k]
