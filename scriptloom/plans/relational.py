@@ -25,7 +25,13 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+#: The texts by name, which are a corpus of scripts themselves.
+SCRIPTS: dict[str, str] = {}
+
+
 def _add(name: str, sql: str, oracle: str | None = None) -> None:
+    SCRIPTS[name] = sql
+
     @query(name, oracle or sql)
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run_sql(spark, sf_dir, sql)
