@@ -197,7 +197,7 @@ def cosine_components(vectors: DataFrame, row_id: str = "vec_id", embedding: str
     sequence = ordered.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep").drop("cell")
     made = write_table(sequence.mapInArrow(blocks, f"block long, x binary, ids array<{kind}>, n array<long>, lo array<double>, hi array<double>"), "vector-blocks")
     meta = sorted((r["block"], r["lo"], r["hi"]) for r in made.select("block", "lo", "hi").collect())
-    corners = [np.array([m[i] for m in meta]).reshape(len(meta), -1) for i in (1, 2)]
+    corners = [np.array([m[i] for m in meta]) for i in (1, 2)]
     names = [m[0] for m in meta]
     runs = interval_pairs(*corners, epsilon) if meta else []
     pairs = spark.createDataFrame([(names[i], names[a:b]) for i, a, b in runs], "left long, partners array<long>").select("left", F.explode("partners").alias("right"))

@@ -118,9 +118,10 @@ def schedule(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``schedule`` reads it (its columns only; rows that it never reads go)."""
     readings = schedule(docs, **options).groupBy("doc_id", "text_key", "source").agg(F.count(F.lit(1)).alias("_n"))
-    same = docs.groupBy(F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.col("source").cast("string").alias("_src")).agg(F.count(F.lit(1)).alias("_rows"))
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("source").cast("string").alias("src"))
+    same = packed.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_text"), F.col("src").alias("_src")).agg(F.count(F.lit(1)).alias("_rows"))
     per_row = readings.join(same, readings["doc_id"].eqNullSafe(same["_doc"]) & (readings["text_key"] == same["_text"]) & readings["source"].eqNullSafe(same["_src"]))
-    per_row = per_row.select("_doc", "_text", "_src", F.floor(F.col("_n") / F.col("_rows")).cast("int").alias("_times"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(per_row["_doc"]) & (keyed["_key"] == per_row["_text"]) & keyed["source"].cast("string").eqNullSafe(per_row["_src"])
-    return keyed.join(per_row, on).where("_times > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    per_row = per_row.select("_doc", "_text", "_src", F.floor(F.col("_n") / F.col("_rows")).cast("int").alias("times"))
+    on = packed["doc_id"].eqNullSafe(per_row["_doc"]) & (packed["key"] == per_row["_text"]) & packed["src"].eqNullSafe(per_row["_src"])
+    read = packed.join(per_row, on).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return read.select(*[F.col("row")[c].alias(c) for c in docs.columns])

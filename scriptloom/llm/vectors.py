@@ -27,7 +27,7 @@ def matrix(column, width: int) -> np.ndarray:
 
 
 def width_of(valid: DataFrame, embedding: str) -> int:
-    return valid.agg(F.max(F.size(embedding))).first()[0] or 0
+    return valid.agg(F.max(F.size(embedding))).first()[0] or 1
 
 
 def sample(valid: DataFrame, row_id: str, columns: list[str], rows: int) -> list:
