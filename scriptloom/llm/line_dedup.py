@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,20 @@ from .bk_tree import BKForest, Union
 from .components import connected_components
 from .simhash import near_links, whole_units
 
-_WORD = re.compile(r"[^\W_]+")
+#: ASCII characters other than letters and digits end a word; lines end at the line feed.
+_BREAKS = bytes(c if c > 127 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
+#: Bits of a byte in eight byte-wide counters.
+_SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 #: Lines of one unit of comparison at most.
 UNIT_ROWS = 2048
+#: Bits of the filter for lines that may need their text.
+FILTER_BITS = 24
 
 
 class _WordHashes(dict):
     """XXH64 of words, computed once each while there is room."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 300_000:
@@ -33,23 +38,32 @@ class _WordHashes(dict):
         return h
 
 
-def normalise(line: str) -> str:
-    """Words (runs of letters and digits) of a line in lower case, joined by one space."""
-    return " ".join(_WORD.findall(line.lower()))
+def line_words(text: str) -> list[list[bytes]]:
+    """Words of each line of a text: runs of ASCII letters and digits and of other characters beyond ASCII, in lower case."""
+    return [x.split() for x in text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split(b"\n")]
 
 
-def line_simhashes(word_lists: list[list[str]], hashes: dict) -> np.ndarray:
-    """SimHash over the words of each (non-empty) line, repeats included."""
-    flat = np.array([hashes[w] for words in word_lists for w in words], np.uint64)
-    starts = np.cumsum([0, *[len(w) for w in word_lists[:-1]]])
-    sizes = np.diff(np.r_[starts, len(flat)])
+def line_simhashes(word_lists: list[list[bytes]], hashes: dict) -> np.ndarray:
+    """SimHash over the distinct words of over 3 bytes of each (non-empty) line, or over all of them if it has none
+    such: neither a language's shortest words nor a word said over and over make lines alike.
+
+    Bits are counted in bytes, eight to a number, over runs of up to 255 words.
+    """
+    long_words = [{x for x in w if len(x) > 3} or set(w) for w in word_lists]
+    sizes = np.array([len(w) for w in long_words])
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(long_words)), np.uint64, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    runs = -(-sizes // 255)
+    run_line = np.repeat(np.arange(len(sizes)), runs)
+    run_first = np.cumsum(runs) - runs
+    run_starts = starts[run_line] + 255 * (np.arange(len(run_line)) - run_first[run_line])
     out = np.zeros(len(word_lists), np.uint64)
-    for bit in range(0, 64, 8):
-        part = (flat >> np.uint64(bit) & np.uint64(255)).astype(np.uint8)
-        bits = np.unpackbits(part[:, None], axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    octets = flat.view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        counts = np.add.reduceat(_SPREAD[octets[:, k]], run_starts).view(np.uint8).reshape(-1, 8)
+        votes = np.add.reduceat(counts.astype(np.int32), run_first, axis=0) if len(run_line) > len(sizes) else counts.astype(np.int32)
         packed = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little")[:, 0]
-        out |= packed.astype(np.uint64) << np.uint64(bit)
+        out |= packed.astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
@@ -94,38 +108,43 @@ def edit_distance(a: str, b: str, most: int) -> int:
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edit distance / longer length is at least ``similarity``."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    v, w = a.split(" "), b.split(" ")
+    # Replacing word by word is one way to edit: if it is short enough the distance is.
+    if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= most:
+        return True
     return edit_distance(a, b, most) <= most
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, text_key, line, key, sim, norm of each line of at least ``min_chars`` normalised characters."""
+def lines_of(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """doc_id, text_key, line, key, sim, norm of each line of at least ``min_bytes`` normalised bytes, and for each
+    document a row with line -1 and its number of lines in ``n_lines``."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
-            texts = batch.column("text").to_pylist()
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             rows: list[tuple] = []
-            words: list[list[str]] = []
+            words: list[list[bytes]] = []
+            counts: list[int] = []
 
             def flush() -> pa.RecordBatch:
-                sims = line_simhashes(words, hashes).view(np.int64)
-                doc, text_key, line, key, norm = zip(*rows)
-                arrays = [pa.array(doc, batch.schema.field("doc_id").type), pa.array(text_key, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.binary()), pa.array(sims), pa.array(norm, pa.string())]  # noqa: B023
+                sims = pa.array(line_simhashes(words, hashes).view(np.int64))
+                doc, line, key, norm = zip(*rows)
+                at = pa.array(doc, pa.int32())
+                arrays = [ids.take(at), keys.take(at), pa.array(line, pa.int32()), pa.array(key, pa.binary()), sims, pa.array(norm, pa.binary()).cast(pa.string()), pa.nulls(len(rows), pa.int64())]  # noqa: B023
                 rows.clear()  # noqa: B023
                 words.clear()  # noqa: B023
-                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "line", "key", "sim", "norm"])
+                return pa.RecordBatch.from_arrays(arrays, names=_LINE_COLUMNS)
 
             held = 0
-            for d, k, t in zip(ids, keys, texts):
-                for i, x in enumerate(t.split("\n") if t else ()):
-                    if len(x) < min_chars:
-                        continue
-                    w = _WORD.findall(x.lower())
-                    norm = " ".join(w)
-                    if len(norm) < min_chars:
+            for d, t in enumerate(batch.column("text").to_pylist()):
+                found = line_words(t) if t else []
+                counts.append(len(found))
+                for i, w in enumerate(found):
+                    norm = b" ".join(w)
+                    if len(norm) < min_bytes:
                         continue
-                    rows.append((d, k, i, hashlib.md5(norm.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest(), norm))
+                    rows.append((d, i, hashlib.md5(norm, usedforsecurity=False).digest(), norm))
                     words.append(w)
                     held += len(w)
                     if held > 200_000:
@@ -133,10 +152,31 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
                         held = 0
             if rows:
                 yield flush()
+            n = len(counts)
+            arrays = [ids, keys, pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=_LINE_COLUMNS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, sim long, norm string")
+    return slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, sim long, norm string, n_lines long")
+
+
+_LINE_COLUMNS = ["doc_id", "text_key", "line", "key", "sim", "norm", "n_lines"]
+
+
+def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``key`` may be among ``wanted`` (column ``_key``), and few others.
+
+    The filter is a bitmap of 2**FILTER_BITS bits, sent as at most 2**(FILTER_BITS - 6)
+    rows of 64 bits however many keys there are; more keys only let more rows pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(1 << FILTER_BITS))
+    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: place(c).bitwiseAND(F.lit(63)).cast("int")
+    spots = wanted.select(word("_key").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit("_key")).alias("_bit"))
+    words = spots.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    on = word(key) == F.col("_word")
+    hit = F.call_function("shiftrightunsigned", F.col("_bits"), bit(key)).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(words), on).where(hit).drop("_word", "_bits")
 
 
 def _verified(lines: DataFrame, classes: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -150,7 +190,8 @@ def _verified(lines: DataFrame, classes: DataFrame, radius: int, similarity: flo
     active = classes.join(grouped, classes["sim"] == grouped["_sim"]).select("group", "sim", "key", "first")
     sizes = active.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
     dealt = active.join(sizes, active["group"] == sizes["_group"]).withColumn("units", F.ceil(F.col("_n") / UNIT_ROWS).cast("int"))
-    wanted = dealt.select("group", "units", F.col("key").alias("_key"), "first")
+    wanted = write_table(dealt.select("group", "units", F.col("key").alias("_key"), "first"), "active-lines")
+    lines = may_hold(lines, "key", wanted)
     on = (lines["key"] == wanted["_key"]) & (lines["line"] == wanted["first.line"]) & (lines["text_key"] == wanted["first.text_key"]) & lines["doc_id"].eqNullSafe(wanted["first.doc_id"])
     texts = lines.join(wanted, on).select("group", "units", "key", "sim", "norm")
     mine = F.pmod(F.xxhash64("key", F.lit(3)), F.col("units")).cast("int")
@@ -185,29 +226,31 @@ def _verified(lines: DataFrame, classes: DataFrame, radius: int, similarity: flo
     return units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "key").mapInArrow(verify, "a binary, b binary")
 
 
-def removed_lines(docs: DataFrame, radius: int = 3, similarity: float = 0.9, min_chars: int = 16) -> DataFrame:
-    """doc_id, text_key, removed (line numbers from 0, sorted) of the documents that lose lines; see ``dedup_lines``."""
-    lines = write_table(lines_of(docs, min_chars), "lines")
+def removed_lines(docs: DataFrame, radius: int = 3, similarity: float = 0.9, min_bytes: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Of the documents that lose lines: doc_id, text_key, removed (line numbers from 0, sorted); and doc_id,
+    text_key, n_lines of each document; see ``dedup_lines``."""
+    written = write_table(lines_of(docs, min_bytes), "lines")
+    lines = written.where("line >= 0").drop("n_lines")
     classes = write_table(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")), "line-classes")
     reached = connected_components(_verified(lines, classes, radius, similarity))
-    joined = classes.join(reached, classes["key"] == reached["node"], "left").select("key", "first", "n", F.coalesce("component", "key").alias("group"), F.col("component").isNotNull().alias("linked"))
-    joined = write_table(joined, "line-groups")
-    keepers = joined.where("linked").groupBy(F.col("group").alias("_group")).agg(F.min("first").alias("keep"))
-    # Lines that are alone stay; for the others the group's first occurrence is looked up.
-    repeated = joined.where("linked OR n > 1").join(keepers, joined["group"] == keepers["_group"], "left").select(F.col("key").alias("_key"), F.coalesce("keep", "first").alias("keep"))
+    joined = classes.join(reached, classes["key"] == reached["node"], "left").where("component IS NOT NULL OR n > 1")
+    repeated = write_table(joined.select("key", "first", F.coalesce("component", "key").alias("group")), "line-groups")
+    keepers = repeated.groupBy(F.col("group").alias("_group")).agg(F.min("first").alias("keep"))
+    # Lines that are alone stay; of the others the group's first occurrence does.
+    kept = repeated.join(keepers, repeated["group"] == keepers["_group"]).select(F.col("key").alias("_key"), "keep")
     slim = lines.select("doc_id", "text_key", "line", "key")
-    gone = slim.join(repeated, slim["key"] == repeated["_key"]).where(
+    gone = slim.join(kept, slim["key"] == kept["_key"]).where(
         ~((F.col("line") == F.col("keep.line")) & (F.col("text_key") == F.col("keep.text_key")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
     )
     # A document's own lines meet in one task, as they do in its text.
-    return write_table(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    removed = write_table(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    return removed, written.where("line = -1").select("doc_id", "text_key", "n_lines")
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines of each row of ``docs``; see ``dedup_lines`` for the rules and ``options``."""
-    gone = removed_lines(docs, **options).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "removed")
-    text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.when(text == "", 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"))
+    gone, slim = removed_lines(docs, **options)
+    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "removed")
     on = slim["doc_id"].eqNullSafe(gone["_doc"]) & (slim["text_key"] == gone["_text"])
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return slim.join(gone, on, "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
@@ -216,18 +259,20 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the lines that repeat others.
 
-    Lines are compared in lower case by their words.  Lines of fewer than ``min_chars``
-    (16) normalised characters are left alone.  Two different lines are linked if their
+    Lines are compared in lower case by their words, which ASCII characters other than
+    letters and digits end.  Lines of fewer than ``min_bytes`` (16) normalised bytes are
+    left alone.  Two different lines are linked if their
     64-bit SimHashes over words differ in at most ``radius`` (3) bits and 1 - edit
     distance / longer length is at least ``similarity`` (0.9).  Of all lines that links
     or equality join, the occurrence with the smallest (doc_id, hash of the text, line
     number) stays.  A document that loses all its lines goes; a null or empty text is
     left as it is.  Rows that repeat doc_id and text lose the same lines.
     """
-    gone = removed_lines(docs, **options).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "removed")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_key"] == gone["_text"])
+    gone = removed_lines(docs, **options)[0].select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "removed")
+    # Whatever the columns are called, they travel in one.
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    joined = packed.join(gone, packed["doc_id"].eqNullSafe(gone["_doc"]) & (packed["key"] == gone["_text"]), "left")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
-    joined = keyed.join(gone, on, "left").withColumn("_left", F.when(F.col("removed").isNotNull(), left))
-    kept = joined.where("removed IS NULL OR size(_left) > 0")
-    return kept.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))).select(*docs.columns)
+    kept = joined.withColumn("left", F.when(F.col("removed").isNotNull(), left)).where("removed IS NULL OR size(left) > 0")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
+    return kept.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

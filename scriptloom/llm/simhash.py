@@ -115,16 +115,42 @@ def whole_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[s
         yield {c: np.concatenate([p[c] for p in held]) for c in held[0]}
 
 
+def near_pairs(fp: np.ndarray, unit: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (asking, in tree) of one unit within ``radius``; a pair may come several times.
+
+    The rows of a shard agree in one block of bits, so in one of radius + 1 parts of the
+    other bits too: each part deals a unit's rows to smaller trees, and rows that are
+    alone there are left out.
+    """
+    blocks = radius + 1
+    width = 64 // blocks
+    if 64 % blocks:
+        parts = [np.zeros(len(fp), np.uint64)]
+    else:
+        turn = ((shard >> 40) + 1).astype(np.uint64) * np.uint64(width) % np.uint64(64)
+        rest = fp >> turn | fp << (np.uint64(64) - turn) % np.uint64(64)  # the shard's own block is on top
+        bits = (64 - width) // blocks
+        ends = [*range(0, bits * blocks, bits), 64 - width]
+        parts = [rest >> np.uint64(s) & np.uint64((1 << (e - s)) - 1) for s, e in zip(ends, ends[1:])]
+    for part in parts:
+        cell = unit.astype(np.uint64) << np.uint64(32) | part if int(part.max(initial=0)) < 1 << 32 else None
+        order = np.lexsort((part, unit)) if cell is None else np.argsort(cell)
+        first = np.r_[True, (unit[order][1:] != unit[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        sizes = np.diff(np.r_[np.flatnonzero(first), len(order)])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        busy = sizes[group] > 1
+        inside, own = np.flatnonzero(in_tree & busy), np.flatnonzero(asks & busy)
+        if len(inside) and len(own):
+            for q, node in BKForest(fp[inside], group[inside]).search(fp[own], group[own], radius):
+                yield own[q], inside[node]
+
+
 def _link_units(part: dict[str, np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     fp = part["fp"].astype(np.int64)
-    change = np.r_[False, (part["shard"][1:] != part["shard"][:-1]) | (part["i"][1:] != part["i"][:-1]) | (part["j"][1:] != part["j"][:-1])]
-    unit = np.cumsum(change)
-    inside, asks = np.flatnonzero(part["in_tree"]), np.flatnonzero(part["asks"])
-    forest = BKForest(fp[inside].view(np.uint64), unit[inside])
     union = Union(len(fp))
     found: list[tuple[int, int]] = []
-    for q, node in forest.search(fp[asks].view(np.uint64), unit[asks], radius):
-        a, b = asks[q], inside[node]
+    for a, b in near_pairs(fp.view(np.uint64), units_of(part), part["shard"], part["in_tree"], part["asks"], radius):
         other = a != b
         found += union.join_all(a[other], b[other])
     if found:
@@ -132,6 +158,11 @@ def _link_units(part: dict[str, np.ndarray], radius: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=["a", "b"])
 
 
+def units_of(part: dict[str, np.ndarray]) -> np.ndarray:
+    """The number of the unit that each of the sorted rows belongs to."""
+    return np.cumsum(np.r_[False, (part["shard"][1:] != part["shard"][:-1]) | (part["i"][1:] != part["i"][:-1]) | (part["j"][1:] != part["j"][:-1])])
+
+
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp, component_id of each row of ``docs`` (doc_id, text).
 
@@ -161,6 +192,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFr
     """
     found = simhash_components(docs, width, radius)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
     # The window needs no other exchange than the join.
-    stay = docs.join(keep, "doc_id", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return stay.where("_k = 1").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    stay = packed.join(keep, "doc_id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
+    kept = stay.where("k = 1").select("row").union(packed.where("doc_id IS NULL").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
