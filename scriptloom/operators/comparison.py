@@ -220,7 +220,7 @@ def strategy_score(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     used = df.where(F.col(gold).isNotNull())
     counts = used.groupBy(gold).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m"))
     return used.agg(F.count(F.lit(1)).alias("n"), count_if(F.col(predicted) == F.col(gold)).alias("hits"), F.countDistinct(predicted).alias("distinct_predictions")).crossJoin(F.broadcast(counts)).select(
-        "n", "hits", "distinct_predictions", (F.col("hits") / F.col("n")).alias("accuracy"), (F.col("m") / F.col("n")).alias("majority")
+        "n", "hits", "distinct_predictions", F.try_divide("hits", "n").alias("accuracy"), F.try_divide("m", "n").alias("majority")
     )
 
 

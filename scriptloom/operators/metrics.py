@@ -49,8 +49,8 @@ def per_question(outcomes: DataFrame) -> DataFrame:
     )
     distinct = gradable(outcomes).groupBy("question").agg(F.countDistinct("predicted").alias("distinct_predictions"))
     totals = by_gold.groupBy("question").agg(
-        F.sum("n").alias("n"), F.sum("ungraded").alias("ungraded"), (F.max("n") / F.sum("n")).alias("majority"), F.sum("correct").alias("correct"),
-        (F.sum("correct") / F.sum("n")).alias("accuracy"), (F.sum("confidence") / F.sum("n")).alias("mean_confidence"),
+        F.sum("n").alias("n"), F.sum("ungraded").alias("ungraded"), F.try_divide(F.max("n"), F.sum("n")).alias("majority"), F.sum("correct").alias("correct"),
+        F.try_divide(F.sum("correct"), F.sum("n")).alias("accuracy"), F.try_divide(F.sum("confidence"), F.sum("n")).alias("mean_confidence"),
     )
     joined = totals.where("n > 0").join(distinct, "question")
     return joined.withColumn("lift", F.col("accuracy") - F.col("majority")).withColumn("overconfidence", F.col("mean_confidence") - F.col("accuracy"))
@@ -132,7 +132,7 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     ranked = average_ranks(average_ranks(pairs, by, "_a", "_ra"), by, "_b", "_rb")
     varies = (F.count(F.lit(1)) >= 3) & (F.max("_ra") > F.min("_ra")) & (F.max("_rb") > F.min("_rb"))
-    return ranked.groupBy(*by).agg(F.when(varies, F.corr("_ra", "_rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*by).agg(F.when(varies, F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def _score_counts(df: DataFrame, by: list[str], score: str, gold: str) -> DataFrame:

@@ -164,7 +164,7 @@ s AS (SELECT question, sum(CASE WHEN gold_bool THEN r END) AS rs, count(*) FILTE
 SELECT b.question AS question, b.hits AS hits, b.n AS n, round(b.ms, 6) AS mean_score, round(b.hits / b.n, 6) AS accuracy,
   round(greatest(0, (b.hits / b.n + 3.8416 / (2 * b.n) - 1.96 * sqrt(b.hits / b.n * (1 - b.hits / b.n) / b.n + 3.8416 / (4.0 * b.n * b.n))) / (1 + 3.8416 / b.n)), 6) AS low,
   round(least(1, (b.hits / b.n + 3.8416 / (2 * b.n) + 1.96 * sqrt(b.hits / b.n * (1 - b.hits / b.n) / b.n + 3.8416 / (4.0 * b.n * b.n))) / (1 + 3.8416 / b.n)), 6) AS high,
-  round((rs - s.p * (s.p + 1) / 2.0) / (s.p * s.n), 6) AS auc, round(best.accuracy, 6) AS best_accuracy, best.threshold AS threshold, best.inverted AS inverted, round(greatest(b.p, 1 - b.p), 6) AS baseline
+  round(CASE WHEN s.p > 0 AND s.n > 0 THEN (rs - s.p * (s.p + 1) / 2.0) / (s.p * s.n) END, 6) AS auc, round(best.accuracy, 6) AS best_accuracy, best.threshold AS threshold, best.inverted AS inverted, round(greatest(b.p, 1 - b.p), 6) AS baseline
 FROM b JOIN s ON s.question = b.question JOIN best ON best.question = b.question""")
 def binary_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.binary_diagnostics(scored_outcomes(spark, sf_dir), ["question"]))
