@@ -29,7 +29,7 @@ def percentiles(values: DataFrame, key: str, value: str, ps: tuple[int, ...] = P
     """
     counts = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = sum_before(counts, [key], [value], "_c", "_before")
-    totals = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_c").alias("_n"))
+    totals = ranked.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("_before") + F.col("_c")).alias("_n"))
     # One row for each key, as above.
     ranked = ranked.join(F.broadcast(totals), F.col(key).eqNullSafe(F.col("_key")))
     at = lambda p: (F.col("_before") < nearest_rank(p, F.col("_n"))) & (nearest_rank(p, F.col("_n")) <= F.col("_before") + F.col("_c"))

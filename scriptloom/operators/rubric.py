@@ -15,7 +15,7 @@ def percentile_rank(df: DataFrame, by: list[str], column: str, name: str) -> Dat
     """Add ``name``: 100 x share of values at most this one, rounded half-even.  ``by`` has few distinct values."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
     ranked = sum_before(counts, by, [column], "_c", "_before")
-    totals = df.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_n"))
+    totals = ranked.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.max(F.col("_before") + F.col("_c")).alias("_n"))
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
@@ -58,23 +58,21 @@ def thresholds(features: DataFrame, scored: list[tuple[str, int, int | None]]) -
 def score(features: DataFrame, limits: DataFrame, flat: list[tuple[str, str]]) -> DataFrame:
     """Add points (2 from the upper limit on, 1 from the lower; 1 for each flat rule) and their reasons, in order.
 
-    ``limits`` has a row for each scored feature; they become columns of one row that
-    is sent to every task.  Values that are no numbers score nothing.
+    ``limits`` has a row for each scored feature (some ten numbers), which become literals:
+    no join, and the features are read once.  Values that are no numbers score nothing.
     """
-    one = limits.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lower", "upper")))).alias("_limits"))
-    names = [c for c in features.columns if c in {r["feature"] for r in limits.select("feature").collect()}]
+    found = {r["feature"]: r for r in limits.collect()}
     points, reasons = F.lit(0).cast("long"), []
-    for c in names:
-        value, at = F.col(c).cast("double"), F.col("_limits")[c]
-        tier = F.when(value >= at["upper"], 2).when(value >= at["lower"], 1).otherwise(0)
+    for c in [x for x in features.columns if x in found]:
+        value, lower, upper = F.col(c).cast("double"), found[c]["lower"], found[c]["upper"]
+        tier = F.when(value >= F.lit(upper), 2).when(value >= F.lit(lower), 1).otherwise(0)
         points = points + tier
         reasons.append(F.when(tier > 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string"), F.lit(" (+"), tier.cast("string"), F.lit(")"))))
     for name, rule in flat:
         fires = F.coalesce(F.expr(rule), F.lit(False))
         points = points + fires.cast("long")
         reasons.append(F.when(fires, F.lit(f"{name} (+1)")))
-    scored = features.crossJoin(F.broadcast(one))
-    return scored.select(*features.columns, points.alias("points"), F.array_compact(F.array(*reasons)).alias("reasons"))
+    return features.select(*features.columns, points.alias("points"), F.array_compact(F.array(*reasons)).alias("reasons"))
 
 
 def band_for(df: DataFrame, bands: list[tuple[str, int, int | None]], points: str = "points") -> DataFrame:
