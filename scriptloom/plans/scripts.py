@@ -31,17 +31,6 @@ def corpus(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted({**SCRIPTS, **EXTRA}.items()), "name string, sql string")
 
 
-def scripts_in(spark: SparkSession, path: str) -> DataFrame:
-    """name, sql of the ``.sql`` files below a folder, one row each (order by ``natural_key``)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").text(path, wholetext=True)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.sql$", 1).alias("name"), F.col("value").alias("sql"))
-
-
-def natural_key(name: str):
-    """Order in which query2 comes before query10."""
-    return F.struct(F.coalesce(F.regexp_replace(name, r"\D", "").try_cast("long"), F.lit(0)), F.col(name))
-
-
 @query("script_features")
 def script_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract(corpus(spark)).drop("parse_error")
