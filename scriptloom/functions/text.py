@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +45,25 @@ def line_count(text: Column) -> Column:
     return F.size(lines(text)).cast("long")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times, computed once (inside a lambda, names are variables)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _needles(pattern: str) -> list[str]:
+    """Plain text of which one piece must occur where a pattern matches: the first word of each of its alternatives."""
+    words_of = (re.findall("[a-z_]{3,}", re.sub(r"\\[bs]", " ", p)) for p in pattern.split("|"))
+    return [w[0] if w else "`" if "`" in pattern else "(+)" for w in words_of]
+
+
 def markers(sql: Column) -> Column:
-    """Names of the markers that occur, in the order of ``MARKERS``."""
-    low = F.lower(strip_comments(sql))
-    return F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(n)) for n, p in MARKERS]))
+    """Names of the markers that occur, in the order of ``MARKERS``; a pattern is tried only where its first word occurs."""
+
+    def found(low: Column) -> Column:
+        may = lambda p: functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in _needles(p)])
+        return F.array_compact(F.array(*[F.when(may(p) & F.rlike(low, F.lit(p)), F.lit(n)) for n, p in MARKERS]))
+
+    return once(F.lower(strip_comments(sql)), found)
 
 
 def words(text: Column) -> Column:
@@ -53,8 +72,7 @@ def words(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Whole part of 1.3 x words + words that hold a digit or ``=``."""
-    w = words(text)
-    return F.floor(F.size(w) * F.lit(1.3) + F.size(F.filter(w, lambda x: F.rlike(x, F.lit("[0-9=]"))))).cast("long")
+    return once(words(text), lambda w: F.floor(F.size(w) * F.lit(1.3) + F.size(F.filter(w, lambda x: F.rlike(x, F.lit("[0-9=]"))))).cast("long"))
 
 
 def windows(sql: Column, budget: int = 380) -> Column:
@@ -65,8 +83,8 @@ def windows(sql: Column, budget: int = 380) -> Column:
     """
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("long").alias("used"))
 
-    def add(acc: Column, line: Column) -> Column:
-        cost = F.greatest(F.lit(1).cast("long"), token_estimate(line))
+    def add(acc: Column, item: Column) -> Column:
+        line, cost = item["line"], item["cost"]
         fits = (acc["used"] + cost <= budget) | (F.size(acc["open"]) == 0)
         return F.struct(
             F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], F.array_join(acc["open"], "\n"))).alias("done"),
@@ -75,7 +93,8 @@ def windows(sql: Column, budget: int = 380) -> Column:
         )
 
     close = lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], "\n"))).otherwise(acc["done"])
-    return F.aggregate(lines(strip_comments(sql)), zero, add, close)
+    weighed = F.transform(lines(strip_comments(sql)), lambda x: F.struct(x.alias("line"), F.greatest(F.lit(1).cast("long"), token_estimate(x)).alias("cost")))
+    return F.aggregate(weighed, zero, add, close)
 
 
 def window_note(index: Column, total: Column) -> Column:
