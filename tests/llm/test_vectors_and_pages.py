@@ -153,3 +153,20 @@ def test_ranges_are_coalesced():
     rows = [(0, 10), (14, 6), (30, 5), (36, 100), (200, 1)]
     assert list(warc._ranges(rows, 4, 1000)) == [(0, 2, 0, 20), (2, 4, 30, 136), (4, 5, 200, 201)]
     assert list(warc._ranges(rows, 1000, 50)) == [(0, 3, 0, 35), (3, 4, 36, 136), (4, 5, 200, 201)]
+
+
+def test_a_crowd_of_near_copies_hides_no_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x[::3] = x[0] + rng.normal(scale=0.05, size=(1000, 24))
+    x[1::30] = x[1]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in permutation_index.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    recall = []
+    for q, got in found.items():
+        s = x @ x[q]
+        recall.append(len(set(got) & set([v for v in np.lexsort((np.arange(3000), -s)) if v != q][:20])) / 20)
+    assert len(recall) == 150 and np.mean(recall) >= 0.9 and np.mean([r < 0.7 for r in recall]) < 0.05
