@@ -81,8 +81,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         table = docs.join(scores, "origin").withColumn("row_id", F.xxhash64("origin")).withColumn("gold", F.col(args.question))
         ids = table.select("row_id", "gold").orderBy("origin").limit(regression.MAX_ROWS).collect()
         splits = comparison.seeded_splits(spark, [[r["row_id"] for r in ids if r["gold"] is g] for g in (True, False)], args.splits, args.seed)
-        features = [x for x in script_features.COUNTS if x in table.columns]
-        leaky = {"has_subquery": ["subquery_count", "scalar_subquery_count", "correlated_subquery_count", "truly_correlated_count", "derived_table_count", "scope_count", "max_nesting_depth"], "has_window_function": ["window_function_count", "distinct_window_specs"]}.get(args.question, [x for x in features if x.startswith("graph_") or x in ("table_references", "implicit_joins", "explicit_joins", "cross_join_risk")])
+        table = regression.with_marker_count(table)
+        features, leaky = list(regression.FEATURES), list(regression.LEAKY[args.question])
         return regression.paired_summary(regression.paired_splits(table, splits, features, "gold", "score", "row_id", leaky))
     if c == "ensemble":
         wordings = sorted(r[0] for r in answers.where(F.col("question").startswith(f"{args.question}_p")).select("question").distinct().limit(100).collect())

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import best_threshold, count_if, mcnemar, roc_auc, share
+from .metrics import best_threshold, count_if, mcnemar, roc_auc, share, wilson
 from .ranking import sum_before
 from .rubric import BAND_ORDER
 
@@ -216,12 +216,12 @@ def majority_vote(labels: Column) -> Column:
 
 
 def strategy_score(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """n, accuracy, majority share, distinct predictions of a nominal question."""
+    """n, hits, distinct predictions, accuracy with its Wilson interval, majority share of a nominal question."""
     used = df.where(F.col(gold).isNotNull())
     counts = used.groupBy(gold).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m"))
-    return used.agg(F.count(F.lit(1)).alias("n"), count_if(F.col(predicted) == F.col(gold)).alias("hits"), F.countDistinct(predicted).alias("distinct_predictions")).crossJoin(F.broadcast(counts)).select(
-        "n", "hits", "distinct_predictions", F.try_divide("hits", "n").alias("accuracy"), F.try_divide("m", "n").alias("majority")
-    )
+    one = used.agg(F.count(F.lit(1)).alias("n"), count_if(F.col(predicted) == F.col(gold)).alias("hits"), F.countDistinct(predicted).alias("distinct_predictions")).crossJoin(F.broadcast(counts))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return one.select("n", "hits", "distinct_predictions", F.try_divide("hits", "n").alias("accuracy"), low.alias("low"), high.alias("high"), F.try_divide("m", "n").alias("majority"))
 
 
 def compare_runs(left: DataFrame, right: DataFrame, gold: DataFrame) -> DataFrame:

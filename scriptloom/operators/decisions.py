@@ -7,6 +7,8 @@ whose order carries the level.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,30 @@ def decide(outcomes: DataFrame) -> DataFrame:
     return grouped.select("script", outcome.alias("outcome"), "reasons")
 
 
+def ask(cards: DataFrame, questions: list[dict], scorer: Callable[[list[str], dict], list[dict]]) -> DataFrame:
+    """Answers of a classifier to typed ``questions`` about each card (origin, state), normalised.
+
+    ``scorer`` takes a batch of states and one question, and returns for each state what
+    ``normalise`` reads: p_true, or choice with probabilities, or score with
+    probabilities and a legend (probabilities as (label, p) in order).  It runs in
+    tasks, a batch at a time; recorded answers need no scorer.
+    """
+    import pandas as pd
+
+    fields = ["origin", "question", "type", "choice", "score", "p_true", "legend", "probabilities"]
+
+    def run(batches):
+        for batch in batches:
+            states = batch["state"].tolist()
+            for q in questions:
+                rows = [[o, q["qid"], q["type"], a.get("choice"), a.get("score"), a.get("p_true"), a.get("legend"), [{"label": k, "p": v} for k, v in a.get("probabilities") or []]] for o, a in zip(batch["origin"], scorer(states, q))]
+                yield pd.DataFrame(rows, columns=fields).astype({"score": "float64", "p_true": "float64"})
+
+    raw = cards.select("origin", "state").mapInPandas(run, "origin string, question string, type string, choice string, score double, p_true double, legend array<string>, probabilities array<struct<label:string,p:double>>")
+    made = normalise(raw)
+    return made.select(F.col("origin").alias("script"), "question", "type", "value_num", "value_str", "label", "max_probability", "probabilities")
+
+
 def match_origins(answers: DataFrame, scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answers with the script they belong to, by ``origin`` (by ``id`` where an answer has none), and the stale rest."""
     keyed = answers.withColumn("_key", F.coalesce(F.col("origin"), F.col("script_id")))

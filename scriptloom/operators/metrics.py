@@ -222,6 +222,20 @@ def binary_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumn("accuracy", F.col("hits") / F.col("n"))
 
 
+def ranking_signal(df: DataFrame, by: list[str], points: str = "points", value: str = "value", p_high: str = "p_high", p_low: str = "p_low") -> DataFrame:
+    """Spearman's rho of gold points with an ordinal answer's expected level, P(high) and P(low), and the rows it stands on."""
+    base = None
+    for name, column in (("rho_value", value), ("rho_high", p_high), ("rho_low", p_low)):
+        one = spearman(df, by, points, column).select(*by, F.col("rho").alias(name), *([F.col("n")] if base is None else []))
+        base = one if base is None else base.join(one, by)
+    return base
+
+
+def estimated_ms(tokens: Column, slope: float, intercept: float) -> Column:
+    """Time that a card of so many tokens takes by a fitted line."""
+    return F.lit(intercept) + F.lit(slope) * tokens
+
+
 def ols_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """slope and intercept of y on x."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))

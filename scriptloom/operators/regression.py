@@ -14,9 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .comparison import spread, verdict
+from .script_features import COUNTS
 
 MAX_ROWS = 20_000
 
+#: The 32 numeric features of a script that a regression may read (what is derived from points is not among them).
+FEATURES = ("loc_code", *[c for c in COUNTS if c not in ("truly_correlated_count", "graph_max_scope_degree", "unresolved_predicates")], "source_tables", "graph_nodes", "graph_density", "n_nonportable_markers")
+
+# The features that each question's label is computed from.
+LEAKY = {
+    "has_subquery": ("subquery_count", "scalar_subquery_count", "correlated_subquery_count", "derived_table_count", "scope_count", "max_nesting_depth"),
+    "has_window_function": ("window_function_count", "distinct_window_specs"),
+    "multi_source": (
+        "source_tables", "graph_nodes", "table_references", "graph_edges", "graph_max_scope_sources", "graph_max_degree", "graph_density", "graph_components", "graph_max_scope_edges",
+        "implicit_joins", "explicit_joins", "cross_join_risk",
+    ),
+    "needs_human_review": (),
+}
+
+
+def with_marker_count(features: DataFrame) -> DataFrame:
+    """``features`` with the number of their markers, the last of ``FEATURES``."""
+    return features.withColumn("n_nonportable_markers", F.size(F.coalesce("nonportable_markers", F.array().cast("array<string>"))))
+
 
 def standardise(x: np.ndarray) -> np.ndarray:
     """Columns less their mean over their population deviation (constant columns: 0)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparison as K
+from ..operators import metrics as M
 from ..operators import regression as G
 from ..registry import query
 from ..sources.tables import table
@@ -144,6 +145,18 @@ def trivial_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted.unionByName(constant))
 
 
+_RHO = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+
+@query("ranking_signal", f"""WITH {ORDINAL_SQL},
+x AS (SELECT level, o_totalprice AS points, value, (o_orderkey * 3) % 30 + floor(o_totalprice / 20000) AS hi, 100 - o_orderkey % 17 AS lo FROM q JOIN orders ON o_orderkey = row_id),
+r AS (SELECT {_RHO.format(c='points')} AS rp, {_RHO.format(c='value')} AS rv, {_RHO.format(c='hi')} AS rh, {_RHO.format(c='lo')} AS rl FROM x)
+SELECT round(corr(rp, rv), 6) AS rho_value, round(corr(rp, rh), 6) AS rho_high, round(corr(rp, rl), 6) AS rho_low, count(*) AS n FROM r""")
+def ranking_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordinal_rows(spark, sf_dir).withColumn("g", F.lit(1)).withColumn("p_high", F.col("row_id") * 3 % 30 + F.floor(F.col("price") / 20000)).withColumn("p_low", 100 - F.col("row_id") % 17)
+    return rounded(M.ranking_signal(rows, ["g"], points="price").drop("g"))
+
+
 SPLITS = 8
 _SPLIT = "(({id} * 7919 + s.split * 104729) % 1000) < 500"
 
@@ -198,8 +211,10 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("strategy_question", f"""{WITH}, u AS (SELECT predicted, gold FROM o WHERE gold IS NOT NULL)
-SELECT count(*) AS n, count(*) FILTER (WHERE predicted = gold) AS hits, count(DISTINCT predicted) AS distinct_predictions, round(avg(CAST(predicted = gold AS INT)), 6) AS accuracy,
-  round((SELECT max(c) FROM (SELECT count(*) AS c FROM u GROUP BY gold)) / count(*), 6) AS majority FROM u""")
+SELECT n, hits, distinct_predictions, round(hits / n, 6) AS accuracy, round(m / n, 6) AS majority,
+  round(greatest(0, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)), 6) AS low,
+  round(least(1, (hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)), 6) AS high
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE predicted = gold) AS hits, count(DISTINCT predicted) AS distinct_predictions, (SELECT max(c) FROM (SELECT count(*) AS c FROM u GROUP BY gold)) AS m FROM u)""")
 def strategy_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.strategy_score(scored_outcomes(spark, sf_dir), "predicted", "gold"))
 

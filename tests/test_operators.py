@@ -369,3 +369,31 @@ def test_negation(spark):
 def test_latency_fit(spark):
     row = one(M.ols_line(spark.createDataFrame([(50.0, 1539.1), (100.0, 2027.3), (200.0, 3027.4), (380.0, 4974.0)], "tokens double, ms double"), "tokens", "ms"))
     assert round(row.slope, 4) == 10.4305 and round(row.intercept, 1) == 988.4
+
+
+def test_a_scorer_answers_typed_questions(spark):
+    cards = spark.createDataFrame([("a", "one two"), ("b", "three")], "origin string, state string")
+    asked = [{"qid": "q", "type": "noul"}, {"qid": "c", "type": "choice"}, {"qid": "s", "type": "score"}]
+
+    def scorer(states, question):
+        made = {"noul": lambda n: {"p_true": n / 10}, "choice": lambda n: {"choice": "x", "probabilities": [("x", 0.7), ("y", 0.3)]}, "score": lambda n: {"score": 1.2, "legend": ["low", "mid", "top"], "probabilities": [("0", 0.1), ("1", 0.6), ("2", 0.3)]}}
+        return [made[question["type"]](len(s)) for s in states]
+
+    got = {(r.script, r.question): (r.value_num, r.value_str, r.label, r.max_probability) for r in D.ask(cards, asked, scorer).collect()}
+    assert got["a", "q"] == (0.7, None, "true", 0.7) and got["b", "c"] == (None, "x", "x", 0.7) and got["a", "s"] == (1.2, None, "mid", 0.6) and len(got) == 6
+
+
+def test_reports(spark):
+    from scriptloom.operators import reports
+    from scriptloom.plans.scripts import SCORED, census, corpus
+
+    tables = reports.census_tables(census(corpus(spark)), [x for x, _, _ in SCORED])
+    assert {k: t.count() > 0 for k, t in tables.items()} == dict.fromkeys(tables, True)
+    rows = [("s", q, "true", "true", True, True, 0.9, "high", True, None) for q in D.VERIFIABLE] + [("s", D.COMPLEXITY, "low", "high", True, False, 0.9, "high", False, 2)]
+    outcomes = spark.createDataFrame(rows, "script string, question string, gold string, predicted string, gradable boolean, agree boolean, confidence double, confidence_band string, verifiable boolean, band_gap long")
+    made = reports.run_tables(outcomes, list(D.VERIFIABLE))
+    assert all(t.count() > 0 for t in made.values()) and one(made["decisions"]).outcome == "ESCALATE"
+
+
+def test_regression_features():
+    assert len(G.FEATURES) == len(set(G.FEATURES)) == 32 and all(set(v) <= set(G.FEATURES) for v in G.LEAKY.values())
