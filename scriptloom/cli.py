@@ -79,8 +79,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         wanted = [f"{args.question}_p{i}" for i in range(1, args.paraphrases + 1)] if args.paraphrases else [args.question]
         scores = comparison.aggregate_scores(answers, wanted).withColumnRenamed("script", "origin")
         table = docs.join(scores, "origin").withColumn("row_id", F.xxhash64("origin")).withColumn("gold", F.col(args.question))
-        ids = table.select("row_id", "gold").orderBy("origin").limit(regression.MAX_ROWS).collect()
-        splits = comparison.seeded_splits(spark, [[r["row_id"] for r in ids if r["gold"] is g] for g in (True, False)], args.splits, args.seed)
+        splits = comparison.seeded_splits(spark, regression.labelled_groups(table, "gold", "row_id"), args.splits, args.seed)
         table = regression.with_marker_count(table)
         features, leaky = list(regression.FEATURES), list(regression.LEAKY[args.question])
         return regression.paired_summary(regression.paired_splits(table, splits, features, "gold", "score", "row_id", leaky))

@@ -78,6 +78,14 @@ def _matrix(rows: DataFrame, features: list[str], label: str, row_id: str) -> tu
     return table[features].to_numpy(float).reshape(len(table), len(features)), table["_y"].to_numpy(float), table["_id"].to_numpy()
 
 
+def labelled_groups(rows: DataFrame, label: str, row_id: str) -> list[list]:
+    """Ids of the true and of the false rows, in order: what seeded splits are drawn from."""
+    table = rows.where(F.col(label).isNotNull()).select(F.col(row_id).alias("i"), F.col(label).alias("y")).orderBy("i").limit(MAX_ROWS + 1).collect()
+    if len(table) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows: seeded splits are for corpora of scripts, hash_splits for any size")
+    return [[r["i"] for r in table if bool(r["y"]) is g] for g in (True, False)]
+
+
 def leave_one_out(rows: DataFrame, features: list[str], label: str, row_id: str, variants: dict[str, list[str]], least: int = 10) -> DataFrame:
     """variant, row_id, gold, p of each row, from a model that never saw it, for each variant's set of dropped features.
 

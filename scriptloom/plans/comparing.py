@@ -241,7 +241,5 @@ def logistic_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("paired_compare")
 def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_rows(spark, sf_dir)
-    labelled = rows.select("row_id", "gold").orderBy("row_id").limit(G.MAX_ROWS).collect()
-    groups = [[r["row_id"] for r in labelled if r["gold"] is g] for g in (True, False)]
-    splits = K.seeded_splits(spark, groups, 50)
+    splits = K.seeded_splits(spark, G.labelled_groups(rows, "gold", "row_id"), 50)
     return rounded(G.paired_summary(G.paired_splits(rows, splits, _FEATURES, "gold", "score", "row_id", ["n_returned"])))
