@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.workspace import shuffle_partitions, write_table
 from .bk_tree import BKForest, Union
 from .components import connected_components
+from .minhash import byte_grams, marks, meetings, short, sketches, verified_links
 from .simhash import near_links, whole_units
 
 #: ASCII characters other than letters and digits end a word; lines end at the line feed.
@@ -24,6 +25,10 @@ _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in rang
 UNIT_ROWS = 2048
 #: Bits of the filter for lines that may need their text.
 FILTER_BITS = 24
+#: Lines under so many characters are marked by runs of 8 bytes, others by runs of 12, those that may be similar to both by both.
+SHORT_CHARS = 64
+#: Columns of marks of either kind; most bits between the SimHashes of lines that meet in one and are compared.
+ORDERS, REACH_BITS = 8, 22
 
 
 class _WordHashes(dict):
@@ -115,9 +120,28 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def lines_of(docs: DataFrame, min_bytes: int) -> DataFrame:
+def line_marks(norms: list[bytes], similarity: float) -> list[pa.Array]:
+    """size (characters), first_mark, marks, sketches of lines, as ``minhash.meetings`` wants them."""
+    size = np.array([len(x.decode("utf-8", "surrogatepass")) for x in norms])
+    of_kind = []
+    for chosen, width in ((size >= int(similarity * SHORT_CHARS), 12), (size < SHORT_CHARS, 8)):
+        at = np.flatnonzero(chosen)
+        made = np.zeros((len(norms), ORDERS), np.int32)
+        if len(at):
+            made[at] = short(marks(*byte_grams([norms[i] for i in at], width), ORDERS))
+        of_kind.append((chosen, made))
+    (is_long, a), (is_short, b) = of_kind
+    chosen = np.c_[is_long, is_short]
+    values = np.stack([a, b], 1)[chosen]
+    ends = np.r_[0, np.cumsum(chosen.sum(1))]
+    lists = [pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(v)) for k, v in ((ORDERS, values.reshape(-1)), (1, sketches(values)))]
+    return [pa.array(size, pa.int32()), pa.array(np.where(is_long, 0, ORDERS), pa.int32()), *lists]
+
+
+def lines_of(docs: DataFrame, min_bytes: int, similarity: float | None = None) -> DataFrame:
     """doc_id, text_key, line, key, sim, norm of each line of at least ``min_bytes`` normalised bytes, and for each
-    document a row with line -1 and its number of lines in ``n_lines``."""
+    document a row with line -1 and its number of lines in ``n_lines``; with a ``similarity`` the lines' marks too."""
+    names = _LINE_COLUMNS + (_MARK_COLUMNS if similarity else [])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -132,9 +156,11 @@ def lines_of(docs: DataFrame, min_bytes: int) -> DataFrame:
                 doc, line, key, norm = zip(*rows)
                 at = pa.array(doc, pa.int32())
                 arrays = [ids.take(at), keys.take(at), pa.array(line, pa.int32()), pa.array(key, pa.binary()), sims, pa.array(norm, pa.binary()).cast(pa.string()), pa.nulls(len(rows), pa.int64())]  # noqa: B023
+                if similarity:
+                    arrays += line_marks(list(norm), similarity)
                 rows.clear()  # noqa: B023
                 words.clear()  # noqa: B023
-                return pa.RecordBatch.from_arrays(arrays, names=_LINE_COLUMNS)
+                return pa.RecordBatch.from_arrays(arrays, names=names)
 
             held = 0
             for d, t in enumerate(batch.column("text").to_pylist()):
@@ -154,14 +180,18 @@ def lines_of(docs: DataFrame, min_bytes: int) -> DataFrame:
                 yield flush()
             n = len(counts)
             arrays = [ids, keys, pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=_LINE_COLUMNS)
+            if similarity:
+                arrays += [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, sim long, norm string, n_lines long")
+    marked = ", size int, first_mark int, marks array<int>, sketches array<long>" if similarity else ""
+    return slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, sim long, norm string, n_lines long{marked}")
 
 
 _LINE_COLUMNS = ["doc_id", "text_key", "line", "key", "sim", "norm", "n_lines"]
+_MARK_COLUMNS = ["size", "first_mark", "marks", "sketches"]
 
 
 def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -226,13 +256,28 @@ def _verified(lines: DataFrame, classes: DataFrame, radius: int, similarity: flo
     return units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "key").mapInArrow(verify, "a binary, b binary")
 
 
-def removed_lines(docs: DataFrame, radius: int = 3, similarity: float = 0.9, min_bytes: int = 16) -> tuple[DataFrame, DataFrame]:
+def _met(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between keys of lines that share a mark and whose texts are similar enough; a forest of them per unit."""
+    named = classes.withColumn("id", F.xxhash64("key"))
+    found = write_table(meetings(named, REACH_BITS, similarity, UNIT_ROWS), "meetings")
+    # Lines that meet no other need no text.
+    wanted = named.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id").withColumnRenamed("key", "_key")
+    wanted = write_table(wanted.select("_key", "id", "first", "sim", "size", "units"), "active-lines")
+    lines = may_hold(lines.select("doc_id", "text_key", "line", "key", "norm"), "key", wanted)
+    on = (lines["key"] == wanted["_key"]) & (lines["line"] == wanted["first.line"]) & (lines["text_key"] == wanted["first.text_key"]) & lines["doc_id"].eqNullSafe(wanted["first.doc_id"])
+    texts = lines.join(wanted, on).select("id", "units", "key", "sim", "size", F.col("norm").alias("body"))
+    return verified_links(texts, lambda: lambda a, b: similar(a, b, similarity), REACH_BITS, similarity)
+
+
+def removed_lines(docs: DataFrame, radius: int | None = 3, similarity: float = 0.9, min_bytes: int = 16) -> tuple[DataFrame, DataFrame]:
     """Of the documents that lose lines: doc_id, text_key, removed (line numbers from 0, sorted); and doc_id,
     text_key, n_lines of each document; see ``dedup_lines``."""
-    written = write_table(lines_of(docs, min_bytes), "lines")
+    written = write_table(lines_of(docs, min_bytes, similarity if radius is None else None), "lines")
     lines = written.where("line >= 0").drop("n_lines")
-    classes = write_table(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")), "line-classes")
-    reached = connected_components(_verified(lines, classes, radius, similarity))
+    # What belongs to the line's text is equal in all rows of a key.
+    texts_own = [F.first(c).alias(c) for c in ["sim", *(_MARK_COLUMNS if radius is None else [])]]
+    classes = write_table(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), *texts_own, F.count(F.lit(1)).alias("n")), "line-classes")
+    reached = connected_components(_met(lines, classes, similarity) if radius is None else _verified(lines, classes, radius, similarity))
     joined = classes.join(reached, classes["key"] == reached["node"], "left").where("component IS NOT NULL OR n > 1")
     repeated = write_table(joined.select("key", "first", F.coalesce("component", "key").alias("group")), "line-groups")
     keepers = repeated.groupBy(F.col("group").alias("_group")).agg(F.min("first").alias("keep"))
@@ -263,7 +308,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     letters and digits end.  Lines of fewer than ``min_bytes`` (16) normalised bytes are
     left alone.  Two different lines are linked if their
     64-bit SimHashes over words differ in at most ``radius`` (3) bits and 1 - edit
-    distance / longer length is at least ``similarity`` (0.9).  Of all lines that links
+    distance / longer length is at least ``similarity`` (0.9).  With ``radius`` None the
+    candidates are lines that share one of eight MinHash marks of their runs of bytes
+    instead, which finds nearly all pairs of that similarity.  Of all lines that links
     or equality join, the occurrence with the smallest (doc_id, hash of the text, line
     number) stays.  A document that loses all its lines goes; a null or empty text is
     left as it is.  Rows that repeat doc_id and text lose the same lines.

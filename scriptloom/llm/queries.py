@@ -70,7 +70,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that each document loses to equal or similar ones."""
     from .line_dedup import line_report
 
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=None)
 
 
 @_query
