@@ -191,7 +191,11 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFr
     they are: nothing tells which of them to keep.
     """
     found = simhash_components(docs, width, radius)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return one_of_each(docs, found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+
+
+def one_of_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each doc_id of ``keep``, and those with a null doc_id."""
     packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
     # The window needs no other exchange than the join.
     stay = packed.join(keep, "doc_id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
