@@ -16,6 +16,9 @@ from .sources import files
 BOOLEAN = ("has_subquery", "has_window_function", "multi_source", "needs_human_review")
 BAND_RANGES = {name: (lo, hi) for name, lo, hi in BANDS}
 
+#: Wordings of one question at most: each is a column of the ensemble.
+MAX_WORDINGS = 100
+
 
 def graded(spark: SparkSession, args: argparse.Namespace, run: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A run's answers and the gold of the scripts below ``--scripts``."""
@@ -84,7 +87,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         features, leaky = list(regression.FEATURES), list(regression.LEAKY[args.question])
         return regression.paired_summary(regression.paired_splits(table, splits, features, "gold", "score", "row_id", leaky))
     if c == "ensemble":
-        wordings = sorted(r[0] for r in answers.where(F.col("question").startswith(f"{args.question}_p")).select("question").distinct().limit(100).collect())
+        wordings = sorted(r[0] for r in answers.where(F.col("question").startswith(f"{args.question}_p")).select("question").distinct().limit(MAX_WORDINGS + 1).collect())
+        if len(wordings) > MAX_WORDINGS:
+            raise ValueError(f"more than {MAX_WORDINGS} wordings of {args.question}")
         x = answers.where(F.col("question").isin(wordings)).groupBy("script").agg(F.transform(F.array_sort(F.collect_list(F.struct("question", "value_num"))), lambda s: s["value_num"]).alias("x"))
         truth = gold.where(F.col("question") == args.question).select("script", (F.col("gold") == "true").alias("gold_bool"))
         return comparison.ensemble(x.join(truth, "script"), "x", len(wordings))
