@@ -1,69 +1,94 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, components."""
+"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, components.
+
+Within the few bits for which pigeonhole blocks of a SimHash are selective only a
+quarter of the similar lines lie.  So the blocks are pieces of the lines themselves: the
+two halves of a short line, and for longer lines the runs of bytes that come first
+under each of eight orders (MinHash).  Lines that share one are candidates if their SimHashes,
+over runs of four bytes, are within ``RADII``.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workspace import shuffle_partitions, write_table
-from .bk_tree import BKForest, Union
+from ..functions.workspace import write_table
 from .components import connected_components
-from .minhash import byte_grams, marks, meetings, short, sketches, verified_links
-from .simhash import near_links, whole_units
+from .minhash import COLUMNS, id_of, marks, meetings, mixed, posts_of, units_of_work, verified_links
 
 #: ASCII characters other than letters and digits end a word; lines end at the line feed.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
 #: Bits of a byte in eight byte-wide counters.
 _SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
-#: Lines of one unit of comparison at most.
-UNIT_ROWS = 2048
 #: Bits of the filter for lines that may need their text.
 FILTER_BITS = 24
-#: Lines under so many characters are marked by runs of 8 bytes, others by runs of 12, those that may be similar to both by both.
-SHORT_CHARS = 64
-#: Columns of marks of either kind; most bits between the SimHashes of lines that meet in one and are compared.
-ORDERS, REACH_BITS = 8, 22
-
-
-class _WordHashes(dict):
-    """XXH64 of words, computed once each while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def line_words(text: str) -> list[list[bytes]]:
-    """Words of each line of a text: runs of ASCII letters and digits and of other characters beyond ASCII, in lower case."""
-    return [x.split() for x in text.lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split(b"\n")]
+#: Lines under so many characters are marked by runs of SHORT_RUN bytes, others by runs of LONG_RUN, those that may be similar to both by both.
+SHORT_CHARS, SHORT_RUN, LONG_RUN = 64, 6, 12
+#: Columns of marks of either kind.
+ORDERS = 8
+#: Most bits between the SimHashes of lines that meet and are compared, by the column of the mark: of long runs, of short ones, of
+#: halves (one edit in so few runs turns any number of bits).
+RADII = [18] * ORDERS + [26] * ORDERS + [64] * 2
+#: Classes of runs of three characters by which lines are compared before their edit distance is.
+GRAM_CLASSES = 1024
+#: Normalised bytes whose lines are made at a time (a longer text is one part), and lines that a task remembers to have posted.
+PART_BYTES, SEEN_LINES = 1 << 16, 500_000
+
+
+def normal_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the normalised lines of texts one after another, bytes of each line, and lines of each text.
+
+    Words are runs of ASCII letters and digits and of other characters beyond ASCII, in
+    lower case; a line is its words joined by a space.
+    """
+    whole = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    counts = np.array([t.count(b"\n") + 1 for t in whole], np.int64)
+    data = np.frombuffer(b"\n".join(whole).translate(_BREAKS) + b"\n", np.uint8)
+    blank = (data == 32) | (data == 10)
+    # Of a run of spaces the first stays if a word is before it, and then if no line ends after it.
+    keep = data != 32
+    keep[1:] |= ~blank[:-1]
+    data = data[keep]
+    keep = np.ones(len(data), bool)
+    keep[:-1] = (data[:-1] != 32) | (data[1:] != 10)
+    data = data[keep]
+    ends = np.flatnonzero(data == 10)
+    sizes = np.diff(np.r_[-1, ends]) - 1
+    return data[data != 10], sizes, counts
+
+
+def runs_of_bytes(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` (4 to 16) bytes of lines that have as many at least, and where each line's begin.
+
+    ``eight`` has at each byte that byte and the seven after it, as one number.
+    """
+    counts = sizes - (width - 1)
+    first = np.cumsum(counts) - counts
+    at = np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
+    head = eight[at]
+    if width < 8:
+        return mixed(head & np.uint64((1 << (8 * width)) - 1)), first
+    head = mixed(head)
+    return (mixed(head + mixed(eight[at + (width - 8)]) * np.uint64(3)) if width > 8 else head), first
 
 
-def line_simhashes(word_lists: list[list[bytes]], hashes: dict) -> np.ndarray:
-    """SimHash over the distinct words of over 3 bytes of each (non-empty) line, or over all of them if it has none
-    such: neither a language's shortest words nor a word said over and over make lines alike.
+def simhashes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each line's hashes, which begin at ``first``: a bit is 1 if over half of them have it.
 
-    Bits are counted in bytes, eight to a number, over runs of up to 255 words.
+    Bits are counted in bytes, eight to a number, over runs of up to 255 hashes.
     """
-    long_words = [{x for x in w if len(x) > 3} or set(w) for w in word_lists]
-    sizes = np.array([len(w) for w in long_words])
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(long_words)), np.uint64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.diff(np.r_[first, len(grams)])
     runs = -(-sizes // 255)
     run_line = np.repeat(np.arange(len(sizes)), runs)
     run_first = np.cumsum(runs) - runs
-    run_starts = starts[run_line] + 255 * (np.arange(len(run_line)) - run_first[run_line])
-    out = np.zeros(len(word_lists), np.uint64)
-    octets = flat.view(np.uint8).reshape(-1, 8)
+    run_starts = first[run_line] + 255 * (np.arange(len(run_line)) - run_first[run_line])
+    out = np.zeros(len(sizes), np.uint64)
+    octets = grams.view(np.uint8).reshape(-1, 8)
     for k in range(8):
         counts = np.add.reduceat(_SPREAD[octets[:, k]], run_starts).view(np.uint8).reshape(-1, 8)
         votes = np.add.reduceat(counts.astype(np.int32), run_first, axis=0) if len(run_line) > len(sizes) else counts.astype(np.int32)
@@ -72,17 +97,49 @@ def line_simhashes(word_lists: list[list[bytes]], hashes: dict) -> np.ndarray:
     return out
 
 
+def _shared(a: str, b: str) -> int:
+    """Characters that a and b begin with alike."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i : i + 64] == b[i : i + 64]:
+        i += 64
+    while i < n and a[i] == b[i]:
+        i += 1
+    return min(i, n)
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """a and b without what they share at their ends."""
+    i = _shared(a, b)
+    a, b = a[i:], b[i:]
+    j = _shared(a[::-1], b[::-1])
+    return a[: len(a) - j], b[: len(b) - j]
+
+
+def edits_by_parts(a: str, b: str, most: int) -> int:
+    """Edits that turn a into b, if not the fewest: parts between equal pieces near the same place are edited one by one."""
+    todo, total = [(a, b)], 0
+    while todo and total <= most:
+        a, b = _trimmed(*todo.pop())
+        if not a or not b:
+            total += max(len(a), len(b))
+            continue
+        at = -1
+        if min(len(a), len(b)) > 48:
+            for i in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+                piece = a[i : i + 16]
+                if len(piece) == 16 and (at := b.find(piece, max(0, i - most), i + most + 16)) >= 0:
+                    todo += [(a[:i], b[:at]), (a[i:], b[at:])]
+                    break
+        if at < 0:
+            total += edit_distance(a, b, most - total)
+    return total
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or ``most`` + 1 if it is over ``most``; bit-parallel over whatever a and b don't share at their ends."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    a, b = _trimmed(a, b)
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -117,81 +174,120 @@ def similar(a: str, b: str, similarity: float) -> bool:
     # Replacing word by word is one way to edit: if it is short enough the distance is.
     if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= most:
         return True
-    return edit_distance(a, b, most) <= most
+    return edits_by_parts(a, b, most) <= most or edit_distance(a, b, most) <= most
 
 
-def line_marks(norms: list[bytes], similarity: float) -> list[pa.Array]:
-    """size (characters), first_mark, marks, sketches of lines, as ``minhash.meetings`` wants them."""
-    size = np.array([len(x.decode("utf-8", "surrogatepass")) for x in norms])
-    of_kind = []
-    for chosen, width in ((size >= int(similarity * SHORT_CHARS), 12), (size < SHORT_CHARS, 8)):
-        at = np.flatnonzero(chosen)
-        made = np.zeros((len(norms), ORDERS), np.int32)
-        if len(at):
-            made[at] = short(marks(*byte_grams([norms[i] for i in at], width), ORDERS))
-        of_kind.append((chosen, made))
-    (is_long, a), (is_short, b) = of_kind
-    chosen = np.c_[is_long, is_short]
-    values = np.stack([a, b], 1)[chosen]
-    ends = np.r_[0, np.cumsum(chosen.sum(1))]
-    lists = [pa.ListArray.from_arrays(pa.array(ends * k, pa.int32()), pa.array(v)) for k, v in ((ORDERS, values.reshape(-1)), (1, sketches(values)))]
-    return [pa.array(size, pa.int32()), pa.array(np.where(is_long, 0, ORDERS), pa.int32()), *lists]
+def edits(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Most edits between lines, the longer of which has ``size`` characters."""
+    return ((1 - similarity) * size + 1e-9).astype(np.int64)
 
 
-def lines_of(docs: DataFrame, min_bytes: int, similarity: float | None = None) -> DataFrame:
-    """doc_id, text_key, line, key, sim, norm of each line of at least ``min_bytes`` normalised bytes, and for each
-    document a row with line -1 and its number of lines in ``n_lines``; with a ``similarity`` the lines' marks too."""
-    names = _LINE_COLUMNS + (_MARK_COLUMNS if similarity else [])
+def half_marks(line: bytes, size: int) -> list[int]:
+    """Marks of a line of which one edit is allowed: its first and last bytes, as many as half the shorter line of a pair
+    has at least; one pair of marks if the longer line has ``size`` characters, one if it has one more."""
+    out = []
+    for longer in (size, size + 1):
+        n = (longer - 1) // 2
+        for end, part in enumerate((line[:n], line[-n:])):
+            digest = hashlib.md5(part + bytes([longer, end]), usedforsecurity=False).digest()
+            out.append(max(1, int.from_bytes(digest[:4], "little")))
+    return out
+
+
+def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of lines and their posts: where lines meet others of that similarity."""
+    rows, posts = [], []
+    short = int(2 / (1 - similarity) + 1e-9)  # two edits from this size on
+    marked = ((chars >= int(similarity * SHORT_CHARS), LONG_RUN, 0), ((chars >= int(similarity * short)) & (chars < SHORT_CHARS), SHORT_RUN, ORDERS))
+    for chosen, width, column in marked:
+        at = np.flatnonzero(chosen & (sizes >= width))
+        if len(at):
+            made = marks(*runs_of_bytes(eight, starts[at], sizes[at], width), ORDERS)
+            rows.append(np.repeat(at, ORDERS))
+            posts.append(posts_of(made, chars[at], column).reshape(-1))
+    at = np.flatnonzero(edits(chars, similarity) == 1)
+    if len(at):
+        raw = data.tobytes()
+        made = np.array([half_marks(raw[starts[i] : starts[i] + sizes[i]], int(chars[i])) for i in at], np.uint64)
+        both = [posts_of(made[:, k : k + 2], chars[at], COLUMNS) for k in (0, 2)]
+        rows.append(np.repeat(at, 4))
+        posts.append(np.hstack(both).reshape(-1))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, posts = np.concatenate(rows), np.concatenate(posts)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], posts[order]
+
+
+def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_key, line, key, lead, norm, fp, posts of each line that has a word, and for each document a row
+    with line -1 and its number of lines in ``n_lines``.
+
+    ``fp`` and ``posts`` are given where a task meets a line first, else null."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        seen: set[bytes] = set()
+
+        def lines(ids: pa.Array, keys: pa.Array, texts: list[str], numbers: list[int]) -> pa.RecordBatch:
+            data, sizes, counts = normal_lines(texts)
+            doc = np.repeat(numbers, counts)
+            line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            some = sizes > 0
+            doc, line, sizes = doc[some], line[some], sizes[some]
+            starts = np.cumsum(sizes) - sizes
+            raw = data.tobytes()
+            begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            chars = begins[starts + sizes] - begins[starts]
+            digests = [hashlib.md5(raw[s:e], usedforsecurity=False).digest() for s, e in zip(starts.tolist(), (starts + sizes).tolist())]
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+            before = len(seen)
+            new = np.zeros(len(doc), bool)
+            for i, d in enumerate(digests):
+                seen.add(d)
+                if len(seen) > before:
+                    before += 1
+                    new[i] = True
+            # A line of which no edit is allowed has nothing to look for.
+            at = np.flatnonzero(new & (edits(chars, similarity) > 0))
+            fps, posts, offsets = np.zeros(len(doc), np.int64), np.zeros(0, np.int64), np.zeros(len(doc) + 1, np.int32)
+            if len(at):
+                padded = np.concatenate([data, np.zeros(16, np.uint8)])
+                eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,))
+                fps[at] = simhashes(*runs_of_bytes(eight, starts[at], sizes[at], 4)).view(np.int64)
+                row, posts = line_posts(data, eight, starts[at], sizes[at], chars[at], similarity)
+                offsets = np.r_[0, np.cumsum(np.bincount(at[row], minlength=len(doc)))].astype(np.int32)
+            of = pa.array(doc, pa.int32())
+            norm = pa.StringArray.from_buffers(len(doc), pa.py_buffer(np.r_[starts, len(data)].astype(np.int32).tobytes()), pa.py_buffer(raw))
+            none = np.diff(offsets) == 0
+            columns = [
+                ids.take(of), keys.take(of), pa.array(line, pa.int32()), pa.array(digests, pa.binary()), norm, pa.array(fps, pa.int64(), mask=none),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(posts), mask=pa.array(none)), pa.nulls(len(doc), pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("text_key")
-            rows: list[tuple] = []
-            words: list[list[bytes]] = []
-            counts: list[int] = []
-
-            def flush() -> pa.RecordBatch:
-                sims = pa.array(line_simhashes(words, hashes).view(np.int64))
-                doc, line, key, norm = zip(*rows)
-                at = pa.array(doc, pa.int32())
-                arrays = [ids.take(at), keys.take(at), pa.array(line, pa.int32()), pa.array(key, pa.binary()), sims, pa.array(norm, pa.binary()).cast(pa.string()), pa.nulls(len(rows), pa.int64())]  # noqa: B023
-                if similarity:
-                    arrays += line_marks(list(norm), similarity)
-                rows.clear()  # noqa: B023
-                words.clear()  # noqa: B023
-                return pa.RecordBatch.from_arrays(arrays, names=names)
-
-            held = 0
-            for d, t in enumerate(batch.column("text").to_pylist()):
-                found = line_words(t) if t else []
-                counts.append(len(found))
-                for i, w in enumerate(found):
-                    norm = b" ".join(w)
-                    if len(norm) < min_bytes:
-                        continue
-                    rows.append((d, i, hashlib.md5(norm, usedforsecurity=False).digest(), norm))
-                    words.append(w)
-                    held += len(w)
-                    if held > 200_000:
-                        yield flush()
-                        held = 0
-            if rows:
-                yield flush()
-            n = len(counts)
-            arrays = [ids, keys, pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(counts, pa.int64())]
-            if similarity:
-                arrays += [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            ids, keys, texts = batch.column("doc_id"), batch.column("text_key"), batch.column("text").to_pylist()
+            part, held = [], 0
+            for d, t in enumerate(texts):
+                if t:
+                    part.append(d)
+                    held += len(t)
+                if part and (held > PART_BYTES or d == len(texts) - 1):
+                    yield lines(ids, keys, [texts[i] for i in part], part)
+                    part, held = [], 0
+            n = len(texts)
+            counts = pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array([-1] * n, pa.int32()), *[pa.nulls(n, t) for t in _TYPES], counts], names=_NAMES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    marked = ", size int, first_mark int, marks array<int>, sketches array<long>" if similarity else ""
-    return slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, sim long, norm string, n_lines long{marked}")
+    made = slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, norm string, fp long, posts array<long>, n_lines long")
+    return made.withColumn("lead", F.xxhash64("doc_id", "text_key", "line"))
 
 
-_LINE_COLUMNS = ["doc_id", "text_key", "line", "key", "sim", "norm", "n_lines"]
-_MARK_COLUMNS = ["size", "first_mark", "marks", "sketches"]
+_NAMES = ["doc_id", "text_key", "line", "key", "norm", "fp", "posts", "n_lines"]
+_TYPES = [pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64())]
 
 
 def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -209,84 +305,73 @@ def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words), on).where(hit).drop("_word", "_bits")
 
 
-def _verified(lines: DataFrame, classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between keys of lines whose SimHashes are within ``radius`` and whose texts are similar enough; a forest of them per unit."""
-    spark = lines.sparkSession
-    sims = write_table(classes.groupBy("sim").agg(F.count(F.lit(1)).alias("keys")), "sims")
-    links = near_links(sims.select(F.col("sim").alias("fp")), radius)
-    reached = connected_components(links)
-    # Lines that have no other in reach need no text.
-    grouped = sims.join(reached, sims["sim"] == reached["node"], "left").where("component IS NOT NULL OR keys > 1").select(F.col("sim").alias("_sim"), F.coalesce("component", "sim").alias("group"))
-    active = classes.join(grouped, classes["sim"] == grouped["_sim"]).select("group", "sim", "key", "first")
-    sizes = active.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = active.join(sizes, active["group"] == sizes["_group"]).withColumn("units", F.ceil(F.col("_n") / UNIT_ROWS).cast("int"))
-    wanted = write_table(dealt.select("group", "units", F.col("key").alias("_key"), "first"), "active-lines")
-    lines = may_hold(lines, "key", wanted)
-    on = (lines["key"] == wanted["_key"]) & (lines["line"] == wanted["first.line"]) & (lines["text_key"] == wanted["first.text_key"]) & lines["doc_id"].eqNullSafe(wanted["first.doc_id"])
-    texts = lines.join(wanted, on).select("group", "units", "key", "sim", "norm")
-    mine = F.pmod(F.xxhash64("key", F.lit(3)), F.col("units")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("other")
-    units = texts.withColumn("mine", mine).select("*", other).select(
-        F.col("group").alias("shard"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") <= F.col("other")).alias("in_tree"), (F.col("mine") >= F.col("other")).alias("asks"), F.col("sim").alias("fp"), "key", "norm",
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_units(batches, 1 << 13):
-            sim, norm, key = part["fp"].astype(np.int64).view(np.uint64), part["norm"], part["key"]
-            change = np.r_[False, (part["shard"][1:] != part["shard"][:-1]) | (part["i"][1:] != part["i"][:-1]) | (part["j"][1:] != part["j"][:-1])]
-            unit = np.cumsum(change)
-            inside, asks = np.flatnonzero(part["in_tree"]), np.flatnonzero(part["asks"])
-            union = Union(len(sim))
-            edges: list[tuple[int, int]] = []
-            for q, node in BKForest(sim[inside], unit[inside]).search(sim[asks], unit[asks], radius):
-                a, b = asks[q], inside[node]
-                for s in range(0, len(a), 4096):
-                    x, y = a[s : s + 4096], b[s : s + 4096]
-                    apart = union.roots(x) != union.roots(y)
-                    for u, v in zip(x[apart].tolist(), y[apart].tolist()):
-                        # Lines that are joined already need no proof that they are.
-                        if union.find(u) != union.find(v) and (key[u] == key[v] or similar(norm[u], norm[v], similarity)):
-                            union.join(u, v)
-                            edges.append((u, v))
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([key[u] for u, _ in edges], pa.binary()), pa.array([key[v] for _, v in edges], pa.binary())], names=["a", "b"])
-
-    n = shuffle_partitions(spark)
-    return units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "key").mapInArrow(verify, "a binary, b binary")
-
-
-def _met(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between keys of lines that share a mark and whose texts are similar enough; a forest of them per unit."""
-    named = classes.withColumn("id", F.xxhash64("key"))
-    found = write_table(meetings(named, REACH_BITS, similarity, UNIT_ROWS), "meetings")
+def edit_tests(similarity: float) -> Callable:
+    """Tests of a part's pairs of lines, as ``verified_links`` wants them."""
+
+    def prepare(bodies: np.ndarray, sizes: np.ndarray) -> tuple[Callable, Callable]:
+        counts: list[np.ndarray] = []
+
+        def threes() -> np.ndarray:
+            # How often runs of three characters, in GRAM_CLASSES classes, occur in each line.
+            out = np.empty((len(bodies), GRAM_CLASSES), np.int16)
+            for s in range(0, len(bodies), 128):
+                some = bodies[s : s + 128]
+                code = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                row = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                run = mixed(code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:]) % np.uint64(GRAM_CLASSES)
+                inside = row[:-2] == row[2:]
+                flat = np.bincount(row[:-2][inside] * GRAM_CLASSES + run[inside].astype(np.int64), minlength=len(some) * GRAM_CLASSES)
+                out[s : s + 128] = np.minimum(flat, 16_000).reshape(-1, GRAM_CLASSES)
+            return out
+
+        def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # An edit makes and removes three runs at most, so similar lines differ by six times the edits.
+            if not counts:
+                counts.append(threes())
+            out = np.empty(len(a), bool)
+            for s in range(0, len(a), 512):
+                u, v = a[s : s + 512], b[s : s + 512]
+                apart = np.abs(counts[0][u] - counts[0][v]).sum(1, dtype=np.int64)
+                out[s : s + 512] = apart <= 6 * edits(np.maximum(sizes[u], sizes[v]), similarity)
+            return out
+
+        return may, lambda u, v: similar(bodies[u], bodies[v], similarity)
+
+    return prepare
+
+
+def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between the keys of lines that meet and whose texts are similar enough; a forest of them per unit."""
+    posted = lines.where("posts IS NOT NULL").select(id_of("key").alias("id"), "fp", F.explode("posts").alias("post"))
+    units = write_table(units_of_work(meetings(posted, RADII, similarity), similarity), "units")
     # Lines that meet no other need no text.
-    wanted = named.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id").withColumnRenamed("key", "_key")
-    wanted = write_table(wanted.select("_key", "id", "first", "sim", "size", "units"), "active-lines")
-    lines = may_hold(lines.select("doc_id", "text_key", "line", "key", "norm"), "key", wanted)
-    on = (lines["key"] == wanted["_key"]) & (lines["line"] == wanted["first.line"]) & (lines["text_key"] == wanted["first.text_key"]) & lines["doc_id"].eqNullSafe(wanted["first.doc_id"])
-    texts = lines.join(wanted, on).select("id", "units", "key", "sim", "size", F.col("norm").alias("body"))
-    return verified_links(texts, lambda: lambda a, b: similar(a, b, similarity), REACH_BITS, similarity)
+    met = units.select(F.col("id").alias("_id")).distinct()
+    wanted = classes.withColumn("id", id_of("key")).join(met, F.col("id") == F.col("_id")).select(F.col("id"), F.col("key").alias("_key"), F.col("lead").alias("_lead"))
+    wanted = write_table(wanted, "wanted")
+    marked = may_hold(lines.select("key", "lead", "norm", "fp", "posts"), "key", wanted)
+    one = marked.join(wanted, (marked["key"] == wanted["_key"]) & (marked["lead"] == wanted["_lead"]))
+    return verified_links(units, one.select("id", "key", "fp", "posts", F.col("norm").alias("body")), edit_tests(similarity), RADII, similarity)
 
 
-def removed_lines(docs: DataFrame, radius: int | None = 3, similarity: float = 0.9, min_bytes: int = 16) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """Of the documents that lose lines: doc_id, text_key, removed (line numbers from 0, sorted); and doc_id,
     text_key, n_lines of each document; see ``dedup_lines``."""
-    written = write_table(lines_of(docs, min_bytes, similarity if radius is None else None), "lines")
-    lines = written.where("line >= 0").drop("n_lines")
-    # What belongs to the line's text is equal in all rows of a key.
-    texts_own = [F.first(c).alias(c) for c in ["sim", *(_MARK_COLUMNS if radius is None else [])]]
-    classes = write_table(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), *texts_own, F.count(F.lit(1)).alias("n")), "line-classes")
-    reached = connected_components(_met(lines, classes, similarity) if radius is None else _verified(lines, classes, radius, similarity))
+    if not 0.8 <= similarity < 1:
+        raise ValueError("similarity must be from 0.8 to below 1")
+    written = write_table(lines_of(docs, similarity), "lines")
+    lines = written.where("line >= 0")
+    # A line's text is read where it was posted: of those places the least.
+    lead = F.min(F.when(F.col("posts").isNotNull(), F.col("lead"))).alias("lead")
+    classes = write_table(lines.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n")), "line-classes")
+    reached = connected_components(line_links(lines, classes, similarity))
     joined = classes.join(reached, classes["key"] == reached["node"], "left").where("component IS NOT NULL OR n > 1")
-    repeated = write_table(joined.select("key", "first", F.coalesce("component", "key").alias("group")), "line-groups")
-    keepers = repeated.groupBy(F.col("group").alias("_group")).agg(F.min("first").alias("keep"))
     # Lines that are alone stay; of the others the group's first occurrence does.
-    kept = repeated.join(keepers, repeated["group"] == keepers["_group"]).select(F.col("key").alias("_key"), "keep")
+    repeated = joined.select(F.col("key").alias("_key"), F.coalesce("component", "key").alias("group"))
     slim = lines.select("doc_id", "text_key", "line", "key")
-    gone = slim.join(kept, slim["key"] == kept["_key"]).where(
-        ~((F.col("line") == F.col("keep.line")) & (F.col("text_key") == F.col("keep.text_key")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
-    )
+    found = write_table(slim.join(repeated, slim["key"] == repeated["_key"]).select("doc_id", "text_key", "line", "group"), "occurrences")
+    keepers = found.groupBy(F.col("group").alias("_group")).agg(F.min(F.struct("doc_id", "text_key", "line")).alias("keep"))
+    kept_here = (F.col("line") == F.col("keep.line")) & (F.col("text_key") == F.col("keep.text_key")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+    gone = found.join(keepers, found["group"] == keepers["_group"]).where(~kept_here)
     # A document's own lines meet in one task, as they do in its text.
     removed = write_table(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
     return removed, written.where("line = -1").select("doc_id", "text_key", "n_lines")
@@ -305,15 +390,14 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the lines that repeat others.
 
     Lines are compared in lower case by their words, which ASCII characters other than
-    letters and digits end.  Lines of fewer than ``min_bytes`` (16) normalised bytes are
-    left alone.  Two different lines are linked if their
-    64-bit SimHashes over words differ in at most ``radius`` (3) bits and 1 - edit
-    distance / longer length is at least ``similarity`` (0.9).  With ``radius`` None the
-    candidates are lines that share one of eight MinHash marks of their runs of bytes
-    instead, which finds nearly all pairs of that similarity.  Of all lines that links
-    or equality join, the occurrence with the smallest (doc_id, hash of the text, line
-    number) stays.  A document that loses all its lines goes; a null or empty text is
-    left as it is.  Rows that repeat doc_id and text lose the same lines.
+    letters and digits end; lines without a word are left alone.  Two different lines
+    are linked if they are candidates (see the module) and 1 - edit distance / longer
+    length is at least ``similarity`` (0.9).  Of all lines that links or equality join, of
+    whatever length, the occurrence with the smallest (doc_id, hash of the text, line
+    number) stays; a null doc_id is the smallest.  A document that loses all its lines
+    goes; a null or empty text is left as it is.  Rows that repeat doc_id and text lose
+    the same lines, so one line of theirs stays in each of them.  An empty table gives an
+    empty one.  Columns may have any names.
     """
     gone = removed_lines(docs, **options)[0].select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "removed")
     # Whatever the columns are called, they travel in one.

@@ -1,4 +1,9 @@
-"""MinHash marks: sets that are alike share the least of their members under some of many orders."""
+"""MinHash marks: sets that are alike share the least of their members under some of many orders.
+
+A row posts its marks; rows with one mark in common (a shard) meet.  A shard of many
+rows is dealt to blocks in the order of their sizes, and pairs of blocks are units of
+work, so no task compares more than two blocks, however hot a shard is.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workspace import shuffle_partitions, write_table
 from .bk_tree import Union
-from .simhash import TREE_ROWS, units_of, whole_units
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A post is one long: column of the mark, mark (32 bits), size of the row.
+SIZE_BITS, COLUMNS = 25, 16
+#: Rows of a block of a shard at most, where rows meet and where their bodies are compared.
+BLOCK_ROWS, BODY_ROWS = 4096, 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,136 +31,284 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def marks(members: np.ndarray, starts: np.ndarray, orders: int) -> np.ndarray:
-    """The least hash of each set under each of ``orders`` orders: one row a set, a column an order.
+    """The least hash of each set under each of ``orders`` orders, in 32 bits and never 0: one row a set, a column an order.
 
     ``members`` are hashes of the sets' members, set after set; ``starts`` is where each
     (non-empty) set begins.  Two sets agree in a column with the probability of their
-    Jaccard similarity.  Columns differ: equal numbers in two of them mean nothing.
+    Jaccard similarity.
     """
     out = np.empty((len(starts), orders), np.uint64)
     factors = mixed(np.arange(1, orders + 1, dtype=np.uint64)) | np.uint64(1)
     for k in range(orders):
-        least = np.minimum.reduceat(members * factors[k], starts)
-        out[:, k] = mixed(least + np.uint64(k))
-    return out
-
-
-def byte_grams(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``width`` (8 to 16) bytes of each text, which has as many at least, and where each text's begin."""
-    sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
-    eight = np.ndarray((len(data) - 8,), np.uint64, data, 0, (1,))
-    grams = mixed(eight[:-8])
-    if width > 8:
-        grams = mixed(grams + mixed(eight[width - 8 : width - 16 or None]) * np.uint64(3))
-    ends = np.cumsum(sizes)
-    whole = np.ones(len(grams), bool)
-    for k in range(1, width):
-        whole[ends - k] = False
-    counts = sizes - (width - 1)
-    return grams[whole], np.cumsum(counts) - counts
-
+        out[:, k] = mixed(np.minimum.reduceat(members * factors[k], starts) + np.uint64(k))
+    return np.maximum(out >> np.uint64(32), np.uint64(1))
 
-def short(made: np.ndarray) -> np.ndarray:
-    """Marks in 32 bits: what they bring together is compared anyway."""
-    return (made >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
+def posts_of(made: np.ndarray, sizes: np.ndarray, first_column: int = 0) -> np.ndarray:
+    """Marks (rows x columns, uint64 of 32 bits) and sizes of rows as posts (int64)."""
+    columns = np.arange(first_column, first_column + made.shape[1], dtype=np.uint64)
+    size = np.minimum(sizes, (1 << SIZE_BITS) - 1).astype(np.uint64)[:, None]
+    return (columns << np.uint64(32 + SIZE_BITS) | made << np.uint64(SIZE_BITS) | size).view(np.int64)
 
-def sketches(made: np.ndarray) -> np.ndarray:
-    """The low bytes of each row's eight short marks, as one long."""
-    return np.ascontiguousarray((made & 255).astype(np.uint8)).view(np.int64)[:, 0]
 
+def mark_matrix(posts: pa.Array) -> np.ndarray:
+    """The marks that each row of a list column of posts has in the first columns, 0 where it has none."""
+    flat = posts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(posts)), np.diff(posts.offsets.to_numpy()))
+    column = flat >> (32 + SIZE_BITS)
+    out = np.zeros((len(posts), COLUMNS), np.uint32)
+    first = column < COLUMNS
+    out[row[first], column[first]] = (flat[first] >> SIZE_BITS).astype(np.uint32)
+    return out
 
-def close_pairs(part: dict[str, np.ndarray], radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of one unit (rows are sorted by it) whose ``fp`` are within ``radius`` bits and whose sizes are at least as ``ratio`` to 1.
 
-    Rows that agree in several columns of marks are a pair in the first and the last of
-    them only, by the bytes of their sketches: these agree where marks do, and by chance
-    once in 256, so the pair is lost only if chance says so before and after all of them.
+def blocks_of_shards(batches: Iterator[pa.RecordBatch], limit: int, ratio: float, rows: int = 1 << 17) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+    """Rows sorted by shard and size as ``whole`` parts (of whole shards of at most ``limit`` rows), ``block`` parts (one
+    block of ``limit`` rows of a larger shard, numbered in column ``block``), and after the last block of a shard
+    ``pairs`` (shard, i, j): the pairs of its blocks, each with itself included, but for those all of whose sizes
+    are further apart than ``ratio`` to 1.  Held are ``rows`` rows and a batch."""
+    held: dict[str, np.ndarray] | None = None
+    opened: list[tuple[int, int]] = []
+    hot = 0
+
+    def close() -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+        for i in range(len(opened)):
+            end = next((j for j in range(i, len(opened)) if opened[j][0] * ratio > opened[i][1] + 1e-6), len(opened))
+            j = np.arange(i, end, dtype=np.int32)
+            yield "pairs", {"shard": np.full(len(j), hot), "i": np.full(len(j), i, np.int32), "j": j}
+        opened.clear()
+
+    def advance(data: dict[str, np.ndarray], final: bool) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+        nonlocal held, hot
+        shard = data["shard"]
+        n = len(shard)
+        if opened and (not n or shard[0] != hot):
+            yield from close()
+        held = {c: v[n:] for c, v in data.items()}
+        if not n:
+            return
+        bounds = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, n]
+        sizes = np.diff(bounds)
+        done = len(sizes) if final else len(sizes) - 1
+        big = sizes > limit
+        big[0] |= bool(opened)
+        small = ~big
+        small[done:] = False
+        if small.any():
+            chosen = np.repeat(small, sizes)
+            yield "whole", {c: v[chosen] for c, v in data.items()}
+        start = int(bounds[done])
+        for r in np.flatnonzero(big).tolist():
+            s, e = int(bounds[r]), int(bounds[r + 1])
+            hot = int(shard[s])
+            while e - s >= limit or r < done and e > s:
+                m = min(limit, e - s)
+                yield "block", {c: v[s : s + m] for c, v in data.items()} | {"block": np.full(m, len(opened), np.int32)}
+                opened.append((int(data["size"][s]), int(data["size"][s + m - 1])))
+                s += m
+            if r < done:
+                yield from close()
+            else:
+                start = s
+        held = {c: v[start:] for c, v in data.items()}
+
+    waiting: list[dict[str, np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        waiting.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        count += batch.num_rows
+        if count >= rows:
+            parts = [held, *waiting] if held else waiting
+            yield from advance({c: np.concatenate([p[c] for p in parts]) for c in waiting[0]}, False)
+            waiting, count = [], 0
+    parts = [held, *waiting] if held else waiting
+    if parts:
+        yield from advance({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, True)
+        yield from close()
+
+
+def near_rows(unit: np.ndarray, column: np.ndarray, fp: np.ndarray, size: np.ndarray, radii: list[int], ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a < b) of one unit whose ``fp`` (uint64) are within the bits that ``radii`` gives for the unit's column of
+    marks and whose sizes are at least as ``ratio`` to 1.
+
+    Rows are sorted by unit and size: a row's partners end where sizes are too large.
     """
-    unit, sim, size = units_of(part), part["fp"], part["size"]
     n = len(unit)
     ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
-    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(n)  # rows of the unit from here on
-    sim = sim.astype(np.int64).view(np.uint64)  # bits of a signed number are counted of its absolute value
-    column = (part["shard"].astype(np.int64) >> 32) % 8
-    low = part["sketch"].astype(np.int64).view(np.uint8).reshape(-1, 8)
-    at = np.arange(n)
-    step = 1
-    while len(at := at[left[at] > step]):
-        a, b = at, at + step
-        near = np.bitwise_count(sim[a] ^ sim[b]) <= radius
-        a, b = a[near], b[near]
-        fits = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        same = low[a] == low[b]
-        mine = (same.argmax(1) == column[a]) | (7 - same[:, ::-1].argmax(1) == column[a])
-        if mine.any():
-            yield a[mine], b[mine]
+    last = np.repeat(ends, np.diff(np.r_[0, ends]))
+    most = np.floor(size / ratio + 1e-9)
+    radius = np.array(radii)[column]
+    at, step = np.arange(n), 1
+    while len(at):
+        at = at[at + step < last[at]]
+        at = at[size[at + step] <= most[at]]
+        near = np.bitwise_count(fp[at] ^ fp[at + step]) <= radius[at]
+        if near.any():
+            yield at[near], at[near] + step
         step += 1
 
 
-def _dealt(posts: DataFrame, most: int) -> DataFrame:
-    """``posts`` (shard, id and others) by units (shard, i, j): a shard of over ``most`` rows is dealt to several
-    parts, and each pair of parts is a unit.  Rows that are alone in their shard go."""
-    # Counted where they meet, with one exchange: a row is carried, not compared, so a hot shard is no work yet.
-    counted = posts.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("shard"))).where("_n > 1")
-    dealt = counted.withColumn("parts", F.ceil(F.col("_n") / most).cast("int"))
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return dealt.withColumn("mine", mine).select("mine", *posts.columns, other).select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *posts.columns)
+def _numbers(part: dict[str, np.ndarray], *names: str) -> np.ndarray:
+    change = np.zeros(len(part[names[0]]) - 1, bool)
+    for c in names:
+        change |= part[c][1:] != part[c][:-1]
+    return np.cumsum(np.r_[False, change])
 
 
-def _together(units: DataFrame) -> DataFrame:
-    return units.repartition(shuffle_partitions(units.sparkSession), "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "id")
+def _met_batch(part: dict[str, np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
+    n = int(chosen.sum())
+    none = pa.nulls(n, pa.int32())
+    arrays = [pa.array(part["id"][chosen]), pa.array(part["shard"][chosen]), pa.array(part["size"][chosen], pa.int32()), pa.nulls(n, pa.int64()), none, none, none]
+    return pa.RecordBatch.from_arrays(arrays, names=_MET_NAMES)
 
 
-def meetings(classes: DataFrame, radius: int, ratio: float, unit_rows: int = 2048) -> DataFrame:
-    """id, units (shard, i, j, sketch): where a row of ``classes`` (id long, sim long, size int, first_mark int, marks array<int>,
-    sketches array<long>) meets another that ``close_pairs`` finds, in units of about ``unit_rows``; rows that meet none are left out.
+_MET_NAMES = ["id", "shard", "size", "fp", "block", "i", "j"]
+_MET = "id long, shard long, size int, fp long, block int, i int, j int"
 
-    A shard is a column of marks and a value.  The first mark is of column ``first_mark``; each eight have a sketch.
-    """
-    posts = classes.select("id", "sim", "size", "first_mark", "sketches", F.posexplode("marks").alias("_at", "_mark")).select(
-        ((F.col("_at") + F.col("first_mark")).cast("long") * F.lit(1 << 32) + F.col("_mark").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("shard"),
-        "id", F.col("sim").alias("fp"), "size", F.get("sketches", F.floor(F.col("_at") / 8).cast("int")).alias("sketch"),
-    )
+
+def _by_pairs_of_blocks(made: DataFrame) -> DataFrame:
+    """The ``block`` rows of a table that ``blocks_of_shards`` gave, for each pair of blocks that they are in."""
+    pairs = made.where("i IS NOT NULL").select(F.col("shard").alias("_shard"), "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block"))
+    rows = made.where("block IS NOT NULL").drop("i", "j")
+    # Keys are (shard, block): no key has more rows than a block, or than there are blocks.
+    return rows.join(pairs, (rows["shard"] == pairs["_shard"]) & (rows["block"] == pairs["_block"])).drop("_shard", "_block")
+
+
+def _apart(part: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without pairs within a block where two blocks meet: those are compared where the block meets itself."""
+    cross = (part["i"][a] == part["j"][a]) | (part["block"][a] != part["block"][b])
+    return a[cross], b[cross]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches joined to parts of about ``rows`` rows that end where a unit (shard, i, j) ends; lists stay Arrow arrays."""
+    held: pa.Table | None = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held.num_rows >= rows:
+            keys = [held.column(c).to_numpy() for c in ("shard", "i", "j")]
+            other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield _arrays(held.slice(0, cut))
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield _arrays(held)
+
+
+def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
+    out = {}
+    for c, t in zip(table.schema.names, table.schema.types):
+        column = table.column(c).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        out[c] = column if pa.types.is_list(t) else column.to_numpy(zero_copy_only=False)
+    return out
+
+
+def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, shard, size: where a row of ``posted`` (id long, fp long, post long) shares a mark with a row of another id,
+    with ``fp`` within the bits that ``radii`` gives for the mark's column and sizes at least as ``ratio`` to 1.
+    Rows may repeat."""
+    n = shuffle_partitions(posted.sparkSession)
+    shard = F.shiftright("post", SIZE_BITS)
+    size = F.col("post").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    dealt = posted.select("post", "id", "fp").repartition(n, shard).sortWithinPartitions("post")
+    dealt = dealt.select(shard.alias("shard"), size.cast("int").alias("size"), "id", "fp")
+
+    def compare(part: dict[str, np.ndarray], unit: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(unit), bool)
+        fp = part["fp"].view(np.uint64)
+        for a, b in near_rows(unit, part["shard"] >> 32, fp, part["size"], radii, ratio):
+            if "block" in part:
+                a, b = _apart(part, a, b)
+            other = part["id"][a] != part["id"][b]
+            met[a[other]] = met[b[other]] = True
+        return met
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_units(batches, 1 << 17):
-            met = np.zeros(len(part["id"]), bool)
-            for a, b in close_pairs(part, radius, ratio):
-                met[a] = met[b] = True
-            yield pa.RecordBatch.from_arrays([pa.array(part[c][met]) for c in ("id", "shard", "sketch")], names=["id", "shard", "sketch"])
-
-    met = None
-    # Half the columns at a time, so that half the exchanges' files are there at once.
-    for half in (0, 1):
-        own = posts.where(F.floor(F.col("shard") / (1 << 34)) % 2 == half)
-        found = write_table(_together(_dealt(own, TREE_ROWS)).mapInArrow(meet, "id long, shard long, sketch long").distinct(), "met")
-        met = met.union(found) if met else found
-    return _dealt(met, unit_rows).groupBy("id").agg(F.collect_list(F.struct("shard", "i", "j", "sketch")).alias("units"))
-
-
-def verified_links(rows: DataFrame, alike: Callable[[], Callable[[object, object], bool]], radius: int, ratio: float) -> DataFrame:
-    """Edges (a, b) between the keys of rows (id long, units, key binary, sim, size, body) that meet in
-    a shard and whose bodies are alike; a forest of them per unit.  ``alike`` makes a part's test of two of its rows' bodies."""
-    units = rows.select(F.explode("units").alias("u"), "id", "key", F.col("sim").alias("fp"), "size", "body").select("u.*", "id", "key", "fp", "size", "body")
+        for kind, part in blocks_of_shards(batches, block_rows, ratio):
+            if kind == "whole":
+                yield _met_batch(part, compare(part, _numbers(part, "shard")))
+            else:
+                m = len(part["shard"])
+                columns = {c: pa.array(part[c]) if c in part else pa.nulls(m, t) for c, t in zip(_MET_NAMES, _MET_TYPES)}
+                yield pa.RecordBatch.from_arrays([columns[c].cast(t) for c, t in zip(_MET_NAMES, _MET_TYPES)], names=_MET_NAMES)
+
+    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _grouped(batches, 1 << 15):
+            yield _met_batch(part, compare(part, _numbers(part, "shard", "i", "j")))
+
+    made = write_table(dealt.mapInArrow(meet, _MET), "met")
+    met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "size")
+    if made.where("i IS NOT NULL").isEmpty():
+        return met
+    units = _by_pairs_of_blocks(made.select("shard", "size", "id", "fp", "block", "i", "j"))
+    units = units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "size").select("shard", "i", "j", "block", "size", "id", "fp")
+    return met.union(units.mapInArrow(meet_blocks, _MET).select("id", "shard", "size"))
+
+
+_MET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) -> DataFrame:
+    """shard, i, j, block, size, id: the rows of ``met`` (id, shard, size) for each unit that they are compared in."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, part in blocks_of_shards(batches, block_rows, ratio):
+            m = len(part["shard"])
+            if kind == "whole":
+                part = part | {"block": np.zeros(m, np.int32), "i": np.zeros(m, np.int32), "j": np.zeros(m, np.int32)}
+            columns = [pa.array(part[c]).cast(t) if c in part else pa.nulls(m, t) for c, t in zip(_MET_NAMES, _MET_TYPES)]
+            yield pa.RecordBatch.from_arrays(columns, names=_MET_NAMES)
+
+    n = shuffle_partitions(met.sparkSession)
+    dealt = met.distinct().repartition(n, "shard").sortWithinPartitions("shard", "size", "id").mapInArrow(deal, _MET).drop("fp")
+    made = write_table(dealt, "dealt")
+    whole = made.where("id IS NOT NULL AND i IS NOT NULL")
+    split = _by_pairs_of_blocks(made.where("id IS NULL OR i IS NULL"))
+    columns = ["shard", "i", "j", "block", "size", "id"]
+    return whole.select(*columns).union(split.select(*columns))
+
+
+def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, radii: list[int], ratio: float) -> DataFrame:
+    """Edges (a, b) between keys of ``rows`` (id long, key binary, fp long, posts array<long>, body) that meet in
+    a unit (``units_of_work``) and are alike; a forest of them per unit.
+
+    A pair that shares several marks is compared in the column of the first only.
+    ``prepare(bodies, sizes)`` makes a part's two tests: of pairs (arrays of places), which may
+    rule out what can't be alike, and of two places, which decides.
+    """
+    n = shuffle_partitions(units.sparkSession)
+    work = units.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("shard", "i", "j", "block", "size", "key", "fp", "posts", "body")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_units(batches, 1 << 12):
-            key, body = part["key"], part["body"]
-            test = alike()
+        for part in _grouped(batches, 1 << 12):
+            key, made = part["key"], mark_matrix(part["posts"])
+            column = part["shard"] >> 32
+            may, alike = prepare(part["body"], part["size"])
             union = Union(len(key))
             edges: list[tuple[int, int]] = []
-            for a, b in close_pairs(part, radius, ratio):
+            for a, b in near_rows(_numbers(part, "shard", "i", "j"), column, part["fp"].astype(np.int64).view(np.uint64), part["size"], radii, ratio):
+                a, b = _apart(part, a, b)
+                shared = (made[a] == made[b]) & (made[a] != 0)
+                mine = (column[a] >= COLUMNS) | (shared.argmax(1) == column[a])
+                a, b = a[mine], b[mine]
                 apart = union.roots(a) != union.roots(b)
-                for u, v in zip(a[apart].tolist(), b[apart].tolist()):
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    continue
+                likely = may(a, b)
+                for u, v in zip(a[likely].tolist(), b[likely].tolist()):
                     # Rows that are joined already need no proof that they are.
-                    if union.find(u) != union.find(v) and (key[u] == key[v] or test(body[u], body[v])):
+                    if union.find(u) != union.find(v) and (key[u] == key[v] or alike(u, v)):
                         union.join(u, v)
                         edges.append((u, v))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([key[u] for u, _ in edges], pa.binary()), pa.array([key[v] for _, v in edges], pa.binary())], names=["a", "b"])
 
-    return _together(units).mapInArrow(verify, "a binary, b binary")
+    return work.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "size").mapInArrow(verify, "a binary, b binary")
+
+
+def id_of(key: str | Column) -> Column:
+    """The long that stands for a key where rows meet; links are between keys."""
+    return F.xxhash64(key)

@@ -1,16 +1,18 @@
 """Operators on documents: small tables with every awkward row, against plain versions."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from scriptloom.llm import language_id, line_dedup, mixing, packing, sharding, simhash, token_counts  # noqa: E402
+from scriptloom.llm import language_id, line_dedup, minhash, mixing, packing, sharding, simhash, token_counts  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -175,42 +177,61 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert ids[5] == 1 and 104 not in ids and 105 not in ids and ids[None] == 1 and sum(ids[i] for i in (100, 101, 102)) == 1
 
 
-def test_edit_distance():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
+def test_edit_distance():
     rng = random.Random(0)
     for _ in range(400):
         a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 25)))
         b = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 25))) if rng.random() < 0.5 else a[:5] + rng.choice("abcx") + a[6:]
-        d = plain(a, b)
+        d = plain_distance(a, b)
         assert line_dedup.edit_distance(a, b, 100) == d
         assert line_dedup.edit_distance(a, b, 3) == min(d, 4)
         assert line_dedup.similar(a, b, 0.8) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    for _ in range(300):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 250)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 6)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        assert line_dedup.similar(a, b, 0.9) == (plain_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9))
+
+
+def plain_lines(text):
+    """Normalised lines, by a rule of their own: words of ASCII letters and digits and whatever is beyond ASCII."""
+    return [" ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", x)) for x in text.lower().split("\n")]
 
 
 def plain_line_dedup(rows, similarity=0.9):
-    """Lines that stay, by comparing all pairs of lines."""
+    """Lines that go, by the edit distance of all pairs of lines."""
     import struct
 
     places, norms = [], []
     for d, t, *_ in rows:
         h = xxhash.xxh64_intdigest((t or "").encode(), 42)
         key = struct.unpack("<q", struct.pack("<Q", h))[0]
-        for i, words in enumerate(line_dedup.line_words(t) if t else []):
-            norm = b" ".join(words)
-            if len(norm) >= 16:
+        for i, norm in enumerate(plain_lines(t) if t else []):
+            if norm:
                 places.append((d, key, i))
                 norms.append(norm)
     distinct = sorted(set(norms))
-    sims = dict(zip(distinct, line_dedup.line_simhashes([n.split() for n in distinct], line_dedup._WordHashes()).tolist()))
+
+    def linked(a, b):
+        most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+        if a == b or abs(len(a) - len(b)) > most or sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values()) > 2 * most:
+            return a == b
+        return plain_distance(a, b) <= most
+
+    group = plain_components(list(enumerate(distinct)), linked)
     at = {n: i for i, n in enumerate(distinct)}
-    group = plain_components([(i, n) for i, n in enumerate(distinct)], lambda a, b: a == b or (sims[a] ^ sims[b]).bit_count() <= 3 and line_dedup.similar(a.decode(), b.decode(), similarity))
     members = defaultdict(list)
     for p, n in zip(places, norms):
         members[group[at[n]]].append(p)
@@ -218,6 +239,35 @@ def plain_line_dedup(rows, similarity=0.9):
     return {p for ps in members.values() for p in ps if p != min(ps, key=first)}
 
 
+def test_lines_are_normalised():
+    texts = ["", "a", "  A  b!! c \n\n ..x..\t", "\u00c9t\u00e9 \u2014 5%\r\nZ", " \n", "\u65e5\u672c\u3000x"]
+    data, sizes, counts = line_dedup.normal_lines(texts)
+    ends = np.cumsum(sizes)
+    got = [data.tobytes()[e - n : e].decode() for e, n in zip(ends.tolist(), sizes.tolist())]
+    assert got == [x for t in texts for x in plain_lines(t)] and counts.tolist() == [t.count("\n") + 1 for t in texts]
+
+
+def test_lines_meet_in_hot_shards_too(spark, monkeypatch):
+    """With blocks of three rows every pair of a shard still meets once, in whatever unit."""
+    rng = random.Random(4)
+    posts = [(i, 0, (i % 3) << 57 | 1 << 25 | rng.randint(80, 120)) for i in range(60)]
+    table = spark.createDataFrame(posts, "id long, fp long, post long")
+    met = minhash.meetings(table, [64] * 3, 0.8, block_rows=3)
+    size = {i: p & 0x1FFFFFF for i, _, p in posts}
+    want = {i for i in size for j in size if i != j and i % 3 == j % 3 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert {r.id for r in met.collect()} == want
+    pairs = defaultdict(int)
+    units = defaultdict(list)
+    for r in minhash.units_of_work(met, 0.8, block_rows=4).collect():
+        units[r.shard, r.i, r.j].append((r.id, r.block))
+    for (_, i, j), rows in units.items():
+        assert len(rows) <= 8
+        for n, (a, x) in enumerate(rows):
+            for b, y in rows[n + 1 :]:
+                pairs[min(a, b), max(a, b)] += i == j or x != y
+    assert all(pairs[a, b] == 1 for a in want for b in want if a < b and a % 3 == b % 3 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+
+
 def test_line_dedup(spark, rows, docs, empty):
     noisy = rows[:40] + [(200 + i, rows[i][1].replace("stone", "stones", 1) + "\nshort\n" + rows[i + 1][1].split("\n")[0].upper() + "!!", "en", "s0", 0) for i in range(25)] + rows[60:64]
     df = spark.createDataFrame(noisy, SCHEMA)
