@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import write_table
 from .components import connected_components
-from .minhash import COLUMNS, id_of, marks, meetings, mixed, posts_of, units_of_work, verified_links
+from .minhash import COLUMNS, SIZE_BITS, id_of, marks, meetings, mixed, posts_of, sketches, units_of_work, verified_links
 
 #: ASCII characters other than letters and digits end a word; lines end at the line feed.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
-#: Bits of a byte in eight byte-wide counters.
-_SPREAD = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 #: Bits of the filter for lines that may need their text.
 FILTER_BITS = 24
 #: Lines under so many characters are marked by runs of SHORT_RUN bytes, others by runs of LONG_RUN, those that may be similar to both by both.
@@ -80,7 +78,7 @@ def runs_of_bytes(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, widt
 def simhashes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHash of each line's hashes, which begin at ``first``: a bit is 1 if over half of them have it.
 
-    Bits are counted in bytes, eight to a number, over runs of up to 255 hashes.
+    Every eighth bit is counted at a time, in the bytes of one number, over runs of up to 255 hashes.
     """
     sizes = np.diff(np.r_[first, len(grams)])
     runs = -(-sizes // 255)
@@ -88,12 +86,12 @@ def simhashes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     run_first = np.cumsum(runs) - runs
     run_starts = first[run_line] + 255 * (np.arange(len(run_line)) - run_first[run_line])
     out = np.zeros(len(sizes), np.uint64)
-    octets = grams.view(np.uint8).reshape(-1, 8)
+    lanes = np.uint64(0x0101010101010101)
     for k in range(8):
-        counts = np.add.reduceat(_SPREAD[octets[:, k]], run_starts).view(np.uint8).reshape(-1, 8)
+        counts = np.add.reduceat(grams >> np.uint64(k) & lanes, run_starts).view(np.uint8).reshape(-1, 8)
         votes = np.add.reduceat(counts.astype(np.int32), run_first, axis=0) if len(run_line) > len(sizes) else counts.astype(np.int32)
-        packed = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little")[:, 0]
-        out |= packed.astype(np.uint64) << np.uint64(8 * k)
+        over = (2 * votes > sizes[:, None]).astype(np.uint8)
+        out |= np.ascontiguousarray(over).view(np.uint64)[:, 0] << np.uint64(k)
     return out
 
 
@@ -194,17 +192,19 @@ def half_marks(line: bytes, size: int) -> list[int]:
     return out
 
 
-def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of lines and their posts: where lines meet others of that similarity."""
+def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of lines, their posts (where lines meet others of that similarity), and each line's sketches of its marks by long and short runs."""
     rows, posts = [], []
+    drawn = np.zeros((len(starts), 2), np.int64)
     short = int(2 / (1 - similarity) + 1e-9)  # two edits from this size on
-    marked = ((chars >= int(similarity * SHORT_CHARS), LONG_RUN, 0), ((chars >= int(similarity * short)) & (chars < SHORT_CHARS), SHORT_RUN, ORDERS))
-    for chosen, width, column in marked:
+    marked = ((chars >= int(similarity * SHORT_CHARS), LONG_RUN), ((chars >= int(similarity * short)) & (chars < SHORT_CHARS), SHORT_RUN))
+    for k, (chosen, width) in enumerate(marked):
         at = np.flatnonzero(chosen & (sizes >= width))
         if len(at):
             made = marks(*runs_of_bytes(eight, starts[at], sizes[at], width), ORDERS)
             rows.append(np.repeat(at, ORDERS))
-            posts.append(posts_of(made, chars[at], column).reshape(-1))
+            posts.append(posts_of(made, chars[at], k * ORDERS).reshape(-1))
+            drawn[at, k] = sketches(made)
     at = np.flatnonzero(edits(chars, similarity) == 1)
     if len(at):
         raw = data.tobytes()
@@ -213,17 +213,17 @@ def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: n
         rows.append(np.repeat(at, 4))
         posts.append(np.hstack(both).reshape(-1))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), drawn
     rows, posts = np.concatenate(rows), np.concatenate(posts)
     order = np.argsort(rows, kind="stable")
-    return rows[order], posts[order]
+    return rows[order], posts[order], drawn
 
 
 def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_key, line, key, lead, norm, fp, posts of each line that has a word, and for each document a row
-    with line -1 and its number of lines in ``n_lines``.
+    """doc_id, text_key, line, key, lead, norm, fp, posts, long_sketch, short_sketch of each line that has a word, and for
+    each document a row with line -1 and its number of lines in ``n_lines``.
 
-    ``fp`` and ``posts`` are given where a task meets a line first, else null."""
+    ``fp``, ``posts`` and sketches are given where a task meets a line first, else null."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -250,19 +250,19 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
                     new[i] = True
             # A line of which no edit is allowed has nothing to look for.
             at = np.flatnonzero(new & (edits(chars, similarity) > 0))
-            fps, posts, offsets = np.zeros(len(doc), np.int64), np.zeros(0, np.int64), np.zeros(len(doc) + 1, np.int32)
+            fps, posts, offsets, drawn = np.zeros(len(doc), np.int64), np.zeros(0, np.int64), np.zeros(len(doc) + 1, np.int32), np.zeros((len(doc), 2), np.int64)
             if len(at):
                 padded = np.concatenate([data, np.zeros(16, np.uint8)])
                 eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,))
                 fps[at] = simhashes(*runs_of_bytes(eight, starts[at], sizes[at], 4)).view(np.int64)
-                row, posts = line_posts(data, eight, starts[at], sizes[at], chars[at], similarity)
+                row, posts, drawn[at] = line_posts(data, eight, starts[at], sizes[at], chars[at], similarity)
                 offsets = np.r_[0, np.cumsum(np.bincount(at[row], minlength=len(doc)))].astype(np.int32)
             of = pa.array(doc, pa.int32())
             norm = pa.StringArray.from_buffers(len(doc), pa.py_buffer(np.r_[starts, len(data)].astype(np.int32).tobytes()), pa.py_buffer(raw))
             none = np.diff(offsets) == 0
             columns = [
                 ids.take(of), keys.take(of), pa.array(line, pa.int32()), pa.array(digests, pa.binary()), norm, pa.array(fps, pa.int64(), mask=none),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(posts), mask=pa.array(none)), pa.nulls(len(doc), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(posts), mask=pa.array(none)), *[pa.array(drawn[:, k].copy(), mask=none) for k in (0, 1)], pa.nulls(len(doc), pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
@@ -282,12 +282,12 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    made = slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, norm string, fp long, posts array<long>, n_lines long")
+    made = slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, norm string, fp long, posts array<long>, long_sketch long, short_sketch long, n_lines long")
     return made.withColumn("lead", F.xxhash64("doc_id", "text_key", "line"))
 
 
-_NAMES = ["doc_id", "text_key", "line", "key", "norm", "fp", "posts", "n_lines"]
-_TYPES = [pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+_NAMES = ["doc_id", "text_key", "line", "key", "norm", "fp", "posts", "long_sketch", "short_sketch", "n_lines"]
+_TYPES = [pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
 
 def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -342,15 +342,17 @@ def edit_tests(similarity: float) -> Callable:
 
 def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the keys of lines that meet and whose texts are similar enough; a forest of them per unit."""
-    posted = lines.where("posts IS NOT NULL").select(id_of("key").alias("id"), "fp", F.explode("posts").alias("post"))
-    units = write_table(units_of_work(meetings(posted, RADII, similarity), similarity), "units")
+    posted = lines.where("posts IS NOT NULL").select(id_of("key").alias("id"), "fp", "long_sketch", "short_sketch", F.explode("posts").alias("post"))
+    column = F.shiftright("post", 32 + SIZE_BITS)
+    sketch = F.when(column < ORDERS, F.col("long_sketch")).otherwise(F.col("short_sketch")).alias("sketch")
+    units = units_of_work(meetings(posted.select("id", "fp", sketch, "post"), RADII, similarity), similarity)
     # Lines that meet no other need no text.
     met = units.select(F.col("id").alias("_id")).distinct()
     wanted = classes.withColumn("id", id_of("key")).join(met, F.col("id") == F.col("_id")).select(F.col("id"), F.col("key").alias("_key"), F.col("lead").alias("_lead"))
     wanted = write_table(wanted, "wanted")
-    marked = may_hold(lines.select("key", "lead", "norm", "fp", "posts"), "key", wanted)
+    marked = may_hold(lines.where("posts IS NOT NULL").select("key", "lead", "norm", "fp"), "key", wanted)
     one = marked.join(wanted, (marked["key"] == wanted["_key"]) & (marked["lead"] == wanted["_lead"]))
-    return verified_links(units, one.select("id", "key", "fp", "posts", F.col("norm").alias("body")), edit_tests(similarity), RADII, similarity)
+    return verified_links(units, one.select("id", "key", "fp", F.col("norm").alias("body")), edit_tests(similarity), RADII, similarity)
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame, DataFrame]:

@@ -51,15 +51,20 @@ def posts_of(made: np.ndarray, sizes: np.ndarray, first_column: int = 0) -> np.n
     return (columns << np.uint64(32 + SIZE_BITS) | made << np.uint64(SIZE_BITS) | size).view(np.int64)
 
 
-def mark_matrix(posts: pa.Array) -> np.ndarray:
-    """The marks that each row of a list column of posts has in the first columns, 0 where it has none."""
-    flat = posts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(posts)), np.diff(posts.offsets.to_numpy()))
-    column = flat >> (32 + SIZE_BITS)
-    out = np.zeros((len(posts), COLUMNS), np.uint32)
-    first = column < COLUMNS
-    out[row[first], column[first]] = (flat[first] >> SIZE_BITS).astype(np.uint32)
-    return out
+def sketches(made: np.ndarray) -> np.ndarray:
+    """Nine bits of each of the first seven of eight marks, as one long: which marks two rows share, but for chance (once in 512)."""
+    out = np.zeros(len(made), np.uint64)
+    for k in range(made.shape[1] - 1):
+        out |= (made[:, k] & np.uint64(511)) << np.uint64(9 * k)
+    return out.view(np.int64)
+
+
+def first_shared(column: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether marks of rows that meet in a column differ in all columns of its eight before it, by their sketches (int64)."""
+    differ, mine = a ^ b, np.ones(len(a), bool)
+    for k in range(7):
+        mine &= (column >= COLUMNS) | (column % 8 <= k) | (differ >> (9 * k) & 511 != 0)
+    return mine
 
 
 def blocks_of_shards(batches: Iterator[pa.RecordBatch], limit: int, ratio: float, rows: int = 1 << 17) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
@@ -158,12 +163,13 @@ def _numbers(part: dict[str, np.ndarray], *names: str) -> np.ndarray:
 def _met_batch(part: dict[str, np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
     n = int(chosen.sum())
     none = pa.nulls(n, pa.int32())
-    arrays = [pa.array(part["id"][chosen]), pa.array(part["shard"][chosen]), pa.array(part["size"][chosen], pa.int32()), pa.nulls(n, pa.int64()), none, none, none]
+    arrays = [*[pa.array(part[c][chosen]) for c in ("id", "shard", "sketch")], pa.array(part["size"][chosen], pa.int32()), pa.nulls(n, pa.int64()), none, none, none]
     return pa.RecordBatch.from_arrays(arrays, names=_MET_NAMES)
 
 
-_MET_NAMES = ["id", "shard", "size", "fp", "block", "i", "j"]
-_MET = "id long, shard long, size int, fp long, block int, i int, j int"
+_MET_NAMES = ["id", "shard", "sketch", "size", "fp", "block", "i", "j"]
+_MET_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+_MET = "id long, shard long, sketch long, size int, fp long, block int, i int, j int"
 
 
 def _by_pairs_of_blocks(made: DataFrame) -> DataFrame:
@@ -181,7 +187,7 @@ def _apart(part: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[n
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted batches joined to parts of about ``rows`` rows that end where a unit (shard, i, j) ends; lists stay Arrow arrays."""
+    """Sorted batches joined to parts of about ``rows`` rows that end where a unit (shard, i, j) ends."""
     held: pa.Table | None = None
     for batch in batches:
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -198,22 +204,22 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str,
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
     out = {}
-    for c, t in zip(table.schema.names, table.schema.types):
+    for c in table.schema.names:
         column = table.column(c).combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        out[c] = column if pa.types.is_list(t) else column.to_numpy(zero_copy_only=False)
+        out[c] = column.to_numpy(zero_copy_only=False)
     return out
 
 
 def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id, shard, size: where a row of ``posted`` (id long, fp long, post long) shares a mark with a row of another id,
-    with ``fp`` within the bits that ``radii`` gives for the mark's column and sizes at least as ``ratio`` to 1.
-    Rows may repeat."""
+    """id, shard, sketch, size: where a row of ``posted`` (id long, fp long, sketch long, post long) shares a mark with a
+    row of another id, and no mark of a column before it, with ``fp`` within the bits that ``radii`` gives for the
+    mark's column and sizes at least as ``ratio`` to 1.  Rows may repeat."""
     n = shuffle_partitions(posted.sparkSession)
     shard = F.shiftright("post", SIZE_BITS)
     size = F.col("post").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
-    dealt = posted.select("post", "id", "fp").repartition(n, shard).sortWithinPartitions("post")
-    dealt = dealt.select(shard.alias("shard"), size.cast("int").alias("size"), "id", "fp")
+    dealt = posted.select("post", "id", "fp", "sketch").repartition(n, shard).sortWithinPartitions("post")
+    dealt = dealt.select(shard.alias("shard"), size.cast("int").alias("size"), "id", "fp", "sketch")
 
     def compare(part: dict[str, np.ndarray], unit: np.ndarray) -> np.ndarray:
         met = np.zeros(len(unit), bool)
@@ -221,7 +227,7 @@ def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int
         for a, b in near_rows(unit, part["shard"] >> 32, fp, part["size"], radii, ratio):
             if "block" in part:
                 a, b = _apart(part, a, b)
-            other = part["id"][a] != part["id"][b]
+            other = (part["id"][a] != part["id"][b]) & first_shared(part["shard"][a] >> 32, part["sketch"][a], part["sketch"][b])
             met[a[other]] = met[b[other]] = True
         return met
 
@@ -239,19 +245,16 @@ def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int
             yield _met_batch(part, compare(part, _numbers(part, "shard", "i", "j")))
 
     made = write_table(dealt.mapInArrow(meet, _MET), "met")
-    met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "size")
+    met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "sketch", "size")
     if made.where("i IS NOT NULL").isEmpty():
         return met
-    units = _by_pairs_of_blocks(made.select("shard", "size", "id", "fp", "block", "i", "j"))
-    units = units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "size").select("shard", "i", "j", "block", "size", "id", "fp")
-    return met.union(units.mapInArrow(meet_blocks, _MET).select("id", "shard", "size"))
-
-
-_MET_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    units = _by_pairs_of_blocks(made.select("shard", "size", "id", "fp", "sketch", "block", "i", "j"))
+    units = units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "size").select("shard", "i", "j", "block", "size", "id", "fp", "sketch")
+    return met.union(units.mapInArrow(meet_blocks, _MET).select("id", "shard", "sketch", "size"))
 
 
 def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) -> DataFrame:
-    """shard, i, j, block, size, id: the rows of ``met`` (id, shard, size) for each unit that they are compared in."""
+    """shard, i, j, block, size, id, sketch: the rows of ``met`` (id, shard, sketch, size) for each unit that they are compared in."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, part in blocks_of_shards(batches, block_rows, ratio):
@@ -266,32 +269,30 @@ def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) ->
     made = write_table(dealt, "dealt")
     whole = made.where("id IS NOT NULL AND i IS NOT NULL")
     split = _by_pairs_of_blocks(made.where("id IS NULL OR i IS NULL"))
-    columns = ["shard", "i", "j", "block", "size", "id"]
+    columns = ["shard", "i", "j", "block", "size", "id", "sketch"]
     return whole.select(*columns).union(split.select(*columns))
 
 
 def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, radii: list[int], ratio: float) -> DataFrame:
-    """Edges (a, b) between keys of ``rows`` (id long, key binary, fp long, posts array<long>, body) that meet in
+    """Edges (a, b) between keys of ``rows`` (id long, key binary, fp long, body) that meet in
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
-    A pair that shares several marks is compared in the column of the first only.
+    A pair that shares several marks is compared in the column of the first only, as it was found.
     ``prepare(bodies, sizes)`` makes a part's two tests: of pairs (arrays of places), which may
     rule out what can't be alike, and of two places, which decides.
     """
     n = shuffle_partitions(units.sparkSession)
-    work = units.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("shard", "i", "j", "block", "size", "key", "fp", "posts", "body")
+    work = units.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("shard", "i", "j", "block", "size", "sketch", "key", "fp", "body")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _grouped(batches, 1 << 12):
-            key, made = part["key"], mark_matrix(part["posts"])
-            column = part["shard"] >> 32
+            key, sketch, column = part["key"], part["sketch"], part["shard"] >> 32
             may, alike = prepare(part["body"], part["size"])
             union = Union(len(key))
             edges: list[tuple[int, int]] = []
             for a, b in near_rows(_numbers(part, "shard", "i", "j"), column, part["fp"].astype(np.int64).view(np.uint64), part["size"], radii, ratio):
                 a, b = _apart(part, a, b)
-                shared = (made[a] == made[b]) & (made[a] != 0)
-                mine = (column[a] >= COLUMNS) | (shared.argmax(1) == column[a])
+                mine = first_shared(column[a], sketch[a], sketch[b])
                 a, b = a[mine], b[mine]
                 apart = union.roots(a) != union.roots(b)
                 a, b = a[apart], b[apart]
