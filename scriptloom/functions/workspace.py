@@ -15,7 +15,29 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
-_WRITTEN: list[str] = []
+
+
+class Tables:
+    """Paths of the tables written while it is open (``with``): its owner deletes them when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _OPEN.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        """Delete the tables; results that still read them must be saved before."""
+        while self.paths:
+            delete(spark, self.paths.pop())
+
+
+#: Tables written while no owner is open belong to the first.
+_OPEN: list[Tables] = [Tables()]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,9 +53,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other table has; ``release`` deletes it."""
+    """A path in the shared folder that no other table has; it belongs to the ``Tables`` opened last."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _OPEN[-1].paths.append(path)
     return path
 
 
@@ -63,7 +85,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with set_for(spark, FILES_GO):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_path = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table that ``write_table`` wrote and that nothing will read again."""
+    for tables in _OPEN:
+        if made.written_path in tables.paths:
+            tables.paths.remove(made.written_path)
+    delete(made.sparkSession, made.written_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -72,9 +104,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; results that still read them must be saved before."""
-    while _WRITTEN:
-        delete(spark, _WRITTEN.pop())
+    """Delete the tables that belong to nobody else; results that still read them must be saved before."""
+    _OPEN[0].release(spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
