@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.workspace import write_table
 from .components import connected_components
-from .minhash import COLUMNS, SIZE_BITS, id_of, marks, meetings, mixed, posts_of, sketches, units_of_work, verified_links
+from .minhash import COLUMNS, id_of, marks, met_units, mixed, posts_of, sketches, verified_links
 
 #: ASCII characters other than letters and digits end a word; lines end at the line feed.
 _BREAKS = bytes(c if c > 127 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
@@ -193,9 +193,8 @@ def half_marks(line: bytes, size: int) -> list[int]:
 
 
 def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chars: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of lines, their posts (where lines meet others of that similarity), and each line's sketches of its marks by long and short runs."""
-    rows, posts = [], []
-    drawn = np.zeros((len(starts), 2), np.int64)
+    """Numbers of lines, their posts (where lines meet others of that similarity), and the sketch of marks beside each post."""
+    rows, posts, drawn = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     short = int(2 / (1 - similarity) + 1e-9)  # two edits from this size on
     marked = ((chars >= int(similarity * SHORT_CHARS), LONG_RUN), ((chars >= int(similarity * short)) & (chars < SHORT_CHARS), SHORT_RUN))
     for k, (chosen, width) in enumerate(marked):
@@ -204,7 +203,7 @@ def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: n
             made = marks(*runs_of_bytes(eight, starts[at], sizes[at], width), ORDERS)
             rows.append(np.repeat(at, ORDERS))
             posts.append(posts_of(made, chars[at], k * ORDERS).reshape(-1))
-            drawn[at, k] = sketches(made)
+            drawn.append(np.repeat(sketches(made), ORDERS))
     at = np.flatnonzero(edits(chars, similarity) == 1)
     if len(at):
         raw = data.tobytes()
@@ -212,18 +211,13 @@ def line_posts(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: n
         both = [posts_of(made[:, k : k + 2], chars[at], COLUMNS) for k in (0, 2)]
         rows.append(np.repeat(at, 4))
         posts.append(np.hstack(both).reshape(-1))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), drawn
-    rows, posts = np.concatenate(rows), np.concatenate(posts)
-    order = np.argsort(rows, kind="stable")
-    return rows[order], posts[order], drawn
+        drawn.append(np.zeros(4 * len(at), np.int64))
+    return np.concatenate(rows), np.concatenate(posts), np.concatenate(drawn)
 
 
-def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, text_key, line, key, lead, norm, fp, posts, long_sketch, short_sketch of each line that has a word, and for
-    each document a row with line -1 and its number of lines in ``n_lines``.
-
-    ``fp``, ``posts`` and sketches are given where a task meets a line first, else null."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line, key, lead, norm, new of each line that has a word, and for each document a row with line
+    -1 and its number of lines in ``n_lines``.  ``new`` is where a task meets a line first; ``lead`` stands for the row."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -234,36 +228,18 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
             line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
             some = sizes > 0
             doc, line, sizes = doc[some], line[some], sizes[some]
-            starts = np.cumsum(sizes) - sizes
+            ends = np.r_[0, np.cumsum(sizes)]
             raw = data.tobytes()
-            begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            chars = begins[starts + sizes] - begins[starts]
-            digests = [hashlib.md5(raw[s:e], usedforsecurity=False).digest() for s, e in zip(starts.tolist(), (starts + sizes).tolist())]
+            digests = [hashlib.md5(raw[s:e], usedforsecurity=False).digest() for s, e in zip(ends.tolist(), ends[1:].tolist())]
             if len(seen) > SEEN_LINES:
                 seen.clear()
-            before = len(seen)
-            new = np.zeros(len(doc), bool)
-            for i, d in enumerate(digests):
+            new = []
+            for d in digests:
+                new.append(d not in seen)
                 seen.add(d)
-                if len(seen) > before:
-                    before += 1
-                    new[i] = True
-            # A line of which no edit is allowed has nothing to look for.
-            at = np.flatnonzero(new & (edits(chars, similarity) > 0))
-            fps, posts, offsets, drawn = np.zeros(len(doc), np.int64), np.zeros(0, np.int64), np.zeros(len(doc) + 1, np.int32), np.zeros((len(doc), 2), np.int64)
-            if len(at):
-                padded = np.concatenate([data, np.zeros(16, np.uint8)])
-                eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,))
-                fps[at] = simhashes(*runs_of_bytes(eight, starts[at], sizes[at], 4)).view(np.int64)
-                row, posts, drawn[at] = line_posts(data, eight, starts[at], sizes[at], chars[at], similarity)
-                offsets = np.r_[0, np.cumsum(np.bincount(at[row], minlength=len(doc)))].astype(np.int32)
             of = pa.array(doc, pa.int32())
-            norm = pa.StringArray.from_buffers(len(doc), pa.py_buffer(np.r_[starts, len(data)].astype(np.int32).tobytes()), pa.py_buffer(raw))
-            none = np.diff(offsets) == 0
-            columns = [
-                ids.take(of), keys.take(of), pa.array(line, pa.int32()), pa.array(digests, pa.binary()), norm, pa.array(fps, pa.int64(), mask=none),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(posts), mask=pa.array(none)), *[pa.array(drawn[:, k].copy(), mask=none) for k in (0, 1)], pa.nulls(len(doc), pa.int64()),
-            ]
+            norm = pa.StringArray.from_buffers(len(doc), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw))
+            columns = [ids.take(of), keys.take(of), pa.array(line, pa.int32()), pa.array(digests, pa.binary()), norm, pa.array(new, pa.bool_()), pa.nulls(len(doc), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
         for batch in batches:
@@ -278,16 +254,45 @@ def lines_of(docs: DataFrame, similarity: float) -> DataFrame:
                     part, held = [], 0
             n = len(texts)
             counts = pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array([-1] * n, pa.int32()), *[pa.nulls(n, t) for t in _TYPES], counts], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), counts], names=_NAMES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    made = slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, norm string, fp long, posts array<long>, long_sketch long, short_sketch long, n_lines long")
+    made = slim.mapInArrow(split, f"doc_id {kind}, text_key long, line int, key binary, norm string, new boolean, n_lines long")
     return made.withColumn("lead", F.xxhash64("doc_id", "text_key", "line"))
 
 
-_NAMES = ["doc_id", "text_key", "line", "key", "norm", "fp", "posts", "long_sketch", "short_sketch", "n_lines"]
-_TYPES = [pa.binary(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+_NAMES = ["doc_id", "text_key", "line", "key", "norm", "new", "n_lines"]
+
+
+def posts_by_line(lines: DataFrame, similarity: float) -> DataFrame:
+    """id, fp, sketch, post: where each of ``lines`` (id, norm) meets others; none for lines of which no edit is allowed."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = batch.column("norm")
+            if not len(norm):
+                continue
+            offsets = norm.offsets.to_numpy() if hasattr(norm, "offsets") else np.frombuffer(norm.buffers()[1], np.int32)[norm.offset : norm.offset + len(norm) + 1]
+            whole = np.frombuffer(norm.buffers()[2], np.uint8)
+            ids = batch.column("id").to_numpy()
+            at = 0
+            while at < len(ids):
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES)) - 1)
+                ends = (offsets[at : end + 1] - offsets[at]).astype(np.int64)
+                data = whole[offsets[at] : offsets[end]]
+                chars = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends])
+                chosen = np.flatnonzero(edits(chars, similarity) > 0)
+                if len(chosen):
+                    starts, sizes, own = ends[:-1][chosen], np.diff(ends)[chosen], ids[at:end][chosen]
+                    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+                    eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,))
+                    fp = simhashes(*runs_of_bytes(eight, starts, sizes, 4)).view(np.int64)
+                    row, posts, sketch = line_posts(data, eight, starts, sizes, chars[chosen], similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(fp[row]), pa.array(sketch), pa.array(posts)], names=["id", "fp", "sketch", "post"])
+                at = end
+
+    return lines.mapInArrow(post, "id long, fp long, sketch long, post long")
 
 
 def may_hold(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -342,17 +347,16 @@ def edit_tests(similarity: float) -> Callable:
 
 def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the keys of lines that meet and whose texts are similar enough; a forest of them per unit."""
-    posted = lines.where("posts IS NOT NULL").select(id_of("key").alias("id"), "fp", "long_sketch", "short_sketch", F.explode("posts").alias("post"))
-    column = F.shiftright("post", 32 + SIZE_BITS)
-    sketch = F.when(column < ORDERS, F.col("long_sketch")).otherwise(F.col("short_sketch")).alias("sketch")
-    units = units_of_work(meetings(posted.select("id", "fp", sketch, "post"), RADII, similarity), similarity)
+    posted = posts_by_line(lines.where("new").select(id_of("key").alias("id"), "norm"), similarity)
+    units = met_units(posted, RADII, similarity)
     # Lines that meet no other need no text.
     met = units.select(F.col("id").alias("_id")).distinct()
-    wanted = classes.withColumn("id", id_of("key")).join(met, F.col("id") == F.col("_id")).select(F.col("id"), F.col("key").alias("_key"), F.col("lead").alias("_lead"))
+    wanted = classes.withColumn("id", id_of("key")).join(met, F.col("id") == F.col("_id")).select(F.col("id"), F.col("lead").alias("_key"))
     wanted = write_table(wanted, "wanted")
-    marked = may_hold(lines.where("posts IS NOT NULL").select("key", "lead", "norm", "fp"), "key", wanted)
-    one = marked.join(wanted, (marked["key"] == wanted["_key"]) & (marked["lead"] == wanted["_lead"]))
-    return verified_links(units, one.select("id", "key", "fp", F.col("norm").alias("body")), edit_tests(similarity), RADII, similarity)
+    one = may_hold(lines.where("new").select("key", "lead", "norm"), "lead", wanted).join(wanted, F.col("lead") == F.col("_key"))
+    # Rows of another line that have the same lead by chance are none of that id's.
+    one = one.where(id_of("key") == F.col("id")).select("id", "key", F.col("norm").alias("body"))
+    return verified_links(units, one, edit_tests(similarity), RADII, similarity)
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -360,10 +364,10 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame,
     text_key, n_lines of each document; see ``dedup_lines``."""
     if not 0.8 <= similarity < 1:
         raise ValueError("similarity must be from 0.8 to below 1")
-    written = write_table(lines_of(docs, similarity), "lines")
+    written = write_table(lines_of(docs), "lines")
     lines = written.where("line >= 0")
     # A line's text is read where it was posted: of those places the least.
-    lead = F.min(F.when(F.col("posts").isNotNull(), F.col("lead"))).alias("lead")
+    lead = F.min(F.when(F.col("new"), F.col("lead"))).alias("lead")
     classes = write_table(lines.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n")), "line-classes")
     reached = connected_components(line_links(lines, classes, similarity))
     joined = classes.join(reached, classes["key"] == reached["node"], "left").where("component IS NOT NULL OR n > 1")

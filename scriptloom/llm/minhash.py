@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workspace import shuffle_partitions, write_table
+from ..functions.workspace import discard, shuffle_partitions, write_table
 from .bk_tree import Union
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +163,7 @@ def _numbers(part: dict[str, np.ndarray], *names: str) -> np.ndarray:
 def _met_batch(part: dict[str, np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
     n = int(chosen.sum())
     none = pa.nulls(n, pa.int32())
-    arrays = [*[pa.array(part[c][chosen]) for c in ("id", "shard", "sketch")], pa.array(part["size"][chosen], pa.int32()), pa.nulls(n, pa.int64()), none, none, none]
+    arrays = [*[pa.array(part[c][chosen]) for c in ("id", "shard", "sketch")], pa.array(part["size"][chosen], pa.int32()), pa.array(part["fp"][chosen]), none, none, none]
     return pa.RecordBatch.from_arrays(arrays, names=_MET_NAMES)
 
 
@@ -212,7 +212,7 @@ def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id, shard, sketch, size: where a row of ``posted`` (id long, fp long, sketch long, post long) shares a mark with a
+    """id, shard, sketch, size, fp: where a row of ``posted`` (id long, fp long, sketch long, post long) shares a mark with a
     row of another id, and no mark of a column before it, with ``fp`` within the bits that ``radii`` gives for the
     mark's column and sizes at least as ``ratio`` to 1.  Rows may repeat."""
     n = shuffle_partitions(posted.sparkSession)
@@ -245,19 +245,35 @@ def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int
             yield _met_batch(part, compare(part, _numbers(part, "shard", "i", "j")))
 
     made = write_table(dealt.mapInArrow(meet, _MET), "met")
-    met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "sketch", "size")
+    met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "sketch", "size", "fp")
+    met.written_path = made.written_path
     if made.where("i IS NOT NULL").isEmpty():
         return met
     units = _by_pairs_of_blocks(made.select("shard", "size", "id", "fp", "sketch", "block", "i", "j"))
     units = units.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "size").select("shard", "i", "j", "block", "size", "id", "fp", "sketch")
-    return met.union(units.mapInArrow(meet_blocks, _MET).select("id", "shard", "sketch", "size"))
+    both = met.union(units.mapInArrow(meet_blocks, _MET).select("id", "shard", "sketch", "size", "fp"))
+    both.written_path = made.written_path
+    return both
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, size and id without those that repeat the one before."""
+    last = None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in ("shard", "id")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+        if batch.num_rows:
+            new[0] = (keys[0][0], keys[1][0]) != last
+            last = keys[0][-1], keys[1][-1]
+        yield batch.filter(pa.array(new))
 
 
 def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) -> DataFrame:
-    """shard, i, j, block, size, id, sketch: the rows of ``met`` (id, shard, sketch, size) for each unit that they are compared in."""
+    """shard, i, j, block, size, id, sketch, fp: the rows of ``met`` (id, shard, sketch, size, fp) for each unit that they are compared in."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, part in blocks_of_shards(batches, block_rows, ratio):
+        for kind, part in blocks_of_shards(_once(batches), block_rows, ratio):
             m = len(part["shard"])
             if kind == "whole":
                 part = part | {"block": np.zeros(m, np.int32), "i": np.zeros(m, np.int32), "j": np.zeros(m, np.int32)}
@@ -265,16 +281,24 @@ def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) ->
             yield pa.RecordBatch.from_arrays(columns, names=_MET_NAMES)
 
     n = shuffle_partitions(met.sparkSession)
-    dealt = met.distinct().repartition(n, "shard").sortWithinPartitions("shard", "size", "id").mapInArrow(deal, _MET).drop("fp")
+    dealt = met.repartition(n, "shard").sortWithinPartitions("shard", "size", "id").mapInArrow(deal, _MET)
     made = write_table(dealt, "dealt")
     whole = made.where("id IS NOT NULL AND i IS NOT NULL")
     split = _by_pairs_of_blocks(made.where("id IS NULL OR i IS NULL"))
-    columns = ["shard", "i", "j", "block", "size", "id", "sketch"]
+    columns = ["shard", "i", "j", "block", "size", "id", "sketch", "fp"]
     return whole.select(*columns).union(split.select(*columns))
 
 
+def met_units(posted: DataFrame, radii: list[int], ratio: float) -> DataFrame:
+    """``units_of_work`` of ``meetings``, whose own table goes."""
+    made = meetings(posted, radii, ratio)
+    units = units_of_work(made, ratio)
+    discard(made)
+    return units
+
+
 def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, radii: list[int], ratio: float) -> DataFrame:
-    """Edges (a, b) between keys of ``rows`` (id long, key binary, fp long, body) that meet in
+    """Edges (a, b) between keys of ``rows`` (id long, key binary, body) that meet in
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
     A pair that shares several marks is compared in the column of the first only, as it was found.
