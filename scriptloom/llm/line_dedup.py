@@ -4,7 +4,7 @@ Within the few bits for which pigeonhole blocks of a SimHash are selective only
 quarter of the similar lines lie.  So the blocks are pieces of the lines themselves: the
 two halves of a short line, and for longer lines the runs of bytes that come first
 under each of eight orders (MinHash).  Lines that share one are candidates if their SimHashes,
-over runs of four bytes, are within ``RADII``.
+over runs of four bytes, are within ``REACH``.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ FILTER_BITS = 24
 SHORT_CHARS, SHORT_RUN, LONG_RUN = 64, 6, 12
 #: Columns of marks of either kind.
 ORDERS = 8
-#: Most bits between the SimHashes of lines that meet and are compared, by the column of the mark: of long runs, of short ones, of
-#: halves (one edit in so few runs turns any number of bits).
-RADII = [18] * ORDERS + [26] * ORDERS + [64] * 2
+#: Most bits between the SimHashes of lines that meet and are compared, by the marks that they share (0 to 8): by long runs, by
+#: short ones (an edit turns more bits of so few runs), by halves (any number).
+REACH = np.array([[0, 10, 16, 18, 18, 18, 18, 18, 18], [0, 14, 20, 26, 26, 26, 26, 26, 26], [64] * 9])
 #: Classes of runs of three characters by which lines are compared before their edit distance is.
 GRAM_CLASSES = 1024
 #: Normalised bytes whose lines are made at a time (a longer text is one part), and lines that a task remembers to have posted.
@@ -348,7 +348,7 @@ def edit_tests(similarity: float) -> Callable:
 def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the keys of lines that meet and whose texts are similar enough; a forest of them per unit."""
     posted = posts_by_line(lines.where("new").select(id_of("key").alias("id"), "norm"), similarity)
-    units = met_units(posted, RADII, similarity)
+    units = met_units(posted, REACH, similarity)
     # Lines that meet no other need no text.
     met = units.select(F.col("id").alias("_id")).distinct()
     wanted = classes.withColumn("id", id_of("key")).join(met, F.col("id") == F.col("_id")).select(F.col("id"), F.col("lead").alias("_key"))
@@ -356,7 +356,7 @@ def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataF
     one = may_hold(lines.where("new").select("key", "lead", "norm"), "lead", wanted).join(wanted, F.col("lead") == F.col("_key"))
     # Rows of another line that have the same lead by chance are none of that id's.
     one = one.where(id_of("key") == F.col("id")).select("id", "key", F.col("norm").alias("body"))
-    return verified_links(units, one, edit_tests(similarity), RADII, similarity)
+    return verified_links(units, one, edit_tests(similarity), REACH, similarity)
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame, DataFrame]:

@@ -59,12 +59,16 @@ def sketches(made: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def first_shared(column: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether marks of rows that meet in a column differ in all columns of its eight before it, by their sketches (int64)."""
-    differ, mine = a ^ b, np.ones(len(a), bool)
+def close_rows(column: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Whether rows that meet in a column share none of the marks of the columns before it, and differ in no more
+    ``bits`` than ``reach`` (a row for each eight columns) allows for the marks that they share; by their sketches (int64)."""
+    differ, first, shared = a ^ b, np.ones(len(a), bool), np.ones(len(a), np.int64)
+    own = column % 8
     for k in range(7):
-        mine &= (column >= COLUMNS) | (column % 8 <= k) | (differ >> (9 * k) & 511 != 0)
-    return mine
+        same = (column < COLUMNS) & (differ >> (9 * k) & 511 == 0)
+        first &= ~same | (k >= own)
+        shared += same & (k > own)
+    return first & (bits <= reach[column // 8, shared])
 
 
 def blocks_of_shards(batches: Iterator[pa.RecordBatch], limit: int, ratio: float, rows: int = 1 << 17) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
@@ -132,34 +136,36 @@ def blocks_of_shards(batches: Iterator[pa.RecordBatch], limit: int, ratio: float
         yield from close()
 
 
-def near_rows(unit: np.ndarray, column: np.ndarray, fp: np.ndarray, size: np.ndarray, radii: list[int], ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (a < b) of one unit whose ``fp`` (uint64) are within the bits that ``radii`` gives for the unit's column of
-    marks and whose sizes are at least as ``ratio`` to 1.
+def near_rows(part: dict[str, np.ndarray], units: tuple[str, ...], reach: np.ndarray, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a < b) of one unit that are close (``close_rows``) and whose sizes are at least as ``ratio`` to 1.
 
     Rows are sorted by unit and size: a row's partners end where sizes are too large.
+    Where two blocks meet, rows of one block are left to the unit in which it meets itself.
     """
-    n = len(unit)
-    ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
+    size, fp, sketch, column = part["size"], part["fp"].astype(np.int64).view(np.uint64), part["sketch"], part["shard"] >> 32
+    n = len(size)
+    change = np.zeros(n - 1, bool)
+    for c in units:
+        change |= part[c][1:] != part[c][:-1]
+    ends = np.flatnonzero(np.r_[change, True]) + 1
     last = np.repeat(ends, np.diff(np.r_[0, ends]))
-    most = np.floor(size / ratio + 1e-9)
-    radius = np.array(radii)[column]
+    most, widest = np.floor(size / ratio + 1e-9), reach.max(1)[column // 8]
     at, step = np.arange(n), 1
     while len(at):
         at = at[at + step < last[at]]
         at = at[size[at + step] <= most[at]]
-        near = np.bitwise_count(fp[at] ^ fp[at + step]) <= radius[at]
-        if near.any():
-            yield at[near], at[near] + step
+        a = at
+        if "j" in part:
+            a = a[(part["i"][a] == part["j"][a]) | (part["block"][a] != part["block"][a + step])]
+        bits = np.bitwise_count(fp[a] ^ fp[a + step])
+        near = bits <= widest[a]
+        a, bits = a[near], bits[near]
+        if len(a):
+            a = a[close_rows(column[a], bits, sketch[a], sketch[a + step], reach)]
+            yield a, a + step
         step += 1
 
 
-def _numbers(part: dict[str, np.ndarray], *names: str) -> np.ndarray:
-    change = np.zeros(len(part[names[0]]) - 1, bool)
-    for c in names:
-        change |= part[c][1:] != part[c][:-1]
-    return np.cumsum(np.r_[False, change])
-
-
 def _met_batch(part: dict[str, np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
     n = int(chosen.sum())
     none = pa.nulls(n, pa.int32())
@@ -180,12 +186,6 @@ def _by_pairs_of_blocks(made: DataFrame) -> DataFrame:
     return rows.join(pairs, (rows["shard"] == pairs["_shard"]) & (rows["block"] == pairs["_block"])).drop("_shard", "_block")
 
 
-def _apart(part: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without pairs within a block where two blocks meet: those are compared where the block meets itself."""
-    cross = (part["i"][a] == part["j"][a]) | (part["block"][a] != part["block"][b])
-    return a[cross], b[cross]
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[dict[str, np.ndarray]]:
     """Sorted batches joined to parts of about ``rows`` rows that end where a unit (shard, i, j) ends."""
     held: pa.Table | None = None
@@ -211,30 +211,26 @@ def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, shard, sketch, size, fp: where a row of ``posted`` (id long, fp long, sketch long, post long) shares a mark with a
-    row of another id, and no mark of a column before it, with ``fp`` within the bits that ``radii`` gives for the
-    mark's column and sizes at least as ``ratio`` to 1.  Rows may repeat."""
+    row of another id that is close (``close_rows``), with sizes at least as ``ratio`` to 1.  Rows may repeat."""
     n = shuffle_partitions(posted.sparkSession)
     shard = F.shiftright("post", SIZE_BITS)
     size = F.col("post").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     dealt = posted.select("post", "id", "fp", "sketch").repartition(n, shard).sortWithinPartitions("post")
     dealt = dealt.select(shard.alias("shard"), size.cast("int").alias("size"), "id", "fp", "sketch")
 
-    def compare(part: dict[str, np.ndarray], unit: np.ndarray) -> np.ndarray:
-        met = np.zeros(len(unit), bool)
-        fp = part["fp"].view(np.uint64)
-        for a, b in near_rows(unit, part["shard"] >> 32, fp, part["size"], radii, ratio):
-            if "block" in part:
-                a, b = _apart(part, a, b)
-            other = (part["id"][a] != part["id"][b]) & first_shared(part["shard"][a] >> 32, part["sketch"][a], part["sketch"][b])
+    def compare(part: dict[str, np.ndarray], units: tuple[str, ...]) -> np.ndarray:
+        met = np.zeros(len(part["id"]), bool)
+        for a, b in near_rows(part, units, reach, ratio):
+            other = part["id"][a] != part["id"][b]
             met[a[other]] = met[b[other]] = True
         return met
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, part in blocks_of_shards(batches, block_rows, ratio):
             if kind == "whole":
-                yield _met_batch(part, compare(part, _numbers(part, "shard")))
+                yield _met_batch(part, compare(part, ("shard",)))
             else:
                 m = len(part["shard"])
                 columns = {c: pa.array(part[c]) if c in part else pa.nulls(m, t) for c, t in zip(_MET_NAMES, _MET_TYPES)}
@@ -242,7 +238,7 @@ def meetings(posted: DataFrame, radii: list[int], ratio: float, block_rows: int
 
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _grouped(batches, 1 << 15):
-            yield _met_batch(part, compare(part, _numbers(part, "shard", "i", "j")))
+            yield _met_batch(part, compare(part, ("shard", "i", "j")))
 
     made = write_table(dealt.mapInArrow(meet, _MET), "met")
     met = made.where("id IS NOT NULL AND block IS NULL").select("id", "shard", "sketch", "size", "fp")
@@ -289,15 +285,15 @@ def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) ->
     return whole.select(*columns).union(split.select(*columns))
 
 
-def met_units(posted: DataFrame, radii: list[int], ratio: float) -> DataFrame:
+def met_units(posted: DataFrame, reach: np.ndarray, ratio: float) -> DataFrame:
     """``units_of_work`` of ``meetings``, whose own table goes."""
-    made = meetings(posted, radii, ratio)
+    made = meetings(posted, reach, ratio)
     units = units_of_work(made, ratio)
     discard(made)
     return units
 
 
-def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, radii: list[int], ratio: float) -> DataFrame:
+def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach: np.ndarray, ratio: float) -> DataFrame:
     """Edges (a, b) between keys of ``rows`` (id long, key binary, body) that meet in
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
@@ -310,14 +306,11 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, radii:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _grouped(batches, 1 << 12):
-            key, sketch, column = part["key"], part["sketch"], part["shard"] >> 32
+            key = part["key"]
             may, alike = prepare(part["body"], part["size"])
             union = Union(len(key))
             edges: list[tuple[int, int]] = []
-            for a, b in near_rows(_numbers(part, "shard", "i", "j"), column, part["fp"].astype(np.int64).view(np.uint64), part["size"], radii, ratio):
-                a, b = _apart(part, a, b)
-                mine = first_shared(column[a], sketch[a], sketch[b])
-                a, b = a[mine], b[mine]
+            for a, b in near_rows(part, ("shard", "i", "j"), reach, ratio):
                 apart = union.roots(a) != union.roots(b)
                 a, b = a[apart], b[apart]
                 if not len(a):

@@ -252,7 +252,7 @@ def test_lines_meet_in_hot_shards_too(spark, monkeypatch):
     rng = random.Random(4)
     posts = [(i, 0, 0, 17 << 57 | (i % 3) << 30 | 1 << 25 | rng.randint(80, 120)) for i in range(60)]
     table = spark.createDataFrame(posts, "id long, fp long, sketch long, post long")
-    met = minhash.meetings(table, [64] * 18, 0.8, block_rows=3)
+    met = minhash.meetings(table, np.full((3, 9), 64), 0.8, block_rows=3)
     size = {i: p & 0x1FFFFFF for i, _, _, p in posts}
     want = {i for i in size for j in size if i != j and i % 3 == j % 3 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
     assert {r.id for r in met.collect()} == want
