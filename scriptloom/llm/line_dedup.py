@@ -113,26 +113,6 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - j], b[: len(b) - j]
 
 
-def edits_by_parts(a: str, b: str, most: int) -> int:
-    """Edits that turn a into b, if not the fewest: parts between equal pieces near the same place are edited one by one."""
-    todo, total = [(a, b)], 0
-    while todo and total <= most:
-        a, b = _trimmed(*todo.pop())
-        if not a or not b:
-            total += max(len(a), len(b))
-            continue
-        at = -1
-        if min(len(a), len(b)) > 48:
-            for i in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
-                piece = a[i : i + 16]
-                if len(piece) == 16 and (at := b.find(piece, max(0, i - most), i + most + 16)) >= 0:
-                    todo += [(a[:i], b[:at]), (a[i:], b[at:])]
-                    break
-        if at < 0:
-            total += edit_distance(a, b, most - total)
-    return total
-
-
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or ``most`` + 1 if it is over ``most``; bit-parallel over whatever a and b don't share at their ends."""
     if abs(len(a) - len(b)) > most:
@@ -172,7 +152,73 @@ def similar(a: str, b: str, similarity: float) -> bool:
     # Replacing word by word is one way to edit: if it is short enough the distance is.
     if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= most:
         return True
-    return edits_by_parts(a, b, most) <= most or edit_distance(a, b, most) <= most
+    return edit_distance(a, b, most) <= most
+
+
+#: Edits for which distances of many pairs are counted in bytes, and in two bytes.
+BYTE_EDITS, WORD_EDITS = 120, 4000
+
+
+def distances(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Levenshtein distances of pairs as far as they are at most ``most`` (up to WORD_EDITS); what is larger is over it.
+
+    All pairs go through the band of ``most`` diagonals to either side at once, one
+    antidiagonal after another: diagonals of one parity are derived from the other's.
+    """
+    n, most = len(a), max(1, most)
+    kind, none = (np.uint8, BYTE_EDITS + 10) if most <= BYTE_EDITS else (np.uint16, WORD_EDITS + 10)
+    ends = np.array([(len(x), len(y)) for x, y in zip(a, b)])
+    longest = int(ends.max()) + 2
+    edge = most + 2
+
+    def laid(texts: list[str], filler: int) -> np.ndarray:
+        # A column a text, with a filler that the other side doesn't have.
+        out = np.full((n, longest + 2 * edge), filler, np.uint32)
+        for row, t in zip(out, texts):
+            row[edge : edge + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if int(out[:, edge:-edge].max(initial=0)) < 1 << 16 or (out[out < 1 << 21] < 65_000).all():
+            out = np.where(out >= 1 << 21, 65_000 + (out & 1), out).astype(np.uint16)
+        return np.ascontiguousarray(out.T)
+
+    x, y = laid(a, 1 << 30)[::-1], laid(b, 1 << 30 | 1)
+    if x.dtype != y.dtype:
+        x, y = x.astype(np.uint32), y.astype(np.uint32)
+    x = np.ascontiguousarray(x)
+    # Diagonals -most, -most + 2, ... and those between, with a margin that is never reached.
+    own = np.full((most + 1, n), none, kind)
+    other = np.full((most + 2, n), none, kind)
+    if most % 2 == 0:
+        own[most // 2] = 0
+    else:
+        other[most // 2 + 1] = 0
+    left = {}
+    for i, (p, q) in enumerate(ends.tolist()):
+        left.setdefault(p + q, []).append((i, q - p + most))
+    out = np.full(n, none, np.int64)
+    for i, place in left.get(0, []):
+        out[i] = 0
+    for t in range(1, int(ends.sum(1).max()) + 1):
+        first = (t + most) % 2  # place of the first diagonal of this parity
+        count = most + 1 - first
+        # There, a[i - 1] meets b[j - 1]; further on i falls and j rises.
+        i, j = (t + most - first) // 2, (t - most + first) // 2
+        p, q = x.shape[0] - edge - i, edge + j - 1
+        differ = x[p : p + count] != y[q : q + count]
+        if first == 0:
+            now, one, two = own, other[:-1], other[1:]
+        else:
+            now, one, two = other[1:-1], own[:-1], own[1:]
+        step = np.minimum(one, two)
+        step += 1
+        now += differ.view(np.uint8)
+        np.minimum(now, step, out=now)
+        if t % 100 == 0:  # what can't be reached grows by one a step
+            np.minimum(own, none, out=own)
+            np.minimum(other, none, out=other)
+        for k, place in left.get(t, ()):
+            if 0 <= place <= 2 * most and place % 2 == first:
+                out[k] = now[place // 2, k]
+    return out
 
 
 def edits(size: np.ndarray, similarity: float) -> np.ndarray:
@@ -340,7 +386,29 @@ def edit_tests(similarity: float) -> Callable:
                 out[s : s + 512] = apart <= 6 * edits(np.maximum(sizes[u], sizes[v]), similarity)
             return out
 
-        return may, lambda u, v: similar(bodies[u], bodies[v], similarity)
+        def alike(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            most = edits(np.maximum(sizes[u], sizes[v]), similarity)
+            out = np.zeros(len(u), bool)
+            pairs = [_trimmed(bodies[i], bodies[j]) for i, j in zip(u.tolist(), v.tolist())]
+            length = np.array([max(len(x), len(y)) for x, y in pairs])
+            out[length <= most] = True
+            order = np.flatnonzero(~out & (np.abs(sizes[u] - sizes[v]) <= most))
+            order = order[np.lexsort((length[order], most[order] // 16))]
+            at = 0
+            while at < len(order):
+                # Pairs of about one length at a time: a band is as wide and as long as the longest of them.
+                start = order[at]
+                like = (most[order[at:]] // 16 == most[start] // 16) & (length[order[at:]] <= 1.3 * length[start] + 16)
+                some = order[at : at + min(int(like.sum()), 1024)]
+                at += len(some)
+                widest = int(most[some].max())
+                if len(some) >= 6 and widest <= WORD_EDITS:
+                    out[some] = distances([pairs[k][0] for k in some], [pairs[k][1] for k in some], widest) <= most[some]
+                else:
+                    out[some] = [edit_distance(*pairs[k], int(most[k])) <= most[k] for k in some]
+            return out
+
+        return may, alike
 
     return prepare
 

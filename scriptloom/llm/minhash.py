@@ -21,7 +21,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A post is one long: column of the mark, mark (32 bits), size of the row.
 SIZE_BITS, COLUMNS = 25, 16
 #: Rows of a block of a shard at most, where rows meet and where their bodies are compared.
-BLOCK_ROWS, BODY_ROWS = 4096, 512
+BLOCK_ROWS, BODY_ROWS = 4096, 2048
+#: Pairs whose bodies are compared at a time.
+PAIRS = 2048
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -298,8 +300,8 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
     A pair that shares several marks is compared in the column of the first only, as it was found.
-    ``prepare(bodies, sizes)`` makes a part's two tests: of pairs (arrays of places), which may
-    rule out what can't be alike, and of two places, which decides.
+    ``prepare(bodies, sizes)`` makes a part's two tests of pairs (arrays of places): one that may
+    rule out what can't be alike, and one that decides.
     """
     n = shuffle_partitions(units.sparkSession)
     work = units.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("shard", "i", "j", "block", "size", "sketch", "key", "fp", "body")
@@ -310,17 +312,28 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
             may, alike = prepare(part["body"], part["size"])
             union = Union(len(key))
             edges: list[tuple[int, int]] = []
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def decide() -> None:
+                # Rows that are joined already need no proof that they are.
+                a, b = (np.concatenate(x) for x in zip(*waiting))  # noqa: B023
+                waiting.clear()  # noqa: B023
+                for s in range(0, len(a), PAIRS):
+                    u, v = a[s : s + PAIRS], b[s : s + PAIRS]
+                    apart = union.roots(u) != union.roots(v)  # noqa: B023
+                    u, v = u[apart], v[apart]
+                    edges.extend(union.join_all(u[sure := alike(u, v)], v[sure]))  # noqa: B023
+
             for a, b in near_rows(part, ("shard", "i", "j"), reach, ratio):
                 apart = union.roots(a) != union.roots(b)
                 a, b = a[apart], b[apart]
-                if not len(a):
-                    continue
-                likely = may(a, b)
-                for u, v in zip(a[likely].tolist(), b[likely].tolist()):
-                    # Rows that are joined already need no proof that they are.
-                    if union.find(u) != union.find(v) and (key[u] == key[v] or alike(u, v)):
-                        union.join(u, v)
-                        edges.append((u, v))
+                likely = may(a, b) if len(a) else apart
+                if likely.any():
+                    waiting.append((a[likely], b[likely]))
+                    if sum(len(x) for x, _ in waiting) >= PAIRS:
+                        decide()
+            if waiting:
+                decide()
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([key[u] for u, _ in edges], pa.binary()), pa.array([key[v] for _, v in edges], pa.binary())], names=["a", "b"])
 

@@ -205,6 +205,22 @@ def test_edit_distance():
         assert line_dedup.similar(a, b, 0.9) == (plain_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9))
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcd e\u65e5\U0001f600") for _ in range(rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5 + 1)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        pairs.append((a, "".join(b)))
+    for most in (1, 2, 7, 130):
+        got = line_dedup.distances([a for a, _ in pairs], [b for _, b in pairs], most)
+        for (a, b), d in zip(pairs, got.tolist()):
+            assert min(d, most + 1) == min(plain_distance(a, b), most + 1)
+
+
 def plain_lines(text):
     """Normalised lines, by a rule of their own: words of ASCII letters and digits and whatever is beyond ASCII."""
     return [" ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", x)) for x in text.lower().split("\n")]
