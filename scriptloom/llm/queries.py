@@ -21,7 +21,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of all documents by temperature, with no source read more than four times."""
     from .mixing import schedule
 
-    plan = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), repetition_limit=4.0)
+    plan = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json"), repetition_limit=4.0)
     return plan.select("doc_id", "source", "n_tokens", "epoch", "place")
 
 

@@ -338,6 +338,50 @@ def test_schedule_meets_budgets(spark, docs, rows, empty, budget):
     assert mixing.schedule(empty, repetition_limit=2.0).count() == 0 and mixing.mix(empty, repetition_limit=2.0).count() == 0
 
 
+@pytest.mark.parametrize("budget", [30, 45, 50, 60, 95])
+def test_mix_reads_what_is_scheduled(spark, budget):
+    """With repeated rows at a budget's edge, in one block and in several."""
+    rows = [(1, "a b c d e", "x"), (None, "p q", "x")] * 5 + [(i, "v w x y z", "y") for i in range(10, 20)] + [(30, None, "z"), (31, "k l", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (1 << 20, 7):
+        options = dict(target_entropy=1.5, budget_tokens=budget, block_tokens=block)
+        want = Counter((r.doc_id, r.source) for r in mixing.schedule(docs, **options).collect())
+        assert Counter((r.doc_id, r.source) for r in mixing.mix(docs, **options).collect()) == want
+
+
+def test_shares_are_the_tokenizers(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    plan = mixing.schedule(docs, path, repetition_limit=3.0).where("epoch = 0").collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in plan if r.source == "s2") == sorted((d or -1, n(t)) for d, t, _, s, _ in rows if s == "s2")
+
+
+def plain_schedule(rows, limit):
+    """Readings of each source in tokens: shares to a power that a scan of exponents finds, all of the smallest budget spent."""
+    total = Counter()
+    for _, t, _, s, _ in rows:
+        total[s] += len((t or "").split())
+    used = {k: v for k, v in total.items() if v}
+    for step in range(10_001):
+        a = step / 10_000
+        weight = {k: v**a for k, v in used.items()}
+        rate = {k: weight[k] / used[k] for k in used}
+        if max(rate.values()) / min(rate.values()) <= limit:
+            return {k: rate[k] / min(rate.values()) * used[k] for k in used}
+
+
+def test_schedule_against_a_scan_of_exponents(docs, rows):
+    want, read, longest = plain_schedule(rows, 1.7), Counter(), Counter()
+    for _, t, _, s, _ in rows:
+        longest[s] = max(longest[s], 2 * len((t or "").split()))
+    for r in mixing.schedule(docs, repetition_limit=1.7, block_tokens=100).collect():
+        read[r.source] += r.n_tokens
+    assert all(abs(read[s] - want[s]) <= longest[s] + 0.001 * want[s] for s in want)
+
+
 def test_epochs_read_blocks_in_other_orders(docs):
     plan = mixing.schedule(docs, repetition_limit=3.0, block_tokens=200).where("source = 's3'").collect()
     first, second = [[r.doc_id for r in sorted((x for x in plan if x.epoch == e), key=lambda x: x.place)] for e in (0, 1)]
