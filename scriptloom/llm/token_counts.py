@@ -22,7 +22,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,13 +221,9 @@ class CompiledTokenizer:
             reach *= 2
         return maps
 
-    def total(self, maps: list[tuple[str, int, str | None]]) -> int:
-        """Tokens of the whole text: its map applied to the start state, and the state that it ends in closed.
-
-        The last element of the scan, by a balanced tree: the scan without its other elements."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
+    def closed(self, whole: tuple[str, int, str | None]) -> int:
+        """Tokens of a text from its state map: the map applied to the start state, and the state that it ends in closed."""
+        head, n, tail = whole
         return self.count(head) + n + (self.count(tail) if tail else 0)
 
 
@@ -245,45 +240,52 @@ def compiled(path: str) -> CompiledTokenizer:
 def token_counts(docs: DataFrame, path: str, chunk_chars: int = 1 << 16, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of each row of ``docs`` (doc_id, text).
 
-    Texts are cut into chunks of ``chunk_chars`` characters that are rows of their own,
-    so one long text is counted by many tasks; chunks' state maps are a few bytes each
-    (but for text without white space) and only those of texts with several chunks are
-    shuffled.  Null and empty texts have no tokens.  Repeated rows are counted one by one.
+    Texts of up to ``chunk_chars`` characters are counted where they are read.  Longer ones are
+    cut into chunks that are rows of their own, so one long text is counted by many tasks;
+    only their chunks' state maps are shuffled (a few bytes each, but for text without
+    white space), and a prefix scan composes those of a text.  Null and empty texts have no
+    tokens.  Repeated rows are counted one by one.  An empty table gives none.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    chunks = F.when(F.length("text") <= chunk_chars, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
-    pieces = rows.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.size(chunks).alias("n"), F.posexplode(chunks).alias("k", "chunk"))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(path)
+        for batch in batches:
+            n = pa.array([machine.count(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
+
+    result = f"doc_id {kind}, n_bytes long, n_tokens long"
+    short = rows.where(F.length("text") <= chunk_chars).select("doc_id", n_bytes, "text").mapInArrow(count, result)
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    long = rows.where(F.length("text") > chunk_chars)
+    pieces = long.select("doc_id", F.xxhash64("text").alias("text_key"), n_bytes, F.posexplode(chunks).alias("k", "chunk"))
 
     def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(path)
         for batch in batches:
-            found = []
-            for n, chunk in zip(batch.column("n").to_pylist(), batch.column("chunk").to_pylist()):
-                found.append(("", machine.count(chunk), "") if n == 1 else machine.state_map(chunk))
-            columns = [batch.column(c) for c in ("doc_id", "row", "n_bytes", "k")]
+            found = [machine.state_map(chunk) for chunk in batch.column("chunk").to_pylist()]
+            columns = [batch.column(c) for c in ("doc_id", "text_key", "n_bytes", "k")]
             kinds = (pa.string(), pa.int64(), pa.string())
             columns += [pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_bytes", "k", "head", "between", "tail"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_bytes", "k", "head", "between", "tail"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    maps = pieces.mapInArrow(annotate, f"doc_id {kind}, row long, n_bytes long, k int, head string, between long, tail string")
-    joined = maps.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("k", "head", "between", "tail"))).alias("maps")
+    maps = pieces.mapInArrow(annotate, f"doc_id {kind}, text_key long, n_bytes long, k int, head string, between long, tail string")
+    # Rows that repeat a document have equal maps: one of each is composed, for as many rows as begin with a first chunk.
+    joined = maps.groupBy("doc_id", "text_key", "n_bytes").agg(
+        F.sort_array(F.collect_set(F.struct("k", "head", "between", "tail"))).alias("maps"), F.count(F.when(F.col("k") == 0, 1)).alias("copies")
     )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(path)
         for batch in batches:
-            column = batch.column("maps")
-            n = np.diff(column.offsets.to_numpy())
-            flat = column.flatten()
-            starts = np.cumsum(n) - n
-            between = flat.field("between").to_numpy(zero_copy_only=False)
-            totals = between[starts].copy() if len(n) else between[:0]
-            for i in np.flatnonzero(n > 1):
-                machine = compiled(path)
-                totals[i] = machine.total([(m["head"], m["between"], m["tail"]) for m in flat.slice(starts[i], n[i]).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-    counted = joined.select("doc_id", "n_bytes", "maps").mapInArrow(close, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+            of_texts = batch.column("maps").to_pylist()
+            totals = [machine.closed(machine.scan([(m["head"], m["between"], m["tail"]) for m in ms])[-1]) for ms in of_texts]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64()), batch.column("copies")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "copies"])
+
+    scanned = joined.select("doc_id", "n_bytes", "maps", "copies").mapInArrow(close, f"{result}, copies long")
+    whole = scanned.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return short.union(whole).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .line_dedup import may_hold
 from ..functions.workspace import FILES_GO, new_path, set_for, write_table
 
 _END = "\r\n\r\n"
@@ -26,7 +27,7 @@ def payload(html: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload_bytes, digest (SHA-1, hex), refers_to (null for responses) per row of ``pages``.
+    """page_id, url, payload_bytes, digest (SHA-1, hex), payload_key, refers_to (null for responses) per row of ``pages``.
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the largest
     page_id is the response and the others refer to it.  Rows that repeat that very
@@ -37,6 +38,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         F.coalesce("url", F.lit("")).alias("url"),
         F.octet_length(payload(F.col("html"))).cast("long").alias("payload_bytes"),
         F.sha1(F.encode(payload(F.col("html")), "UTF-8")).alias("digest"),
+        F.xxhash64(payload(F.col("html"))).alias("payload_key"),
     )
     slim = write_table(slim, "pages")
     owners = (
@@ -47,7 +49,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     )
     joined = slim.join(owners, (slim["digest"] == owners["_digest"]) & (slim["payload_bytes"] >= min_bytes), "left")
     refers = F.when(F.col("_owner") != F.coalesce(F.col("page_id"), F.lit(-1)), F.col("_owner"))
-    return joined.select("page_id", "url", "payload_bytes", "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "payload_bytes", "digest", "payload_key", refers.alias("refers_to"))
 
 
 def _header(length: Column) -> Column:
@@ -70,18 +72,19 @@ def _header(length: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, min_bytes: int = 1000, waves: int = 2) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC archives below ``path``; returns the index as a table.
 
-    Rows go to archives of about ``archive_bytes`` by a hash of page_id, ordered by
-    page_id within each (repeated page_ids in the order of their digests).  Index
+    Rows go to archives of about ``archive_bytes`` by a hash of page_id and payload, ordered
+    by page_id within each (repeated and null page_ids in the order of their digests).  Index
     columns: archive, page_id, url, offset, length (without the closing CR LF CR LF),
     digest, payload_bytes.  ``waves`` divides the payloads that are shuffled at a time
-    (and multiplies scans of ``pages``).  Null html is an empty payload, a null url an empty one.
+    (and multiplies scans of ``pages``).  Null html is an empty payload, a null url an empty
+    one; an empty table gives no archive.  Payloads that no response has stay where they are read, but for few.
     """
     spark = pages.sparkSession
     plan = plan_records(pages, min_bytes)
     total = plan.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 500)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
     body = F.when(F.col("refers_to").isNotNull(), F.lit(0)).otherwise(F.col("payload_bytes")).cast("long")
-    archive = F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int")
+    archive = F.pmod(F.xxhash64("page_id", "payload_key"), F.lit(archives)).cast("int")
     plan = plan.withColumn("archive", archive).withColumn("head", _header(body))
     plan = plan.withColumn("length", (F.octet_length("head") + body).cast("long"))
     # The rank among rows of one page_id and digest keeps repeated rows apart in both tables below.
@@ -91,23 +94,22 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, m
     index = write_table(
         plan.withColumn("offset", F.coalesce(F.sum(F.col("length") + len(_END)).over(in_archive), F.lit(0)).cast("long")), "warc-index"
     )
-    html = pages.select(
-        F.col("page_id").alias("_page"),
-        F.sha1(F.encode(payload(F.col("html")), "UTF-8")).alias("_digest"),
-        payload(F.col("html")).alias("_html"),
-        F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int").alias("_archive"),
-    )
+    html = pages.select(F.col("page_id").alias("_page"), F.xxhash64(payload(F.col("html"))).alias("_payload"), payload(F.col("html")).alias("_html"))
+    html = html.withColumn("_row", F.xxhash64("_page", "_payload"))
+    html = html.withColumn("_archive", F.pmod("_row", F.lit(archives)).cast("int"))
+    responses = index.where("refers_to IS NULL").select(F.xxhash64("page_id", "payload_key").alias("_key"))
+    html = may_hold(html, "_row", responses).drop("_row")
     # Both sides are dealt by archive, which is enough for the join by archive and page: payloads move once.
     # Archives are written in waves, so that only a wave's payloads lie in shuffle files at a time.
     with set_for(spark, FILES_GO | {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
         for wave in range(waves):
             of_wave = F.pmod(F.col("archive"), F.lit(waves)) == wave
-            once = index.where(of_wave).select("archive", "page_id", "digest", "_k", "head", "refers_to").repartition(archives, "archive")
+            once = index.where(of_wave).select("archive", "page_id", "digest", "payload_key", "_k", "head", "refers_to").repartition(archives, "archive")
             # Rows that repeat page_id and payload are one on this side and as many as they are on the other.
-            distinct = html.withColumnRenamed("_archive", "archive").where(of_wave).withColumnRenamed("archive", "_archive")
-            distinct = distinct.repartition(archives, "_archive").dropDuplicates(["_archive", "_page", "_digest"])
-            on = (once["archive"] == distinct["_archive"]) & once["page_id"].eqNullSafe(distinct["_page"]) & (once["digest"] == distinct["_digest"])
-            joined = once.join(distinct.hint("merge"), on)
+            distinct = html.where(F.pmod(F.col("_archive"), F.lit(waves)) == wave)
+            distinct = distinct.repartition(archives, "_archive").dropDuplicates(["_archive", "_page", "_payload"])
+            on = (once["archive"] == distinct["_archive"]) & once["page_id"].eqNullSafe(distinct["_page"]) & (once["payload_key"] == distinct["_payload"])
+            joined = once.join(distinct.hint("merge"), on & once["refers_to"].isNull(), "left")
             record = F.concat("head", F.when(F.col("refers_to").isNull(), F.col("_html")).otherwise(F.lit("")))
             (
                 joined.select("archive", "page_id", "digest", "_k", record.alias("value"))
