@@ -8,25 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import best_threshold, count_if, mcnemar, roc_auc, share, wilson
-from .ranking import sum_before
+from .ranking import sums_before
 from .rubric import BAND_ORDER
 
 INVERSION_TOLERANCE = 0.15
 PLACES = 3
 TIE_TOLERANCE = 0.03
+_PRIME = 2147483647
 
 
 # -- Splits ---------------------------------------------------------------------
 
 
 def hash_splits(df: DataFrame, row_id: str, repeats: int, fraction: float = 0.5) -> DataFrame:
-    """Each row once for each split, with ``split`` and ``is_train`` by an arithmetic key of row and split.
+    """Each row once for each split, with ``split`` and ``is_train`` by a hash of row and split (squares modulo a prime).
 
     Nothing is collected or sorted, so it holds at any size; classes keep their shares up to chance.
     """
-    key = (F.col(row_id) * 7919 + F.col("split") * 104729) % 1000
     spread = df.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))))
-    return spread.withColumn("is_train", key < int(fraction * 1000))
+    k = (F.pmod(F.col(row_id), F.lit(1_000_003)) * 7919 + F.col("split") * 104729) % _PRIME
+    k = (k * k + F.col("split")) % _PRIME * 48271 % _PRIME
+    return spread.withColumn("is_train", k % 1000 < int(fraction * 1000))
 
 
 def seeded_splits(spark: SparkSession, groups: list[list], repeats: int, seed: int = 42, fraction: float = 0.5, least: int = 2) -> DataFrame:
@@ -69,6 +71,26 @@ def threshold_holdout(split_rows: DataFrame, by: list[str] | None = None) -> Dat
     return tested.groupBy(*keys, "threshold", "inverted", "train_accuracy").agg(share(right).alias("test_accuracy"), F.count(F.lit(1)).alias("n_test"))
 
 
+def holdout_summary(split_rows: DataFrame, by: list[str] | None = None, least: int = 4) -> DataFrame:
+    """Of thresholds fitted on half the rows, over all splits: mean, p05 and p95 of the accuracy on the other half,
+    median, least and largest threshold, and how much the accuracy in hindsight (fitted on all rows) is above the mean.
+
+    Questions with fewer than ``least`` rows of a class are left out.  A row a split is collected for each question.
+    """
+    by = by or []
+    used = split_rows.where("gold_bool IS NOT NULL AND score IS NOT NULL")
+    whole = used.where("split = 0")
+    enough = whole.groupBy(*by).agg(count_if(F.col("gold_bool")).alias("positives"), count_if(~F.col("gold_bool")).alias("negatives")).where(F.least("positives", "negatives") >= least)
+    tested = threshold_holdout(used, by)
+    fitted = F.array_sort(F.collect_list("threshold"))
+    cuts = tested.groupBy(*by).agg(median(fitted).alias("median_threshold"), F.min("threshold").alias("least_threshold"), F.max("threshold").alias("largest_threshold"))
+    hindsight = best_threshold(whole, by).select(*by, F.col("accuracy").alias("hindsight"))
+    out = enough
+    for part in (spread(tested, "test_accuracy", by), cuts, hindsight):
+        out = out.join(part, by) if by else out.crossJoin(part)  # one row without ``by``
+    return out.withColumn("gap", F.col("hindsight") - F.col("mean"))
+
+
 def majority_holdout(split_rows: DataFrame) -> DataFrame:
     """split, test accuracy of the class that is more frequent in training (true on a tie)."""
     gold = F.col("gold_bool")
@@ -160,27 +182,22 @@ def fit_cuts(df: DataFrame, by: list[str], value: str = "value", level: str = "l
     """low, high, hits: the pair of cuts (low <= high, values of the table) with most rows on their own level.
 
     The first best pair wins; with fewer than 3 distinct values the cuts are 0 and 0.
-    Values have few distinct values (they are rounded), and pairs are made of those.
+    Hits are a term of the low cut and one of the high cut: the best low cut up to each value is a running maximum.
     """
     counts = df.groupBy(*by, F.col(value).alias("v")).agg(*[count_if(F.col(level) == k).alias(f"c{k}") for k in range(3)])
-    for k in range(3):
-        counts = sum_before(counts, by, ["v"], f"c{k}", f"b{k}")
+    of_low = F.struct((F.col("b0") - F.col("b1")).alias("hits"), (-F.col("v")).alias("less"))
+    counts = sums_before(counts, by, ["v"], {f"b{k}": f"c{k}" for k in range(3)}, {"low": of_low})
     totals = df.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(count_if(F.col(level) == 2).alias("all2"), F.countDistinct(value).alias("grid"), F.count(F.lit(1)).alias("n"))
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     # One row for each value of ``by``.
     table = counts.join(F.broadcast(totals), on).drop(*[f"_{c}" for c in by])
-    a, b = table.alias("a"), table.alias("b")
-    same = F.col("b.v") >= F.col("a.v")
-    for c in by:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    hits = F.col("a.b0") + (F.col("b.b1") - F.col("a.b1")) + (F.col("a.all2") - F.col("b.b2"))
-    row = F.struct(F.col("a.v").alias("low"), F.col("b.v").alias("high"), hits.alias("hits"))
-    best = a.join(b, same).groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.grid").alias("grid"), F.col("a.n").alias("n")).agg(F.max_by(row, F.struct(hits, -F.col("a.v"), -F.col("b.v"))).alias("r"))
+    hits = F.col("low.hits") + F.col("b1") + F.col("all2") - F.col("b2")
+    best = table.groupBy(*by, "grid", "n").agg(F.max(F.struct(hits.alias("hits"), F.col("low.less").alias("less_low"), (-F.col("v")).alias("less_high"))).alias("r"))
     few = F.col("grid") < 3
     zero = F.lit(0.0)
-    return best.select(*by, F.when(few, zero).otherwise(F.col("r.low")).alias("low"), F.when(few, zero).otherwise(F.col("r.high")).alias("high"), F.when(~few, F.col("r.hits")).alias("hits"), "n")
+    return best.select(*by, F.when(few, zero).otherwise(-F.col("r.less_low")).alias("low"), F.when(few, zero).otherwise(-F.col("r.less_high")).alias("high"), F.when(~few, F.col("r.hits")).alias("hits"), "n")
 
 
 def error_structure(df: DataFrame, by: list[str], predicted: str = "predicted", level: str = "level") -> DataFrame:

@@ -38,13 +38,10 @@ def percentiles(values: DataFrame, key: str, value: str, ps: tuple[int, ...] = P
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, n, min, max, mean, stdev (sample; 0 for one row), zeros and percentiles of each of ``columns``."""
-    cells = melt(df, columns)
-    moments = cells.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"),
-        F.count_if(F.col("value") == 0).alias("zeros"),
-    )
-    return moments.join(percentiles(cells, "feature", "value"), "feature")
+    one = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    parts = (("n", lambda x: F.count(F.lit(1))), ("min", F.min), ("max", F.max), ("mean", F.avg), ("stdev", lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))), ("zeros", lambda x: F.count_if(x == 0)))
+    wide = df.select(*[one(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    wide = wide.agg(*[F.struct(F.lit(c).alias("feature"), *[f(F.col(f"c{i}")).alias(name) for name, f in parts]).alias(f"s{i}") for i, c in enumerate(columns)])
+    moments = wide.select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*").where("n > 0")
+    # One row for each column.
+    return percentiles(melt(df, columns), "feature", "value").join(F.broadcast(moments), "feature").select("feature", "n", "min", "max", "mean", "stdev", "zeros", *[f"p{p}" for p in PERCENTILES])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workspace import write_table
 from ..operators import rubric as R
 from ..operators.profile import PERCENTILES, percentiles, profile
 from ..operators.ranking import sum_before
@@ -123,7 +124,8 @@ BAND_SQL = "CASE WHEN points <= 4 THEN 'low' WHEN points <= 6 THEN 'medium' ELSE
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = order_features(spark, sf_dir)
+    # Read by the thresholds and by the score.
+    f = write_table(order_features(spark, sf_dir), "features")
     return R.band_for(R.score(f, R.thresholds(f, SCORED), FLAT), BANDS)
 
 

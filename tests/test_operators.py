@@ -19,7 +19,7 @@ from scriptloom.operators import rubric as R
 from scriptloom.operators import sampling as S
 from scriptloom.operators import training as TR
 from scriptloom.operators.profile import PERCENTILES, percentiles, profile
-from scriptloom.operators.ranking import number_within, sum_before
+from scriptloom.operators.ranking import number_within, sum_before, sums_before
 from scriptloom.operators.script_features import specificity, structure
 
 
@@ -397,3 +397,51 @@ def test_reports(spark):
 
 def test_regression_features():
     assert len(G.FEATURES) == len(set(G.FEATURES)) == 32 and all(set(v) <= set(G.FEATURES) for v in G.LEAKY.values())
+
+
+def test_mcnemar_of_a_million_pairs(spark):
+    import math
+
+    df = spark.range(1_001_000).select(F.lit("x").alias("k"), (F.col("id") < 500_000).alias("l")).withColumn("r", ~F.col("l"))
+    row = one(M.mcnemar(df, ["k"], "l", "r"))
+    n, k = 1_001_000, 500_000
+    # Normal approximation with continuity correction, good to 1e-4 here.
+    z = (n / 2 - k - 0.5) / (math.sqrt(n) / 2)
+    assert abs(row.p - math.erfc(z / math.sqrt(2))) < 1e-4
+
+
+def test_fit_cuts_of_many_values(spark):
+    n = 100_000
+    level = F.when(F.col("id") < 30_000, 0).when(F.col("id") < 80_000, 1).otherwise(2).cast("long")
+    row = one(K.fit_cuts(spark.range(n).select(F.lit("x").alias("k"), F.col("id").cast("double").alias("value"), level.alias("level")), ["k"]))
+    assert (row.low, row.high, row.hits, row.n) == (30_000.0, 80_000.0, n, n)
+
+
+def test_sums_and_largest_before(spark):
+    rows = [("a" if i % 3 else "b", i * 7919 % 101, i % 5, None if i % 11 == 0 else i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o long, w long, v long")
+    got = sums_before(df.withColumn("o", F.col("o") * 1000 + F.col("w")), ["k"], ["o"], {"s": "w", "n": None}, {"top": F.col("v") + F.col("s") * 0}).collect()
+    for r in got:
+        before = [x for x in got if x.k == r.k and x.o < r.o]
+        same = [x for x in got if x.k == r.k and x.o == r.o]
+        assert sum(x.w for x in before) <= r.s <= sum(x.w for x in before + same) and len(before) <= r.n < len(before + same)
+        values = [x.v for x in before if x.v is not None]
+        assert r.top is None or r.top >= max(values, default=0)
+
+
+def test_turns_in_one_band(spark):
+    rows = [(f"n{i:03}", "low", i % 4) for i in range(200)]
+    turns = S.spread_within_band(spark.createDataFrame(rows, "name string, band string, points long"), "name", "band", "points").collect()
+    order = [r.points for r in sorted(turns, key=lambda r: r.turn)]
+    assert sorted(r.turn for r in turns) == list(range(1, 201)) and order[:8] == [0, 3, 1, 2, 0, 3, 1, 2]
+
+
+def test_holdout_summary(spark):
+    rows = [("q", i, i / 40, i >= 20) for i in range(40)] + [("few", i, 0.5, i < 3) for i in range(40)]
+    splits = K.hash_splits(spark.createDataFrame(rows, "question string, row_id long, score double, gold_bool boolean"), "row_id", 60)
+    shares = [r.s for r in splits.groupBy("split").agg(F.avg(F.col("is_train").cast("int")).alias("s")).collect()]
+    assert 0.4 < sum(shares) / 60 < 0.6 and len({tuple(sorted((r.row_id, r.is_train) for r in splits.where(f"split = {k}").collect())) for k in range(3)}) == 3
+    row = one(K.holdout_summary(splits, ["question"]))
+    assert row.question == "q" and row.n == 60 and row.hindsight == 1.0 and 0.9 < row.mean <= 1 and abs(row.gap - (1 - row.mean)) < 1e-9 and 0.4 <= row.median_threshold <= 0.6
+    each = K.threshold_holdout(splits.where("question = 'q'"), ["question"]).collect()
+    assert abs(sum(r.test_accuracy for r in each) / 60 - row.mean) < 1e-9

@@ -37,8 +37,9 @@ def test_query_equals_sql(spark, oracle, name):
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_oracles())))
 def test_query_runs(spark, name):
-    few = {"paired_compare"}  # the smallest tables have too few suppliers to split
-    assert all_queries()[name](spark, DATA).count() > (0 if name not in few else -1)
+    # The smallest tables have too few suppliers to split.
+    folder = DATA.replace("0.001", "0.01") if name == "paired_compare" else DATA
+    assert all_queries()[name](spark, folder).count() > 0
 
 
 def test_entry(spark):
