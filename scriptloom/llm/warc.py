@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import may_hold
 from ..functions.workspace import FILES_GO, new_path, set_for, write_table
 
 _END = "\r\n\r\n"
@@ -77,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, m
     columns: archive, page_id, url, offset, length (without the closing CR LF CR LF),
     digest, payload_bytes.  ``waves`` divides the payloads that are shuffled at a time
     (and multiplies scans of ``pages``).  Null html is an empty payload, a null url an empty
-    one; an empty table gives no archive.  Payloads that no response has stay where they are read, but for few.
+    one; an empty table gives no archive.
     """
     spark = pages.sparkSession
     plan = plan_records(pages, min_bytes)
@@ -95,10 +94,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, m
         plan.withColumn("offset", F.coalesce(F.sum(F.col("length") + len(_END)).over(in_archive), F.lit(0)).cast("long")), "warc-index"
     )
     html = pages.select(F.col("page_id").alias("_page"), F.xxhash64(payload(F.col("html"))).alias("_payload"), payload(F.col("html")).alias("_html"))
-    html = html.withColumn("_row", F.xxhash64("_page", "_payload"))
-    html = html.withColumn("_archive", F.pmod("_row", F.lit(archives)).cast("int"))
-    responses = index.where("refers_to IS NULL").select(F.xxhash64("page_id", "payload_key").alias("_key"))
-    html = may_hold(html, "_row", responses).drop("_row")
+    html = html.withColumn("_archive", F.pmod(F.xxhash64("_page", "_payload"), F.lit(archives)).cast("int"))
     # Both sides are dealt by archive, which is enough for the join by archive and page: payloads move once.
     # Archives are written in waves, so that only a wave's payloads lie in shuffle files at a time.
     with set_for(spark, FILES_GO | {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
