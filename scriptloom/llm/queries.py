@@ -184,3 +184,11 @@ SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
        CAST(sum(CASE WHEN mask & bit <> 0 THEN n * 120 // bit_count(mask) ELSE 0 END) AS BIGINT) AS shapley
 FROM c, k GROUP BY part, filter_order, step, bit, earlier
 """
+
+
+@_query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, also below layers of encoding."""
+    from .secret_scan import scan_documents
+
+    return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
