@@ -192,3 +192,51 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_documents
 
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language of all documents."""
+    from .collocations import collocations
+
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(CAST(lang AS VARCHAR), 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), i AS (
+  SELECT lang, ws, CAST(unnest(range(1, len(ws) + 1)) AS INTEGER) AS s FROM w
+), g AS (
+  SELECT lang, k, array_to_string(ws[s:s + k - 1], ' ') AS phrase, count(*) AS n
+  FROM i, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k) WHERE s + k - 1 <= len(ws)
+  GROUP BY lang, k, phrase
+), f AS (
+  SELECT lang, k, phrase, n FROM g WHERE n >= 100
+), t AS (
+  SELECT lang, sum(n) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f AS s WHERE k >= 2 AND NOT EXISTS (
+    SELECT 1 FROM f AS x WHERE x.lang = s.lang AND x.k > s.k AND 100 * x.n >= 100 * s.n
+      AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))
+), h AS (
+  SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS ws, CAST(unnest(range(1, k)) AS INTEGER) AS cut FROM c
+), x AS (
+  SELECT h.lang, h.phrase, h.a, h.cut, l.n AS l, r.n AS r, t.n AS n,
+         (CAST(1000 AS HUGEINT) * h.a * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS score
+  FROM h JOIN f l ON l.lang = h.lang AND l.phrase = array_to_string(h.ws[1:cut], ' ')
+         JOIN f r ON r.lang = h.lang AND r.phrase = array_to_string(h.ws[cut + 1:], ' ')
+         JOIN t ON t.lang = h.lang
+), y AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y WHERE first = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z WHERE rank <= 2000
+"""
