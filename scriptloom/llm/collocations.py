@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workspace import discard, set_for, write_table
@@ -246,6 +246,12 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     return named.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("false") if counts is None else counts
 
 
+def score(a: str, n: str, left: str, right: str) -> Column:
+    """floor(1000 a n / (left right)) of columns of counts up to 10^15, exactly."""
+    exact = lambda c: F.col(c).cast("decimal(15,0)")
+    return F.call_function("div", F.lit(1000).cast("decimal(4,0)") * exact(a) * exact(n), exact(left) * exact(right))
+
+
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each lang of ``docs`` (text, lang; null: ``und``).
 
@@ -275,9 +281,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     cuts = cuts.join(part("r"), (F.col("lang") == F.col("_langr")) & (F.col("_rest") == F.col("_partr")))
     totals = words.groupBy(F.col("lang").alias("_of")).agg(F.sum("n").alias("n"))
     cuts = cuts.join(totals, F.col("lang") == F.col("_of"))
-    exact = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
-    score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * exact("a", 15) * exact("n", 16), exact("l", 15) * exact("r", 15))
-    best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
