@@ -30,6 +30,9 @@ LONGEST = 5
 FILTER_BITS = 24
 #: Texts that a task works on at a time, and phrases of one automaton, in bytes.
 PART_BYTES, AUTOMATON_BYTES = 4 << 20, 4 << 20
+#: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
+HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 21, 1024, 8
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands between pieces of text as a word of its own; it breaks pieces, so no word has it.
 _BREAK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 9)
@@ -91,7 +94,7 @@ def cell_filter(cells: DataFrame) -> np.ndarray:
 
 
 def _holds(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    place = cells & np.uint64((1 << FILTER_BITS) - 1)
+    place = cells & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -142,15 +145,21 @@ def level_cells(parts: DataFrame, filters: list[Broadcast], least: int) -> DataF
     """``cell``: cells of the level after those of ``filters`` whose count is ``least`` or more."""
     level = len(filters) + 2
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["cell", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
+        held: list[np.ndarray] = []
         for batch in batches:
             for row in batch.column("cells"):
-                ids = row.values.to_numpy().view(np.uint64)
-                for k, _, cells in _levels(ids, known):
-                    if k == level:
-                        found, n = np.unique(cells, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["cell", "n"])
+                held += [cells for k, _, cells in _levels(row.values.to_numpy().view(np.uint64), known) if k == level]
+                if sum(map(len, held)) > HELD_CELLS:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
 
     counts = parts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= least).select("cell")
@@ -229,7 +238,8 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     parts = write_table(encoded(texts, frequent), "cells")
     filters: list[Broadcast] = []
     for _ in range(2, LONGEST + 1):
-        filters.append(send(cell_filter(level_cells(parts, filters, least))))
+        with set_for(spark, {_ROWS: str(PART_ROWS)}):
+            filters.append(send(cell_filter(level_cells(parts, filters, least))))
     discard(parts)
     named = write_table(candidates(texts, frequent, filters), "candidates")
     total = named.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
@@ -265,8 +275,9 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     between come no less often than the longer one and no more than the shorter one.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    words = write_table(word_counts(texts), "words")
-    phrases = write_table(phrase_counts(texts, words, least), "phrases")
+    with set_for(docs.sparkSession, {_ROWS: str(TEXT_ROWS)}):
+        words = write_table(word_counts(texts), "words")
+        phrases = write_table(phrase_counts(texts, words, least), "phrases")
     known = phrases.union(words.where(F.col("n") >= least))
     said = F.split("phrase", " ")
     piece = lambda start, size: F.array_join(F.slice(said, start, size), " ")
