@@ -7,14 +7,18 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workspace import write_table
+from .holdout import threshold_halves
 from .metrics import best_threshold, count_if, mcnemar, roc_auc, share, wilson
 from .ranking import sums_before
 from .rubric import BAND_ORDER
+from .splits import same
 
 INVERSION_TOLERANCE = 0.15
 PLACES = 3
 TIE_TOLERANCE = 0.03
 _PRIME = 2147483647
+_WHEEL = 1_000_003
 
 
 # -- Splits ---------------------------------------------------------------------
@@ -26,7 +30,9 @@ def hash_splits(df: DataFrame, row_id: str, repeats: int, fraction: float = 0.5)
     Nothing is collected or sorted, so it holds at any size; classes keep their shares up to chance.
     """
     spread = df.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))))
-    k = (F.pmod(F.col(row_id), F.lit(1_000_003)) * 7919 + F.col("split") * 104729) % _PRIME
+    # Ids that agree in one remainder differ in the other.
+    some, rest = F.pmod(F.col(row_id), F.lit(_WHEEL)), F.pmod(F.floor(F.col(row_id) / F.lit(_WHEEL)), F.lit(_WHEEL))
+    k = (some * 7919 + rest * 15485863 + F.col("split") * 104729) % _PRIME
     k = (k * k + F.col("split")) % _PRIME * 48271 % _PRIME
     return spread.withColumn("is_train", k % 1000 < int(fraction * 1000))
 
@@ -71,24 +77,27 @@ def threshold_holdout(split_rows: DataFrame, by: list[str] | None = None) -> Dat
     return tested.groupBy(*keys, "threshold", "inverted", "train_accuracy").agg(share(right).alias("test_accuracy"), F.count(F.lit(1)).alias("n_test"))
 
 
-def holdout_summary(split_rows: DataFrame, by: list[str] | None = None, least: int = 4) -> DataFrame:
-    """Of thresholds fitted on half the rows, over all splits: mean, p05 and p95 of the accuracy on the other half,
-    median, least and largest threshold, and how much the accuracy in hindsight (fitted on all rows) is above the mean.
+def holdout_summary(df: DataFrame, row_id: str, repeats: int = 500, by: list[str] | None = None, least: int = 4) -> DataFrame:
+    """Of thresholds fitted on stratified halves of the rows (``gold_bool``, ``score``), over ``repeats`` splits: n (splits),
+    mean, p05 and p95 of the accuracy on the other half; median (the upper of two), least and largest threshold; accuracy
+    at 1/2 and in hindsight (fitted on all rows), the gap of the latter to the mean and the mean's gain over 1/2.
 
-    Questions with fewer than ``least`` rows of a class are left out.  A row a split is collected for each question.
+    See ``holdout.threshold_halves`` for which rows and values of ``by`` are left out.  A number a split is collected
+    for each value of ``by``.
     """
     by = by or []
-    used = split_rows.where("gold_bool IS NOT NULL AND score IS NOT NULL")
-    whole = used.where("split = 0")
-    enough = whole.groupBy(*by).agg(count_if(F.col("gold_bool")).alias("positives"), count_if(~F.col("gold_bool")).alias("negatives")).where(F.least("positives", "negatives") >= least)
-    tested = threshold_holdout(used, by)
+    used = df.where("gold_bool IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    tested = write_table(threshold_halves(used, by, row_id, repeats, least=least), "holdout")
     fitted = F.array_sort(F.collect_list("threshold"))
-    cuts = tested.groupBy(*by).agg(median(fitted).alias("median_threshold"), F.min("threshold").alias("least_threshold"), F.max("threshold").alias("largest_threshold"))
-    hindsight = best_threshold(whole, by).select(*by, F.col("accuracy").alias("hindsight"))
-    out = enough
-    for part in (spread(tested, "test_accuracy", by), cuts, hindsight):
-        out = out.join(part, by) if by else out.crossJoin(part)  # one row without ``by``
-    return out.withColumn("gap", F.col("hindsight") - F.col("mean"))
+    upper = F.get(fitted, F.floor(F.size(fitted) / 2).cast("int"))
+    cuts = tested.groupBy(*by).agg(upper.alias("median_threshold"), F.min("threshold").alias("least_threshold"), F.max("threshold").alias("largest_threshold"))
+    at_half = used.groupBy(*by).agg(share((F.col("score") >= 0.5) == F.col("gold_bool")).alias("accuracy_at_half"))
+    hindsight = best_threshold(used, by).select(*by, F.col("accuracy").alias("hindsight"))
+    out = spread(tested, "test_accuracy", by)
+    for part in (cuts, at_half, hindsight):
+        other = part.withColumnsRenamed({c: f"_{c}" for c in by})
+        out = out.join(other, same(by, [f"_{c}" for c in by])).drop(*[f"_{c}" for c in by])  # one row for each value of ``by``
+    return out.withColumn("gap", F.col("hindsight") - F.col("mean")).withColumn("gain", F.col("mean") - F.col("accuracy_at_half"))
 
 
 def majority_holdout(split_rows: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparison as K
+from ..operators import holdout as H
 from ..operators import metrics as M
 from ..operators import regression as G
+from ..operators import splits as P
+from ..operators.splits import split_hash_sql
 from ..registry import query
 from ..sources.tables import table
 from .quality import WITH
@@ -158,12 +161,33 @@ def ranking_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLITS = 8
-_K = "((((({id} % 1000003) + 1000003) % 1000003) * 7919 + s.split * 104729) % 2147483647)"
+_K = (
+    "((((({id} % 1000003) + 1000003) % 1000003) * 7919 + (CAST(floor({id} / 1000003) AS BIGINT) % 1000003 + 1000003) % 1000003 * 15485863"
+    " + s.split * 104729) % 2147483647)"
+)
 _SPLIT = f"((({_K} * {_K} + s.split) % 2147483647) * 48271 % 2147483647) % 1000 < 500"
 
 
-@query("holdout_threshold", f"""{WITH},
-w AS (SELECT s.split AS split, row_id, score, gold_bool, {_SPLIT.format(id='row_id')} AS tr FROM o, (SELECT unnest(range(0, {SPLITS})) AS split) s WHERE gold_bool IS NOT NULL),
+
+def halves_sql(rows: str, out: str, cls: str, splits: int, by: str = "") -> str:
+    """CTEs of ``rows`` once for each split, ``tr``: among the half-even half (2 at least) of its class, by hash and row_id."""
+    part = f"{by}, {cls}" if by else cls
+    return f"""{out}_h AS (SELECT x.*, s.split AS split, {split_hash_sql("x.row_id", "s.split")} AS h FROM {rows} x, (SELECT unnest(range(0, {splits})) AS split) s),
+{out} AS (SELECT *, row_number() OVER (PARTITION BY split, {part} ORDER BY h, row_id) <= greatest(2, round_even(count(*) OVER (PARTITION BY split, {part}) / 2, 0)) AS tr FROM {out}_h)"""
+
+
+@query("stratified_halves", f"""{WITH}, g AS (SELECT row_id, question, gold_bool FROM o WHERE gold_bool IS NOT NULL AND question IS NOT NULL),
+e AS (SELECT question FROM g GROUP BY question HAVING count(*) FILTER (WHERE gold_bool) > 0 AND count(*) FILTER (WHERE NOT gold_bool) > 0),
+p AS (SELECT g.* FROM g JOIN e ON e.question = g.question), {halves_sql('p', 'w', 'gold_bool', SPLITS, 'question')}
+SELECT question, row_id, gold_bool, split, tr AS is_train FROM w""")
+def stratified_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every graded document's half in each split, exactly half of each class of each question."""
+    rows = scored_outcomes(spark, sf_dir).where("question IS NOT NULL").select("question", "row_id", "gold_bool")
+    return P.stratified_splits(rows, ["question"], "gold_bool", "row_id", SPLITS)
+
+
+@query("holdout_threshold", f"""{WITH}, g AS (SELECT row_id, score, gold_bool FROM o WHERE gold_bool IS NOT NULL),
+{halves_sql('g', 'w', 'gold_bool', SPLITS)},
 u AS (SELECT * FROM w WHERE tr),
 cand AS (SELECT split, score AS threshold FROM u UNION SELECT split, 0.0::DOUBLE FROM u UNION SELECT split, 1.0::DOUBLE FROM u),
 acc AS (SELECT c.split, c.threshold, i.inverted, count(*) FILTER (WHERE ((u.score >= c.threshold) <> i.inverted) = u.gold_bool) AS hits, count(*) AS n FROM cand c JOIN u ON u.split = c.split, (VALUES (FALSE), (TRUE)) i(inverted) GROUP BY 1, 2, 3),
@@ -172,7 +196,7 @@ best AS (SELECT * FROM rk WHERE a = top AND CASE WHEN round(top, 4) < top THEN r
 SELECT w.split AS split, best.threshold AS threshold, best.inverted AS inverted, round(max(best.a), 6) AS train_accuracy, round(avg(CAST(((w.score >= best.threshold) <> best.inverted) = w.gold_bool AS INT)), 6) AS test_accuracy, count(*) AS n_test
 FROM w JOIN best ON best.split = w.split WHERE NOT w.tr GROUP BY 1, 2, 3""")
 def holdout_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(K.threshold_holdout(K.hash_splits(scored_outcomes(spark, sf_dir).where("gold_bool IS NOT NULL"), "row_id", SPLITS)))
+    return rounded(H.threshold_halves(scored_outcomes(spark, sf_dir), [], "row_id", SPLITS))
 
 
 ALL_SPLITS = 500
@@ -181,7 +205,7 @@ ALL_SPLITS = 500
 @query("holdout_summary")
 def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question's threshold on 500 halves; 500 fits of all rows are too slow for SQL, so tests hold it against a plain version."""
-    return rounded(K.holdout_summary(K.hash_splits(scored_outcomes(spark, sf_dir).where("gold_bool IS NOT NULL"), "row_id", ALL_SPLITS), ["question"]))
+    return rounded(K.holdout_summary(scored_outcomes(spark, sf_dir), "row_id", ALL_SPLITS, ["question"]))
 
 
 @query("holdout_majority", f"""{WITH},

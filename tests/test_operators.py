@@ -434,14 +434,3 @@ def test_turns_in_one_band(spark):
     turns = S.spread_within_band(spark.createDataFrame(rows, "name string, band string, points long"), "name", "band", "points").collect()
     order = [r.points for r in sorted(turns, key=lambda r: r.turn)]
     assert sorted(r.turn for r in turns) == list(range(1, 201)) and order[:8] == [0, 3, 1, 2, 0, 3, 1, 2]
-
-
-def test_holdout_summary(spark):
-    rows = [("q", i, i / 40, i >= 20) for i in range(40)] + [("few", i, 0.5, i < 3) for i in range(40)]
-    splits = K.hash_splits(spark.createDataFrame(rows, "question string, row_id long, score double, gold_bool boolean"), "row_id", 60)
-    shares = [r.s for r in splits.groupBy("split").agg(F.avg(F.col("is_train").cast("int")).alias("s")).collect()]
-    assert 0.4 < sum(shares) / 60 < 0.6 and len({tuple(sorted((r.row_id, r.is_train) for r in splits.where(f"split = {k}").collect())) for k in range(3)}) == 3
-    row = one(K.holdout_summary(splits, ["question"]))
-    assert row.question == "q" and row.n == 60 and row.hindsight == 1.0 and 0.9 < row.mean <= 1 and abs(row.gap - (1 - row.mean)) < 1e-9 and 0.4 <= row.median_threshold <= 0.6
-    each = K.threshold_holdout(splits.where("question = 'q'"), ["question"]).collect()
-    assert abs(sum(r.test_accuracy for r in each) / 60 - row.mean) < 1e-9
