@@ -20,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workspace import discard, set_for, write_table
+from ..operators.ranking import number_within
+from ..operators.splits import summed
 
 LONGEST = 5
 #: A filter of cells has 2**FILTER_BITS bits; more cells only let more candidates pass, which exact counts then reject.
@@ -32,6 +34,8 @@ FILTER_BITS = 24
 PART_BYTES, AUTOMATON_BYTES = 4 << 20, 4 << 20
 #: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
 HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 21, 1024, 8
+#: Phrases whose counts are one array, and names that a task remembers so as to send each once.
+BLOCK, NAMES = 1 << 12, 1 << 18
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands between pieces of text as a word of its own; it breaks pieces, so no word has it.
 _BREAK = b"."
@@ -170,6 +174,7 @@ def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
+        said: set[tuple[str, str]] = set()
         for batch in batches:
             for lang, body in _parts(batch):
                 words = _words(body)
@@ -183,6 +188,10 @@ def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast])
                     unit = np.zeros(len(index), np.int64)
                     unit[at] = same
                     phrases += [" ".join([names[i] for i in index[s : s + k].tolist()]) for s in at[first].tolist()]
+                phrases = [p for p in phrases if (lang, p) not in said]
+                if len(said) > NAMES:
+                    said.clear()
+                said.update((lang, p) for p in phrases)
                 if phrases:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases)], names=["lang", "phrase"])
 
@@ -207,8 +216,11 @@ def _automata(name: str, phrases: list[tuple[str, str]]) -> dict[str, ahocorasic
     return _BUILT[name]
 
 
-def occurrences(texts: DataFrame, shard: Broadcast) -> DataFrame:
-    """lang, phrase, n: how often each phrase of a shard (its name and a list of lang and phrase) comes in the texts of a task."""
+def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
+    """lang, phrase, n: how often each phrase of a shard (its name and a list of lang and phrase) comes, if ``least`` times.
+
+    A task's counts are arrays over ``BLOCK`` phrases each, in the order of the shard, so no phrase is sent to be summed.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shard.value[1]
@@ -219,10 +231,19 @@ def occurrences(texts: DataFrame, shard: Broadcast) -> DataFrame:
                 if lang in machines:
                     text = b" ".join([b"", *body.split(), b""]).decode()
                     total += np.bincount(np.fromiter((i for _, i in machines[lang].iter(text)), np.int64), minlength=len(phrases))
-        hit = np.flatnonzero(total).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([phrases[i][0] for i in hit], pa.string()), pa.array([phrases[i][1] for i in hit], pa.string()), pa.array(total[hit])], names=["lang", "phrase", "n"])
+        blocks = range(0, len(total), BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([total[i : i + BLOCK] for i in blocks], pa.list_(pa.int64()))], names=["key", "values"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shard.value[1]
+        for batch in batches:
+            for key, row in zip(batch.column("key").to_pylist(), batch.column("values")):
+                n = row.values.to_numpy()
+                often = np.flatnonzero(n >= least)
+                own = [phrases[key * BLOCK + i] for i in often.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([x for _, x in own], pa.string()), pa.array(n[often])], names=["lang", "phrase", "n"])
 
-    return texts.mapInArrow(count, "lang string, phrase string, n long")
+    return summed(texts.mapInArrow(count, "key long, values array<long>")).mapInArrow(name, "lang string, phrase string, n long")
 
 
 def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
@@ -248,7 +269,7 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     for s in range(shards):
         of_shard = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("lang", "phrase")
         shard = send((uuid.uuid4().hex, [tuple(r) for r in of_shard.collect()]))
-        found = write_table(occurrences(texts, shard).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+        found = write_table(occurrences(texts, shard, least), "phrases")
         counts = found if counts is None else counts.union(found)
         shard.unpersist()
     for sent in (frequent, *filters):
@@ -293,9 +314,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     totals = words.groupBy(F.col("lang").alias("_of")).agg(F.sum("n").alias("n"))
     cuts = cuts.join(totals, F.col("lang") == F.col("_of"))
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("cut"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    # Tasks keep their own first rows of each language before any are exchanged.
-    with set_for(docs.sparkSession, {"spark.sql.optimizer.windowGroupLimitThreshold": str(top)}):
-        return write_table(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
+    ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"), (-F.col("cut.score")).alias("_s"), (-F.col("a")).alias("_a"))
+    # Languages are few, but one may have most phrases: ranks come from sorted ranges, not from one task for each language.
+    ranked = number_within(ranked, ["lang"], ["_s", "_a", "phrase"], "_before").where(F.col("_before") < top)
+    return ranked.select("lang", (F.col("_before") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
