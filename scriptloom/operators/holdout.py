@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import shuffle_partitions, write_table
@@ -238,10 +238,10 @@ def best_cuts(events: DataFrame, halves: Halves) -> DataFrame:
     )
 
 
-def _ends(rows: DataFrame, groups: list[tuple], values: tuple[float, ...]) -> DataFrame:
+def ends(spark: SparkSession, groups: int, values: tuple[float, ...]) -> DataFrame:
     """Candidates that every split of every group has."""
-    made = [(g, 2, i, v, 2 + 8) for g in range(len(groups)) for i, v in enumerate(values)]
-    return rows.sparkSession.createDataFrame(made, "_g int, _c int, _i long, _v double, _kind int").withColumn("_kind", F.col("_kind").cast("byte"))
+    made = [(g, 2, i, v, 2 + 8) for g in range(groups) for i, v in enumerate(values)]
+    return spark.createDataFrame(made, "_g int, _c int, _i long, _v double, _kind int").withColumn("_kind", F.col("_kind").cast("byte"))
 
 
 def threshold_halves(df: DataFrame, by: list[str], row_id: str, repeats: int = 500, fraction: float = 0.5, least: int = 4) -> DataFrame:
@@ -256,7 +256,7 @@ def threshold_halves(df: DataFrame, by: list[str], row_id: str, repeats: int = 5
     used = df.where("gold_bool IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
     rows, halves = stratified_halves(used, by, "gold_bool", row_id, repeats, fraction, least)
     events = rows.select("_g", "_c", F.col(row_id).cast("long").alias("_i"), F.col("score").cast("double").alias("_v"), (F.col("_c") + 4).cast("byte").alias("_kind"))
-    best = best_cuts(events.union(_ends(rows, halves.groups, (0.0, 1.0))), halves)
+    best = best_cuts(events.union(ends(df.sparkSession, len(halves.groups), (0.0, 1.0))), halves)
     top = F.col("hits") / F.col("n_train")
     picked = F.when(F.round(top, 4) < top, F.col("last")).otherwise(F.col("first"))
     out = best.withColumn("p", picked).where("n_test > 0")

@@ -274,6 +274,28 @@ def logistic_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("paired_compare")
 def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = supplier_rows(spark, sf_dir)
-    splits = K.seeded_splits(spark, G.labelled_groups(rows, "gold", "row_id"), 200)
-    return rounded(G.paired_summary(G.paired_splits(rows, splits, _FEATURES, "gold", "score", "row_id", ["n_returned"])))
+    """The score against regressions of 200 stratified halves."""
+    return rounded(G.paired_summary(G.paired_splits(supplier_rows(spark, sf_dir), 200, _FEATURES, "gold", "score", "row_id", ["n_returned"])))
+
+
+@query("logistic_fit")
+def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the models of all suppliers."""
+    return rounded(G.fit_table(supplier_rows(spark, sf_dir), _FEATURES, "gold", "row_id", {"clean": ["n_returned"], "leaky": []}))
+
+
+_SUPPLIERS = """s AS (
+  SELECT l_suppkey AS row_id, CAST(count(*) AS DOUBLE) AS n_lines, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS n_returned,
+         CAST(count(DISTINCT l_partkey) AS DOUBLE) AS n_parts, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS quantity
+  FROM lineitem GROUP BY l_suppkey)"""
+
+
+@query("gram_matrix", f"""WITH {_SUPPLIERS}, z AS ({" UNION ALL ".join(f"SELECT row_id, '{f}' AS f, {i} AS k, ({f} - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1) AS x FROM s" for i, f in enumerate(_FEATURES))})
+SELECT a.f AS feature, b.f AS other, round(sum(a.x * b.x), 6) AS product FROM z a JOIN z b ON a.row_id = b.row_id AND a.k <= b.k GROUP BY a.f, b.f""")
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products of scaled features: the matrix of a Newton step from zero, four times."""
+    data = G.design(supplier_rows(spark, sf_dir), _FEATURES, "gold", "row_id")
+    every = list(range(len(_FEATURES)))
+    matrix = 4 * G.newton_sums(data, G.Everyone(), {"all": every}, {"all": G.np.zeros((1, len(every) + 1))})["all"][0][0]
+    made = [(_FEATURES[i], _FEATURES[j], float(matrix[i + 1, j + 1])) for i in every for j in every if i <= j]
+    return rounded(spark.createDataFrame(made, "feature string, other string, product double"))
