@@ -47,7 +47,12 @@ def pages():
     return [(*r, *CLASHING) for r in rows]
 
 
-TABLES = {"documents": (documents, DOCUMENTS), "embeddings": (embeddings, EMBEDDINGS), "pages": (pages, PAGES)}
+def labels():
+    return [(i, i % 3 - 1 if i % 5 else None, i % 2, *CLASHING) for i in range(0, 60, 2)] + [(56, 1, 1, *CLASHING), (None, 1, 1, *CLASHING), (999, 1, 1, *CLASHING)]
+
+
+LABELS = f"doc_id long, quality int, toxic int, {CLASH}"
+TABLES = {"labels": (labels, LABELS), "documents": (documents, DOCUMENTS), "embeddings": (embeddings, EMBEDDINGS), "pages": (pages, PAGES)}
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +70,7 @@ def test_query(spark, folders, name):
     got = QUERIES[name](spark, full).collect()
     n = int(name[2:].split("_")[0])
     docs = Counter(r[0] for r in documents())
-    if n in (1, 3, 5, 6, 8):
+    if n in (1, 3, 5, 6, 8, 12):
         assert Counter(r.doc_id for r in got) == docs
     if n == 1:
         from tokenizers import Tokenizer
@@ -87,6 +92,13 @@ def test_query(spark, folders, name):
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((p, len((h or "").encode()), sha(h)) for p, _, h, *_ in pages())
         assert {r.refers_to for r in got if r.record_type == "revisit"} == {27}
         assert Counter(r.page_id for r in got if r.record_type == "response")[42] == 3
+    if n == 11:
+        first = [r for r in got if r.filter_order == "EABCD" and r.step == 1]
+        assert {r.part for r in got} == {"", "s0", "s1", "s2"} and len(got) == 4 * 600
+        # Repeats: 51 of 50, and both rows of 56 of 3.
+        assert sum(r.removed for r in first) == 3 and sum(r.kept + r.removed for r in first) == len(documents())
+    if n == 12:
+        assert all((r.n_assign, r.n_access, r.spans) == (0, 0, "") for r in got if r.doc_id in (50, 51, 52, 58))
     assert QUERIES[name](spark, none).count() == 0
 
 
