@@ -28,12 +28,14 @@ from ..operators.ranking import number_within
 from ..operators.splits import summed
 
 LONGEST = 5
+#: The sketch has 2**40 cells: those that some sequence falls in are counted.
+_CELLS = np.uint64((1 << 40) - 1)
 #: A filter of cells has 2**FILTER_BITS bits; more cells only let more candidates pass, which exact counts then reject.
 FILTER_BITS = 24
 #: Texts that a task works on at a time, and phrases of one automaton, in bytes.
 PART_BYTES, AUTOMATON_BYTES = 4 << 20, 4 << 20
 #: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
-HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 21, 1024, 8
+HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 512, 8
 #: Phrases whose counts are one array, and names that a task remembers so as to send each once.
 BLOCK, NAMES = 1 << 12, 1 << 18
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -121,7 +123,7 @@ def _levels(ids: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, n
         with np.errstate(over="ignore"):
             x = cells[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[k - 1 :]
             x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            cells = x ^ x >> np.uint64(29)
+            cells = (x ^ x >> np.uint64(29)) & _CELLS
         ok = ok[:-1] & ok[1:]
         at = np.flatnonzero(ok)
         yield k, at, cells[at]
