@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order_statistics import numbers, order_statistics
 from .ranking import sum_before
 
 PERCENTILES = (25, 33, 50, 66, 75, 90, 95)
@@ -36,12 +37,34 @@ def percentiles(values: DataFrame, key: str, value: str, ps: tuple[int, ...] = P
     return ranked.groupBy(key).agg(*[F.max(F.when(at(p), F.col(value))).alias(f"p{p}") for p in ps])
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, n, min, max, mean, stdev (sample; 0 for one row), zeros and percentiles of each of ``columns``."""
-    one = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    parts = (("n", lambda x: F.count(F.lit(1))), ("min", F.min), ("max", F.max), ("mean", F.avg), ("stdev", lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))), ("zeros", lambda x: F.count_if(x == 0)))
-    wide = df.select(*[one(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    wide = wide.agg(*[F.struct(F.lit(c).alias("feature"), *[f(F.col(f"c{i}")).alias(name) for name, f in parts]).alias(f"s{i}") for i, c in enumerate(columns)])
-    moments = wide.select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*").where("n > 0")
+def rank_of(p: int, n: int) -> int:
+    """``nearest_rank`` of numbers."""
+    return max(1, min(n, round(p / 100 * n + 0.5)))
+
+
+def wide_percentiles(df: DataFrame, columns: list[str], ps: tuple[int, ...] = PERCENTILES, stored: bool = False) -> DataFrame:
+    """feature, p25, p33, ... of each of ``columns`` (nulls count as 0), each an observed value; nothing of an empty table.
+
+    ``stored`` says that ``df`` is a plain scan of files, which need not be written again.
+    """
+    return _percentiles_of(numbers(df, columns, stored), columns, ps)
+
+
+def _percentiles_of(rows: DataFrame, columns: list[str], ps: tuple[int, ...]) -> DataFrame:
+    found = order_statistics(rows, len(columns), lambda n: [rank_of(p, n) for p in ps])
+    return rows.sparkSession.createDataFrame([(c, *v) for c, v in zip(columns, found)], "feature string, " + ", ".join(f"p{p} double" for p in ps))
+
+
+def profile(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
+    """feature, n, min, max, mean, stdev (sample; 0 for one row), zeros and percentiles of each of ``columns`` (nulls count as 0).
+
+    An empty table has no rows.  A few numbers for each column come to the driver; for ``stored`` see ``wide_percentiles``.
+    """
+    rows = numbers(df, columns, stored)
+    one = lambda f: F.array(*[f(F.col(f"c{i}")) for i in range(len(columns))])
+    parts = {"n": lambda x: F.count(F.lit(1)), "min": F.min, "max": F.max, "mean": F.avg, "stdev": lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0)), "zeros": lambda x: F.count_if(x == 0)}
+    wide = rows.agg(*[one(f).alias(name) for name, f in parts.items()])
+    names = F.array(*[F.lit(c).alias("feature") for c in columns])
+    moments = wide.select(F.explode(F.arrays_zip(names.alias("feature"), *parts)).alias("s")).select("s.*").where("n > 0")
     # One row for each column.
-    return percentiles(melt(df, columns), "feature", "value").join(F.broadcast(moments), "feature").select("feature", "n", "min", "max", "mean", "stdev", "zeros", *[f"p{p}" for p in PERCENTILES])
+    return moments.join(F.broadcast(_percentiles_of(rows, columns, PERCENTILES)), "feature")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import melt, percentiles
+from .profile import wide_percentiles
 from .ranking import sum_before
 
 BAND_ORDER = ("low", "medium", "high")
@@ -47,9 +47,12 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(column, "n", (100.0 * F.col("n") / F.col("_all")).alias("percent"))
 
 
-def thresholds(features: DataFrame, scored: list[tuple[str, int, int | None]]) -> DataFrame:
-    """feature, lower, upper: percentiles as whole numbers, lower at least 1, upper over lower (null if there is none)."""
-    table = percentiles(melt(features, [x for x, _, _ in scored]), "feature", "value", tuple(sorted({p for _, lo, hi in scored for p in (lo, hi) if p})))
+def thresholds(features: DataFrame, scored: list[tuple[str, int, int | None]], stored: bool = False) -> DataFrame:
+    """feature, lower, upper: percentiles as whole numbers, lower at least 1, upper over lower (null if there is none).
+
+    ``stored`` says that ``features`` is a plain scan of files.
+    """
+    table = wide_percentiles(features, [x for x, _, _ in scored], tuple(sorted({p for _, lo, hi in scored for p in (lo, hi) if p})), stored)
     pick = lambda k: F.coalesce(*[F.when(F.col("feature") == s[0], F.col(f"p{s[k]}") if s[k] else F.lit(None)) for s in scored]).cast("long")
     lower = F.greatest(pick(1), F.lit(1))
     return table.select("feature", lower.alias("lower"), F.when(pick(2).isNotNull(), F.greatest(pick(2), lower + 1)).alias("upper"))

@@ -92,10 +92,22 @@ def summed(df: DataFrame) -> DataFrame:
     return some.repartition(n, "key").mapInArrow(add, f"key long, values {kind}")
 
 
+#: Tasks whose arrays the driver adds up itself; those of more are added on the way.
+DIRECT = 32
+
+
 def sums_by_key(df: DataFrame) -> dict[int, np.ndarray]:
-    """The sums of ``summed`` on the driver: as many arrays as there are keys."""
-    table = summed(df).toArrow()
-    return {k: v.values.to_numpy() for k, v in zip(table.column("key").to_pylist(), table.column("values"))}
+    """The sums of ``summed`` on the driver: as many arrays as there are keys, or at most ``DIRECT`` times as many on the way.
+
+    ``df`` reads a stored table: no exchange lies before it.
+    """
+    few = df.rdd.getNumPartitions() <= DIRECT
+    table = (df if few else summed(df)).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for k, v in zip(table.column("key").to_pylist(), table.column("values")):
+        own = v.values.to_numpy()
+        out[k] = out[k] + own if k in out else own
+    return out
 
 
 def same(by: list[str], others: list[str]) -> Column:

@@ -39,7 +39,7 @@ _LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumb
 
 @query("profile_lineitem", profile_sql("lineitem", _LINEITEM))
 def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile(table(spark, sf_dir, "lineitem"), _LINEITEM))
+    return _rounded(profile(table(spark, sf_dir, "lineitem"), _LINEITEM, stored=True))
 
 
 _ORDERS = ["o_totalprice", "o_custkey"]
@@ -47,12 +47,12 @@ _ORDERS = ["o_totalprice", "o_custkey"]
 
 @query("profile_orders", profile_sql("orders", _ORDERS))
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile(table(spark, sf_dir, "orders"), _ORDERS))
+    return _rounded(profile(table(spark, sf_dir, "orders"), _ORDERS, stored=True))
 
 
 @query("profile_documents", profile_sql("documents", ["n_chars"]))
 def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile(table(spark, sf_dir, "documents"), ["n_chars"]))
+    return _rounded(profile(table(spark, sf_dir, "documents"), ["n_chars"], stored=True))
 
 
 @query("percentile_rank_part", """
@@ -126,7 +126,7 @@ BAND_SQL = "CASE WHEN points <= 4 THEN 'low' WHEN points <= 6 THEN 'medium' ELSE
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Read by the thresholds and by the score.
     f = write_table(order_features(spark, sf_dir), "features")
-    return R.band_for(R.score(f, R.thresholds(f, SCORED), FLAT), BANDS)
+    return R.band_for(R.score(f, R.thresholds(f, SCORED, stored=True), FLAT), BANDS)
 
 
 @query("rubric_score_orders", f"WITH {FEATURES_SQL}, {THRESHOLDS_SQL}, {POINTS_SQL} SELECT name, points FROM p")

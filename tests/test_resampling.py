@@ -9,6 +9,8 @@ import pytest
 from scriptloom.operators import comparison as K
 from scriptloom.operators import holdout as H
 from scriptloom.operators import splits as P
+from scriptloom.operators.order_statistics import numbers, order_statistics
+from scriptloom.operators.profile import profile, wide_percentiles
 
 
 def plain_halves(rows, repeats):
@@ -136,3 +138,19 @@ def test_holdout_summary(spark):
     one = K.holdout_summary(outcomes(spark, rows).drop("question"), "row_id", 5).collect()
     assert len(one) == 1 and one[0].n == 5
     assert K.holdout_summary(outcomes(spark, [r for r in rows if r[3]]), "row_id", 5, ["question"]).count() == 0
+
+
+def test_order_statistics(spark):
+    """All ranks of columns of both signs, of whole numbers, of one value, and with NaN and infinities."""
+    rng = np.random.default_rng(4)
+    columns = [rng.normal(size=301) * 10.0 ** rng.integers(-300, 300, 301), rng.integers(-5, 5, 301) * 1.0, np.full(301, 2.5), rng.normal(size=301)]
+    columns[3][:5] = [np.nan, np.inf, -np.inf, -0.0, 0.0]
+    rows = spark.createDataFrame([tuple(float(c[i]) for c in columns) for i in range(301)], "a double, b double, c double, d double").repartition(3)
+    ranks = list(range(1, 302, 3))
+    got = order_statistics(numbers(rows, ["a", "b", "c", "d"]), 4, lambda n: ranks if n == 301 else [])
+    for c, g in zip(columns, got):
+        assert np.array_equal(np.sort(c)[np.array(ranks) - 1], np.array(g), equal_nan=True)
+    empty = spark.createDataFrame([], "a double, b double")
+    assert profile(empty, ["a", "b"]).count() == 0 and wide_percentiles(empty, ["a"]).count() == 0
+    nulls = profile(spark.createDataFrame([(None,), (3.0,)], "a double"), ["a"]).first()
+    assert (nulls.n, nulls.zeros, nulls.p25, nulls.p95) == (2, 1, 0.0, 3.0)
