@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workspace import write_table
+from .ranking import number_within
+
 # The counts of a family's fingerprint, in order, and the shares of the splits.
 FAMILY_KEYS = ("source_tables", "subquery_count", "cte_count", "window_function_count", "set_operation_count", "max_nesting_depth", "graph_edges", "statements")
 SPLITS = {"train": 0.70, "calibration": 0.10, "test": 0.20}
 
-#: Families whose sizes the greedy split takes to the driver at most.
-MAX_FAMILIES = 2_000_000
-
 
 def family_key(columns: list[str], sources: str | None = "distinct_sources") -> Column:
     """First 12 hex digits of the SHA-1 of counts and sorted sources; missing counts are 0."""
@@ -22,26 +22,57 @@ def family_key(columns: list[str], sources: str | None = "distinct_sources") ->
     return F.substring(F.sha1(F.concat_ws("|", *parts, F.concat(F.lit("sources="), listed))), 1, 12)
 
 
+def deal(sizes: list[tuple[int, int]], fractions: dict[str, float]) -> list[tuple[int, str, int, int]]:
+    """Of each (size, families of that size) the ranks that go to each split: size, split, first rank, end.
+
+    Families go one by one, the largest first, to the split that is furthest below its share (the first of several).
+    Families of one size are alike, so a run of them is dealt at once: all splits are filled to one level, but for the
+    last few families, and only those are dealt one by one.
+    """
+    total = sum(n * k for n, k in sizes)
+    held, out = dict.fromkeys(fractions, 0), []
+    for n, k in sorted(sizes, reverse=True):
+        lack = {s: f * total - held[s] for s, f in fractions.items()}
+        filled = lambda level: {s: max(0, math.floor((x - level) / n)) for s, x in lack.items()}
+        high, low = max(lack.values()), min(lack.values()) - (k + 1.0) * n
+        for _ in range(80):
+            level = (high + low) / 2
+            high, low = (level, low) if sum(filled(level).values()) <= k else (high, level)
+        got = {s: max(0, x - 1) for s, x in filled(high).items()}
+        for s in fractions:
+            held[s] += n * got[s]
+        for _ in range(k - sum(got.values())):
+            s = min(fractions, key=lambda s: held[s] - fractions[s] * total)
+            held[s] += n
+            got[s] += 1
+        at = 0
+        for s in fractions:
+            if got[s]:
+                out.append((n, s, at, at + got[s]))
+            at += got[s]
+    return out
+
+
 def split_families(cases: DataFrame, family: str = "family", fractions: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """Add ``split``: families whole, the largest first, each to the split that is furthest below its share.
 
-    Only (family, size) comes to the driver, where the sizes are dealt in one pass; ties
-    between families of a size are in seeded order.
+    Families of one size are ranked by the MD5 of seed and family, and the splits take ranks in their order.  Only the
+    histogram of sizes comes to the driver (of N cases fewer than the root of 2 N sizes).  A null family is a family.
     """
-    fractions = fractions or SPLITS
-    sizes = [(r["f"], r["n"]) for r in cases.groupBy(F.col(family).alias("f")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_FAMILIES + 1).collect()]
-    if len(sizes) > MAX_FAMILIES:
-        raise ValueError(f"more than {MAX_FAMILIES} families")
-    sizes.sort(key=lambda x: (-x[1], x[0]))
-    random.Random(seed).shuffle(sizes)
-    sizes.sort(key=lambda x: -x[1])
-    total, held, where = sum(n for _, n in sizes), dict.fromkeys(fractions, 0), []
-    for f, n in sizes:
-        split = min(fractions, key=lambda s: held[s] - fractions[s] * total)
-        held[split] += n
-        where.append((f, split))
-    table = cases.sparkSession.createDataFrame(where, "_family string, split string")
-    return cases.join(table, cases[family] == table["_family"]).drop("_family")
+    sizes = write_table(cases.groupBy(F.col(family).alias("_family")).agg(F.count(F.lit(1)).alias("_size")), "families")
+    counts = [(r["_size"], r["k"]) for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("k")).collect()]
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_family").cast("string"), F.lit(""))))
+    ranked = number_within(sizes.withColumn("_key", key), ["_size"], ["_key", "_family"], "_rank")
+    runs = cases.sparkSession.createDataFrame(deal(counts, fractions or SPLITS), "_n long, split string, _first long, _end long")
+    # A few rows for each size.
+    placed = ranked.join(F.broadcast(runs), (F.col("_size") == F.col("_n")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))).select("_family", "split")
+    return cases.join(placed, F.col(family).eqNullSafe(F.col("_family"))).drop("_family")
+
+
+def label_counts(cases: DataFrame) -> DataFrame:
+    """question, label, n: how often each label of each question is in the cases' gold; all n together are the decisions."""
+    answers = F.from_json("gold", "map<string, struct<label: string>>")
+    return cases.select(F.explode(answers).alias("question", "answer")).groupBy("question", F.col("answer.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_report(cases: DataFrame, family: str = "family") -> DataFrame:

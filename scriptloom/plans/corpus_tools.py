@@ -68,7 +68,20 @@ def family_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_cases(spark, sf_dir).groupBy("family").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("families"))
 
 
-@query("family_split")
+@query("family_split", f"""WITH RECURSIVE {FAMILY_SQL},
+s AS (SELECT family, count(*) AS n FROM k GROUP BY family),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5('42|' || family), family) AS i, row_number() OVER (PARTITION BY n ORDER BY md5('42|' || family), family) - 1 AS place FROM s),
+t AS (SELECT 0.7::DOUBLE * sum(n) AS x, 0.1::DOUBLE * sum(n) AS y, 0.2::DOUBLE * sum(n) AS z FROM s),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, 0 AS way
+  UNION ALL
+  SELECT i, n, CASE WHEN way = 1 THEN a + n ELSE a END, CASE WHEN way = 2 THEN b + n ELSE b END, CASE WHEN way = 3 THEN c + n ELSE c END, way
+  FROM (SELECT r.i AS i, r.n AS n, a, b, c, CASE WHEN a - x <= b - y AND a - x <= c - z THEN 1 WHEN b - y <= c - z THEN 2 ELSE 3 END AS way FROM g JOIN r ON r.i = g.i + 1, t)
+),
+w AS (SELECT n, way, count(*) AS m FROM g WHERE i > 0 GROUP BY n, way),
+e AS (SELECT n, way, sum(m) OVER (PARTITION BY n ORDER BY way) AS upto, m FROM w)
+SELECT k.id AS id, k.family AS family, CASE way WHEN 1 THEN 'train' WHEN 2 THEN 'calibration' ELSE 'test' END AS split
+FROM k JOIN r ON r.family = k.family JOIN e ON e.n = r.n AND r.place >= e.upto - e.m AND r.place < e.upto""")
 def family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_families(part_cases(spark, sf_dir)).select("id", "family", "split")
 

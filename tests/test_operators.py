@@ -291,6 +291,22 @@ def test_families_are_never_split(spark):
     assert sum(c for c, _ in report.values()) == 300 and all(o == 0 for _, o in report.values()) and report["train"][0] >= 150
 
 
+def test_runs_of_families_are_dealt_as_if_one_by_one():
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = [(n, rng.choice((1, 2, 5, 40, 700))) for n in rng.sample(range(1, 60), rng.randint(1, 9))]
+        fractions = rng.choice((TR.SPLITS, {"a": 0.5, "b": 0.5}, {"a": 1.0}, {"a": 0.34, "b": 0.33, "c": 0.33}))
+        total, held, want = sum(n * k for n, k in sizes), dict.fromkeys(fractions, 0), {}
+        for n, k in sorted(sizes, reverse=True):
+            for _ in range(k):
+                s = min(fractions, key=lambda s: held[s] - fractions[s] * total)
+                held[s] += n
+                want[n, s] = want.get((n, s), 0) + 1
+        dealt = TR.deal(sizes, fractions)
+        assert {(n, s): b - a for n, s, a, b in dealt} == want
+        assert all(sorted(r for n, _, a, b in dealt if n == size for r in range(a, b)) == list(range(k)) for size, k in sizes)
+
+
 def test_cases(spark, tmp_path):
     schema = "id string, name string, purpose string, structure string, facts string, source_tables long, distinct_sources array<string>, gold map<string,string>"
     rows = [("1", "a", "p", "s", "f", 2, ["t"], {"b": "true", "c": "x", "k": "high"}), ("2", "b", None, None, None, 2, ["t"], {"b": "true"}), ("3", "c", "p", "", "", 2, ["t"], {"c": "unknown"})]
@@ -301,6 +317,7 @@ def test_cases(spark, tmp_path):
 
     gold = json.loads(row.gold)
     assert cases.count() == 1 and gold["b"]["probabilities"] == {"true": 1.0, "false": 0.0} and gold["c"]["label"] == "x" and gold["k"]["label"] == "2"
+    assert {(r.question, r.label): r.n for r in TR.label_counts(cases).collect()} == {("b", "true"): 1, ("c", "x"): 1, ("k", "2"): 1}
     TR.write_jsonl(TR.split_families(cases), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 1
 
