@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.workspace import write_table
 from .comparison import spread, verdict
 from .holdout import best_cuts, ends
+from .metrics import mcnemar, roc_auc, wilson
 from .script_features import COUNTS
 from .splits import stratified_halves, sums_by_key
 
@@ -358,7 +359,8 @@ def _left_out(e: Expansion, x: np.ndarray, y: np.ndarray, rounds: int = 60) -> t
     # What is left out, sum_j f(.) (x_j d)^3 x_j / 6 with |f| <= 1/8, as the row's own logit sees it, by Cauchy-Schwarz.
     in_matrix, in_gram = (np.maximum(np.einsum("ma,ab,mb->m", delta, m, delta), 0) for m in (e.matrix, e.gram))
     inner = h / np.maximum(1 - own * h, 1e-6)
-    off = np.sqrt(inner * e.leverage) * np.sqrt(e.leverage * in_matrix) * in_gram / 48
+    with np.errstate(over="ignore", invalid="ignore"):
+        off = np.sqrt(inner * e.leverage) * np.sqrt(e.leverage * in_matrix) * in_gram / 48
     return delta, np.where(np.isfinite(off) & (last < 1e-9), off, np.inf)
 
 
@@ -418,6 +420,32 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, row_id: str,
     return result.select("variant", "row_id", "gold", "p")
 
 
+def baseline(rows: DataFrame, features: list[str], label: str, row_id: str, leaky: list[str], score: str) -> DataFrame:
+    """variant, n, n_features, accuracy with its Wilson interval (low, high) and auc of the leave-one-out regression with all
+    features and without those that define the label (``clean``); classifier_accuracy, classifier_auc and McNemar's b (only
+    the classifier right), c (only the regression) and p against the classifier's ``score``, null unless every labelled row has one.
+
+    Ids are distinct.  Nothing under 10 rows or with one class.
+    """
+    variants = {"leaky": [], "clean": leaky}
+    left = leave_one_out(rows, features, label, row_id, variants)
+    own = rows.where(F.col(label).isNotNull()).select(F.col(row_id).cast("long").alias("_id"), F.col(score).cast("double").alias("own"))
+    both = left.join(own, left["row_id"] == own["_id"]).select("variant", F.col("gold").alias("gold_bool"), "p", "own")
+    judged = write_table(both.withColumn("lr_right", (F.col("p") >= 0.5) == F.col("gold_bool")).withColumn("right", F.coalesce((F.col("own") >= 0.5) == F.col("gold_bool"), F.lit(False))), "baseline")
+    base = judged.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("lr_right").alias("hits"), F.count_if("right").alias("own_hits"), (F.count("own") == F.count(F.lit(1))).alias("complete"),
+    )
+    low, high = wilson(F.col("hits"), F.col("n"))
+    auc = lambda c, name: roc_auc(judged.select("variant", "gold_bool", F.col(c).alias("score")).where("score IS NOT NULL"), ["variant"]).select("variant", F.col("auc").alias(name))
+    out = base.join(auc("p", "auc"), "variant").join(auc("own", "_own_auc"), "variant", "left").join(mcnemar(judged, ["variant"], "right", "lr_right").withColumnRenamed("p", "_p"), "variant")
+    size = F.when(F.col("variant") == "clean", len([f for f in features if f not in set(leaky)])).otherwise(len(features)).cast("long")
+    known = lambda c: F.when(F.col("complete"), c)
+    return out.select(
+        "variant", "n", size.alias("n_features"), (F.col("hits") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), "auc",
+        known(F.col("own_hits") / F.col("n")).alias("classifier_accuracy"), known(F.col("_own_auc")).alias("classifier_auc"), known(F.col("b")).alias("b"), known(F.col("c")).alias("c"), known(F.col("_p")).alias("p"),
+    )
+
+
 # -- Paired splits ----------------------------------------------------------------
 
 

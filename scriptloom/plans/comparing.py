@@ -290,6 +290,12 @@ def logistic_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("p", F.round("p", 6))
 
 
+@query("regression_baseline")
+def regression_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' score against leave-one-out regressions with and without the feature that defines the label."""
+    return rounded(G.baseline(supplier_rows(spark, sf_dir), _FEATURES, "gold", "row_id", ["n_returned"], "score"))
+
+
 @query("paired_compare")
 def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score against regressions of 200 stratified halves."""

@@ -61,7 +61,7 @@ def test_runs(spark, folder):
     "command,extra,rows",
     [
         ("features", [], 46), ("census", [], 45), ("sample", ["--n", "12"], 12), ("card", ["--judgements", "{top}/judgements.json"], 45), ("calibrate", ["--points", "{top}/points.csv"], 1),
-        ("derive-labels", ["--migrated", "{top}/migrated"], 46), ("decide", [], 45), ("report", [], 4), ("baseline", [], 3), ("compare", ["--other", "{top}/run"], 3), ("paired", ["--splits", "5"], 7),
+        ("derive-labels", ["--migrated", "{top}/migrated"], 46), ("decide", [], 45), ("report", [], 4), ("baseline", [], 6), ("compare", ["--other", "{top}/run"], 3), ("paired", ["--splits", "5"], 7),
         ("ensemble", [], 6), ("variants", [], 1), ("business", [], 1),
     ],
 )

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptloom.operators import comparison as K
 from scriptloom.operators import regression as G
@@ -72,6 +73,22 @@ def test_expansion_and_its_bound(spark):
     assert np.mean(off < 1e-6) > 0.9
 
 
+def test_baseline(spark):
+    rows, x, y, scores = table(spark, 120, 6)
+    got = {r.variant: r for r in G.baseline(rows, NAMES, "gold", "row_id", ["c"], "score").collect()}
+    gold, own = y == 1, (scores >= 0.5) == (y == 1)
+    for v, keep in (("clean", [0, 1, 3]), ("leaky", [0, 1, 2, 3])):
+        p = plain_left_out(x, y, keep)
+        right = (p >= 0.5) == gold
+        pairs = (p[gold][:, None] > p[~gold]) + 0.5 * (p[gold][:, None] == p[~gold])
+        r = got[v]
+        assert (r.n, r.n_features, r.b, r.c) == (120, len(keep), int(np.sum(own & ~right)), int(np.sum(~own & right)))
+        assert abs(r.accuracy - right.mean()) < 1e-12 and abs(r.classifier_accuracy - own.mean()) < 1e-12
+        assert abs(r.auc - pairs.mean()) < 1e-9 and r.low < r.accuracy < r.high and 0 < r.p <= 1
+    some = G.baseline(rows.withColumn("score", F.when(F.col("row_id") > 3, F.col("score"))), NAMES, "gold", "row_id", [], "score").collect()
+    assert len(some) == 2 and all(r.p is None and r.classifier_accuracy is None and r.auc for r in some)
+
+
 def test_one_row_of_a_class(spark):
     rows, x, y, _ = table(spark, 30, 4, lambda x: x[:, 0] >= x[:, 0].max())
     got = {r.row_id: r for r in G.leave_one_out(rows, ["a"], "gold", "row_id", {"v": []}).collect()}
