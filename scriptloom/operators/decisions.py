@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .rubric import BAND_ORDER, band_distance
 
 HIGH, MEDIUM = 0.85, 0.60
@@ -108,28 +109,63 @@ def decide(outcomes: DataFrame) -> DataFrame:
     return grouped.select("script", outcome.alias("outcome"), "reasons")
 
 
-def ask(cards: DataFrame, questions: list[dict], scorer: Callable[[list[str], dict], list[dict]]) -> DataFrame:
+#: What a scorer returns for a state and a question, as columns.
+RAW = "question string, type string, choice string, score double, p_true double, legend array<string>, probabilities array<struct<label:string,p:double>>"
+
+
+def _scored(rows: DataFrame, keys: list[str], questions: list[dict], scorer: Callable[[list[str], dict], list[dict]], size: int) -> DataFrame:
+    """``keys`` and ``RAW`` for each row (``keys``, ``state``) and question.
+
+    The scorer gets up to ``size`` states at a time, those of a batch in the order of their lengths, so that short ones
+    are not padded to long ones.
+    """
+    import pandas as pd
+
+    fields = [*keys, *[x.split()[0] for x in RAW.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.iloc[batch["state"].str.len().argsort(kind="stable")]
+            for at in range(0, len(batch), size):
+                some = batch.iloc[at : at + size]
+                states = some["state"].tolist()
+                for q in questions:
+                    answers = scorer(states, q)
+                    made = [[*key, q["qid"], q["type"], a.get("choice"), a.get("score"), a.get("p_true"), a.get("legend"), [{"label": k, "p": v} for k, v in a.get("probabilities") or []]] for key, a in zip(some[keys].itertuples(index=False), answers)]
+                    yield pd.DataFrame(made, columns=fields).astype({"score": "float64", "p_true": "float64"})
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "state").mapInPandas(run, f"{kinds}, {RAW}")
+
+
+ANSWER = ("question", "type", "value_num", "value_str", "label", "max_probability", "probabilities")
+
+
+def ask(cards: DataFrame, questions: list[dict], scorer: Callable[[list[str], dict], list[dict]], size: int = 64) -> DataFrame:
     """Answers of a classifier to typed ``questions`` about each card (origin, state), normalised.
 
     ``scorer`` takes a batch of states and one question, and returns for each state what
     ``normalise`` reads: p_true, or choice with probabilities, or score with
     probabilities and a legend (probabilities as (label, p) in order).  It runs in
-    tasks, a batch at a time; recorded answers need no scorer.
+    tasks, ``size`` states at a time; recorded answers need no scorer.
     """
-    import pandas as pd
+    return normalise(_scored(cards, ["origin"], questions, scorer, size)).select(F.col("origin").alias("script"), *ANSWER)
 
-    fields = ["origin", "question", "type", "choice", "score", "p_true", "legend", "probabilities"]
 
-    def run(batches):
-        for batch in batches:
-            states = batch["state"].tolist()
-            for q in questions:
-                rows = [[o, q["qid"], q["type"], a.get("choice"), a.get("score"), a.get("p_true"), a.get("legend"), [{"label": k, "p": v} for k, v in a.get("probabilities") or []]] for o, a in zip(batch["origin"], scorer(states, q))]
-                yield pd.DataFrame(rows, columns=fields).astype({"score": "float64", "p_true": "float64"})
-
-    raw = cards.select("origin", "state").mapInPandas(run, "origin string, question string, type string, choice string, score double, p_true double, legend array<string>, probabilities array<struct<label:string,p:double>>")
-    made = normalise(raw)
-    return made.select(F.col("origin").alias("script"), "question", "type", "value_num", "value_str", "label", "max_probability", "probabilities")
+def ask_windows(scripts: DataFrame, questions: list[dict], scorer: Callable[[list[str], dict], list[dict]], budget: int = 380, size: int = 64) -> DataFrame:
+    """One answer for each script (origin, sql) and question, from those of the windows of its text; ``window`` is the one that won.
+
+    A window's state is JSON of its ``sql`` and, if there are several, a ``note`` of its place; a script without a line
+    of code is one window as it is.  A null text is empty.  Windows are scored wherever they are and reduced there to the
+    first best of each script and question, so those of a long script need not meet.  Scripts that repeat an origin count as one.
+    """
+    sql = F.coalesce("sql", F.lit(""))
+    cut = text.windows(sql, budget)
+    rows = scripts.select("origin", F.when(F.size(cut) > 0, cut).otherwise(F.array(sql)).alias("w"))
+    each = rows.select("origin", F.size("w").alias("n"), F.posexplode("w").alias("window", "sql"))
+    state = F.to_json(F.struct("sql", text.window_note(F.col("window"), F.col("n")).alias("note")))
+    answers = normalise(_scored(each.select("origin", F.col("window").cast("long").alias("window"), state.alias("state")), ["origin", "window"], questions, scorer, size))
+    return combine_windows(answers.select(F.col("origin").alias("script"), "window", *ANSWER))
 
 
 def match_origins(answers: DataFrame, scripts: DataFrame) -> tuple[DataFrame, DataFrame]:

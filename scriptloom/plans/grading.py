@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as D
 from ..registry import query
 from ..sources.tables import table
+from .texts import WINDOWS_SQL, scripts
 
 #: Each user is a script; each event is an answer of one window to one of four questions.
 ANSWERS_SQL = """
@@ -43,6 +44,37 @@ def window_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("script", "question", "value_num", F.col("window").alias("window_"), "n_windows", F.round("max_probability", 6).alias("max_probability"))
 
 
+ASKED = [{"qid": "has_subquery", "type": "noul"}, {"qid": "migration_complexity", "type": "score"}, {"qid": "rewrite_strategy", "type": "choice"}]
+
+
+def by_length(states: list[str], question: dict) -> list[dict]:
+    """Stands for a classifier: answers by the characters of a window."""
+    import json
+
+    turn = [q["qid"] for q in ASKED].index(question["qid"])
+    out = []
+    for state in states:
+        p = (len(json.loads(state)["sql"]) * 37 + turn * 11) % 101 / 100
+        levels = [("low", round(1 - p, 2)), ("medium", round(p * 0.7, 3)), ("high", round(p * 0.9, 3))]
+        ways = [("refactor", round(1 - p, 2)), ("redesign", p)]
+        out.append({"noul": {"p_true": p}, "score": {"score": 2 * p, "probabilities": levels}, "choice": {"choice": "redesign" if p > 0.5 else "refactor", "probabilities": ways}}[question["type"]])
+    return out
+
+
+@query("ask_windows", f"""WITH RECURSIVE {WINDOWS_SQL},
+q AS (SELECT unnest(['has_subquery', 'migration_complexity', 'rewrite_strategy']) AS question, unnest(['noul', 'score', 'choice']) AS type, unnest([0, 1, 2]) AS turn),
+a AS (SELECT doc_id AS script, win AS window_, question, type, ((length(txt) * 37 + turn * 11) % 101) / 100.0::DOUBLE AS p FROM g, q),
+v AS (SELECT *, CASE type WHEN 'noul' THEN p WHEN 'score' THEN round(2 * p, 6) END AS value_num, CASE WHEN type = 'choice' THEN CASE WHEN p > 0.5 THEN 'redesign' ELSE 'refactor' END END AS value_str,
+        CASE type WHEN 'score' THEN greatest(round(1 - p, 2), round(p * 0.7, 3), round(p * 0.9, 3)) ELSE greatest(p, round(1 - p, 2)) END AS max_probability FROM a),
+r AS (SELECT *, count(*) OVER (PARTITION BY script, question) AS n, row_number() OVER (PARTITION BY script, question ORDER BY CASE WHEN type = 'choice' THEN max_probability ELSE value_num END DESC, window_) AS k FROM v)
+SELECT script, question, type, round(value_num, 6) AS value_num, value_str, CASE type WHEN 'noul' THEN CASE WHEN p >= round(1 - p, 2) THEN 'true' ELSE 'false' END WHEN 'choice' THEN value_str
+  ELSE CASE WHEN round(1 - p, 2) >= round(p * 0.9, 3) THEN 'low' ELSE 'high' END END AS label, round(max_probability, 6) AS max_probability, window_, CASE WHEN n > 1 THEN n END AS n_windows FROM r WHERE k = 1""")
+def ask_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scripts, asked three kinds of questions window by window."""
+    found = D.ask_windows(scripts(spark, sf_dir).withColumnRenamed("doc_id", "origin"), ASKED, by_length)
+    return found.select("script", "question", "type", F.round("value_num", 6).alias("value_num"), "value_str", "label", F.round("max_probability", 6).alias("max_probability"), F.col("window").alias("window_"), "n_windows")
+
+
 GOLD_SQL = """
 g AS (SELECT c_custkey AS script, q.question AS question,
         CASE q.question WHEN 'has_subquery' THEN CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END WHEN 'has_window_function' THEN CASE WHEN c_nationkey < 20 THEN 'true' ELSE 'false' END

@@ -60,14 +60,17 @@ def markers_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts(spark, sf_dir).select("doc_id", F.concat_ws("|", T.markers(F.col("sql"))).alias("markers"))
 
 
-@query("chunk_windows", f"""WITH RECURSIVE {SCRIPT_SQL},
+WINDOWS_SQL = f"""{SCRIPT_SQL},
 l AS (SELECT doc_id, {_LINES.format(t=_STRIPPED)} AS ls FROM s),
 c AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),
 k AS (SELECT doc_id, i, greatest(1, {_tokens('line')}) AS cost FROM c),
 w AS (SELECT doc_id, i, cost AS used, CAST(0 AS BIGINT) AS win FROM k WHERE i = 1
       UNION ALL SELECT k.doc_id, k.i, CASE WHEN w.used + k.cost <= 380 THEN w.used + k.cost ELSE k.cost END, CASE WHEN w.used + k.cost <= 380 THEN w.win ELSE w.win + 1 END
       FROM w JOIN k ON k.doc_id = w.doc_id AND k.i = w.i + 1),
-g AS (SELECT w.doc_id, w.win, string_agg(c.line, chr(10) ORDER BY w.i) AS txt, count(*) AS n FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY 1, 2)
+g AS (SELECT w.doc_id, w.win, string_agg(c.line, chr(10) ORDER BY w.i) AS txt, count(*) AS n FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY 1, 2)"""
+
+
+@query("chunk_windows", f"""WITH RECURSIVE {WINDOWS_SQL}
 SELECT doc_id, win AS window_, md5(txt) AS text_md5, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 'Fragment ' || (win + 1) || ' of ' || count(*) OVER (PARTITION BY doc_id) || ' of one SQL script.' END AS note FROM g""")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scripts(spark, sf_dir).select("doc_id", T.windows(F.col("sql")).alias("w"))
