@@ -33,11 +33,13 @@ _CELLS = np.uint64((1 << 40) - 1)
 #: A filter of cells has 2**FILTER_BITS bits; more cells only let more candidates pass, which exact counts then reject.
 FILTER_BITS = 24
 #: Texts that a task works on at a time, and phrases of one automaton, in bytes.
-PART_BYTES, AUTOMATON_BYTES = 4 << 20, 4 << 20
+PART_BYTES, AUTOMATON_BYTES = 2 << 20, 4 << 20
 #: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
-HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 512, 8
+HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 256, 8
 #: Phrases whose counts are one array, and names that a task remembers so as to send each once.
 BLOCK, NAMES = 1 << 12, 1 << 18
+#: Of its candidates a part of text names one in so many at first.
+THIN = 16
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands between pieces of text as a word of its own; it breaks pieces, so no word has it.
 _BREAK = b"."
@@ -148,7 +150,7 @@ def encoded(texts: DataFrame, frequent: Broadcast) -> DataFrame:
 
 
 def level_cells(parts: DataFrame, filters: list[Broadcast], least: int) -> DataFrame:
-    """``cell``: cells of the level after those of ``filters`` whose count is ``least`` or more."""
+    """``cell``, ``n``: cells of the level after those of ``filters`` whose count is ``least`` or more."""
     level = len(filters) + 2
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -168,36 +170,40 @@ def level_cells(parts: DataFrame, filters: list[Broadcast], least: int) -> DataF
             yield counted(held)
 
     counts = parts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least).select("cell")
+    return counts.where(F.col("n") >= least)
 
 
-def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast]) -> DataFrame:
-    """lang, phrase: each sequence of 2 to ``LONGEST`` words whose cell is in the filter of its level, once."""
+def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast], wanted: list[Broadcast], thin: int) -> DataFrame:
+    """lang, phrase, level, cell of sequences of 2 to ``LONGEST`` words whose cell is in ``wanted`` of its level, once each.
+
+    A part of text names only one in ``thin`` of its cells, chosen by a hash of both: many parts would say the same names.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [f.value for f in filters]
+        known, names = [f.value for f in filters], [w.value for w in wanted]
         said: set[tuple[str, str]] = set()
         for batch in batches:
             for lang, body in _parts(batch):
                 words = _words(body)
-                index = words.indices.to_numpy().astype(np.int64)
-                names = words.dictionary.to_pylist()
-                unit, phrases = index, []
+                index, spelt = words.indices.to_numpy(), words.dictionary.to_pylist()
+                turn = np.uint64(xxhash.xxh64_intdigest(body))
+                found: dict[tuple[int, ...], tuple[int, int]] = {}
                 for k, at, cells in _levels(_word_cells(lang, words, frequent.value), known):
-                    at = at[_holds(known[k - 2], cells)]
-                    # A sequence is named by its part without the last word, and that word: no hash decides what is equal.
-                    _, first, same = np.unique(unit[at] * len(names) + index[at + k - 1], return_index=True, return_inverse=True)
-                    unit = np.zeros(len(index), np.int64)
-                    unit[at] = same
-                    phrases += [" ".join([names[i] for i in index[s : s + k].tolist()]) for s in at[first].tolist()]
-                phrases = [p for p in phrases if (lang, p) not in said]
+                    with np.errstate(over="ignore"):
+                        own = ((cells ^ turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(thin) == 0
+                    own &= _holds(names[k - 2], cells)
+                    for s, cell in zip(at[own].tolist(), cells[own].tolist()):
+                        found[tuple(index[s : s + k].tolist())] = (k, cell)
+                rows = [(" ".join([spelt[i] for i in key]), *where) for key, where in found.items()]
+                rows = [r for r in rows if (lang, r[0]) not in said]
                 if len(said) > NAMES:
                     said.clear()
-                said.update((lang, p) for p in phrases)
-                if phrases:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases)], names=["lang", "phrase"])
+                said.update((lang, r[0]) for r in rows)
+                if rows:
+                    phrases, levels, cells = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrases), pa.array(levels, pa.int32()), pa.array(cells, pa.int64())], names=["lang", "phrase", "level", "cell"])
 
-    return texts.mapInArrow(name, "lang string, phrase string").distinct()
+    return texts.mapInArrow(name, "lang string, phrase string, level int, cell long").distinct()
 
 
 # -- Automata -------------------------------------------------------------------
@@ -248,35 +254,56 @@ def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
     return summed(texts.mapInArrow(count, "key long, values array<long>")).mapInArrow(name, "lang string, phrase string, n long")
 
 
+def _exact(texts: DataFrame, named: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, n: the phrases of ``named`` that come ``least`` times, dealt by hash to as many shards as their bytes need."""
+    total = named.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
+    shards = -(-total // AUTOMATON_BYTES)
+    counts = named.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("false")
+    for s in range(shards):
+        of_shard = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("lang", "phrase")
+        shard = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in of_shard.collect()]))
+        counts = counts.union(write_table(occurrences(texts, shard, least), "phrases"))
+        shard.unpersist()
+    return counts
+
+
 def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """lang, phrase, n: all sequences of 2 to ``LONGEST`` words that come ``least`` times or more, counted exactly.
 
-    ``words`` are the counts of ``word_counts``.  Driver and tasks hold filters of fixed size and one shard of
-    candidates at a time, dealt by hash to as many shards as their bytes need.
+    ``words`` are the counts of ``word_counts``.  Each part of text first names a few of its candidates.  A cell whose
+    count exceeds those of the phrases named for it by ``least`` or more may hide another: of such cells every part names
+    all, so nothing is missed.  Driver and tasks hold filters of fixed size and one shard of candidates at a time.
     """
     spark = texts.sparkSession
     send = spark.sparkContext.broadcast
-    often = words.where(F.col("n") >= least)
-    frequent = send(cell_filter(often.select(F.xxhash64("lang", "word").alias("cell"))))
+    frequent = send(cell_filter(words.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("cell"))))
     parts = write_table(encoded(texts, frequent), "cells")
     filters: list[Broadcast] = []
-    for _ in range(2, LONGEST + 1):
-        with set_for(spark, {_ROWS: str(PART_ROWS)}):
-            filters.append(send(cell_filter(level_cells(parts, filters, least))))
+    left = None
+    with set_for(spark, {_ROWS: str(PART_ROWS)}):
+        for level in range(2, LONGEST + 1):
+            often = write_table(level_cells(parts, filters, least), "frequent").withColumn("level", F.lit(level))
+            filters.append(send(cell_filter(often)))
+            left = often if left is None else left.union(often)
     discard(parts)
-    named = write_table(candidates(texts, frequent, filters), "candidates")
-    total = named.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    shards = -(-total // AUTOMATON_BYTES)
-    counts = None
-    for s in range(shards):
-        of_shard = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("lang", "phrase")
-        shard = send((uuid.uuid4().hex, [tuple(r) for r in of_shard.collect()]))
-        found = write_table(occurrences(texts, shard, least), "phrases")
+    known, counts = None, None
+    for thin in (THIN, 1):
+        wanted = [send(cell_filter(left.where(F.col("level") == level))) for level in range(2, LONGEST + 1)]
+        named = candidates(texts, frequent, filters, wanted, thin)
+        named = write_table(named if known is None else named.join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "candidates")
+        found = _exact(texts, named, least)
         counts = found if counts is None else counts.union(found)
-        shard.unpersist()
+        known = named if known is None else known.union(named)
+        got = named.join(found, ["lang", "phrase"]).groupBy("level", "cell").agg(F.sum("n").alias("_n"))
+        left = left.join(got, ["level", "cell"], "left").select("level", "cell", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")).where(F.col("n") >= least)
+        left = write_table(left, "left")
+        for sent in wanted:
+            sent.unpersist()
+        if left.isEmpty():
+            break
     for sent in (frequent, *filters):
         sent.unpersist()
-    return named.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("false") if counts is None else counts
+    return counts
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:

@@ -222,10 +222,11 @@ def phrase_rows(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("top", [7, 2000])
-def test_collocations(spark, monkeypatch, top):
-    """Ranks, counts and scores with several automata, part sizes of a few texts and filters that let much pass."""
+@pytest.mark.parametrize("top, thin", [(7, 16), (2000, 3), (2000, 10**6)])
+def test_collocations(spark, monkeypatch, top, thin):
+    """Ranks, counts and scores with several automata, whatever share of candidates is named at first."""
     monkeypatch.setattr(collocations, "AUTOMATON_BYTES", 1500)
+    monkeypatch.setattr(collocations, "THIN", thin)
     rows = phrase_rows(random.Random(top), 600) + [("en", None), (None, ""), ("fr", "one two three four five six. " * 50), ("fr", "a " * 5000), ("de", "rare")]
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "lang string, text string, phrase int").repartition(4)
     got = sorted(tuple(r) for r in collocations.collocations(docs, least=6, top=top).collect())
