@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = tuple(f"scriptloom.plans.{m}" for m in ("statistics", "quality", "relational", "texts", "grading", "comparing", "corpus_tools", "scripts"))
+_MODULES = tuple(f"scriptloom.plans.{m}" for m in ("statistics", "quality", "relational", "texts", "grading", "comparing", "corpus_tools", "scripts", "statements"))
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
