@@ -39,7 +39,7 @@ HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 256, 8
 #: Phrases whose counts are one array, and names that a task remembers so as to send each once.
 BLOCK, NAMES = 1 << 12, 1 << 18
 #: Of its candidates a part of text names one in so many at first.
-THIN = 16
+THIN = 32
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Stands between pieces of text as a word of its own; it breaks pieces, so no word has it.
 _BREAK = b"."
@@ -48,7 +48,7 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abc
 
 def normal(text: str | None) -> bytes:
     """A text with A-Z lower-cased, one space between words, and a lone full stop wherever a piece ends."""
-    return b" ".join((text or "").encode().translate(_TABLE).replace(_BREAK, b" . ").split(b" ")) if text else b""
+    return b" ".join(text.encode().translate(_TABLE).replace(_BREAK, b" . ").split()) if text else b""
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -237,7 +237,7 @@ def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
         for batch in batches:
             for lang, body in _parts(batch):
                 if lang in machines:
-                    text = b" ".join([b"", *body.split(), b""]).decode()
+                    text = f" {body.decode()} "
                     total += np.bincount(np.fromiter((i for _, i in machines[lang].iter(text)), np.int64), minlength=len(phrases))
         blocks = range(0, len(total), BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([total[i : i + BLOCK] for i in blocks], pa.list_(pa.int64()))], names=["key", "values"])
