@@ -68,15 +68,6 @@ def verdict(p05: Column, p95: Column) -> Column:
     return F.when(p05 > 0, "win").when(p95 < 0, "loss").otherwise("tie")
 
 
-def threshold_holdout(split_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """split, threshold, inverted, train accuracy, test accuracy: the cut fitted on training rows, scored on the others."""
-    keys = [*(by or []), "split"]
-    fitted = best_threshold(split_rows.where("is_train"), keys).select(*keys, "threshold", "inverted", F.col("accuracy").alias("train_accuracy"))
-    tested = split_rows.where("NOT is_train AND gold_bool IS NOT NULL AND score IS NOT NULL").join(fitted, keys)
-    right = ((F.col("score") >= F.col("threshold")) != F.col("inverted")) == F.col("gold_bool")
-    return tested.groupBy(*keys, "threshold", "inverted", "train_accuracy").agg(share(right).alias("test_accuracy"), F.count(F.lit(1)).alias("n_test"))
-
-
 def holdout_summary(df: DataFrame, row_id: str, repeats: int = 500, by: list[str] | None = None, least: int = 4) -> DataFrame:
     """Of thresholds fitted on stratified halves of the rows (``gold_bool``, ``score``), over ``repeats`` splits: n (splits),
     mean, p05 and p95 of the accuracy on the other half; median (the upper of two), least and largest threshold; accuracy

@@ -16,12 +16,6 @@ def nearest_rank(p: int, n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.bround(F.lit(p / 100) * n + F.lit(0.5)).cast("long"))).cast("long")
 
 
-def melt(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (feature, value double) for each cell of ``columns``; nulls count as 0."""
-    pairs = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in columns]
-    return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.feature", "x.value")
-
-
 def percentiles(values: DataFrame, key: str, value: str, ps: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """p25, p33, ... of ``value`` for each ``key`` (few distinct keys), each an observed value.
 
