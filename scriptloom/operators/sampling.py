@@ -53,14 +53,14 @@ def boundary_rows(df: DataFrame, points: str, cuts: list[int]) -> DataFrame:
 def spread_within_band(df: DataFrame, name: str, band: str, points: str, seed: int = 42) -> DataFrame:
     """Add ``turn``: the place at which a row of its band is taken when scores take turns (lowest, highest, second lowest, ...).
 
-    Rows of a score are in the order of a seeded hash; no band or score is gathered in a task.  This is the sampler for corpora
+    Rows of a score are in the order of the MD5 of seed and name; no band or score is gathered in a task.  This is the sampler for corpora
     that don't fit the driver; ``select`` draws with the seeded generator.
     """
     scores = df.groupBy(band, points).agg(F.count(F.lit(1)).alias("_c"))
     up, down = Window.partitionBy(band).orderBy(points), Window.partitionBy(band).orderBy(F.desc(points))
     low, high = F.row_number().over(up), F.row_number().over(down)
     side = scores.withColumn("_low", low).withColumn("_high", high).select(F.col(band).alias("_b"), F.col(points).alias("_p"), F.when(F.col("_low") <= F.col("_high"), 2 * F.col("_low") - 1).otherwise(2 * F.col("_high")).alias("_alternation"))
-    mixed = df.withColumn("_hash", F.xxhash64(name, F.lit(seed)))
+    mixed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(name).cast("string"), F.lit("")))))
     rounds = number_within(mixed, [band, points], ["_hash", name], "_round")
     ranked = rounds.join(side, (F.col(band) == F.col("_b")) & (F.col(points) == F.col("_p")))
     turns = number_within(ranked, [band], ["_round", "_alternation", name], "_turn")

@@ -38,7 +38,13 @@ def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coverage_summary(scored_orders(spark, sf_dir), "band", "points")
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"""{_P},
+ss AS (SELECT band, count(*) AS size, CAST(floor(100 * count(*) / sum(count(*)) OVER ()) AS BIGINT) AS base, row_number() OVER (ORDER BY count(*) DESC, band) AS place FROM b GROUP BY band),
+sq AS (SELECT band, base + CASE WHEN place <= 100 - (SELECT sum(base) FROM ss) THEN 1 ELSE 0 END AS quota FROM ss),
+sz AS (SELECT band, points, row_number() OVER (PARTITION BY band ORDER BY points) AS low, row_number() OVER (PARTITION BY band ORDER BY points DESC) AS high FROM (SELECT DISTINCT band, points FROM b)),
+sr AS (SELECT name, band, points, row_number() OVER (PARTITION BY band, points ORDER BY md5('42|' || CAST(name AS VARCHAR)), name) AS round_ FROM b),
+sx AS (SELECT sr.*, row_number() OVER (PARTITION BY sr.band ORDER BY round_, CASE WHEN low <= high THEN 2 * low - 1 ELSE 2 * high END, name) AS turn FROM sr JOIN sz ON sz.band = sr.band AND sz.points = sr.points)
+SELECT sx.name AS name, sx.band AS band, sx.points AS points FROM sx JOIN sq ON sq.band = sx.band WHERE sx.turn <= sq.quota""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 100 orders: bands by quota, scores in turns (sampling operator)."""
     return S.stratified_fill(scored_orders(spark, sf_dir), "name", "band", "points", 100).select("name", "band", "points")
