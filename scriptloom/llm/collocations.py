@@ -289,8 +289,9 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     known, counts = None, None
     for thin in (THIN, 1):
         wanted = [send(cell_filter(left.where(F.col("level") == level))) for level in range(2, LONGEST + 1)]
-        named = candidates(texts, frequent, filters, wanted, thin)
-        named = write_table(named if known is None else named.join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "candidates")
+        named = write_table(candidates(texts, frequent, filters, wanted, thin), "candidates")
+        if known is not None:
+            named = write_table(named.join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "candidates")
         found = _exact(texts, named, least)
         counts = found if counts is None else counts.union(found)
         known = named if known is None else known.union(named)
