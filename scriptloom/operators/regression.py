@@ -29,6 +29,8 @@ MAX_ROWS = 20_000
 ROWS, FOLDS = 2048, 256
 #: What a leave-one-out prediction may be off (in the logit) by what the expansion leaves out.
 SETTLED = 1e-8
+#: A refit starts at what the expansion says if the logit is off by no more than this.
+NEAR = 0.1
 
 #: The 32 numeric features of a script that a regression may read (what is derived from points is not among them).
 FEATURES = ("loc_code", *[c for c in COUNTS if c not in ("truly_correlated_count", "graph_max_scope_degree", "unresolved_predicates")], "source_tables", "graph_nodes", "graph_density", "n_nonportable_markers")
@@ -206,7 +208,8 @@ def newton_sums(data: Design, members: Members, arms: dict[str, list[int]], beta
                 totals[a][len(i) :] += x.T @ ((p - part["y"][:, None]) * weight)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(totals)), pa.int64()), pa.array([t.ravel() for t in totals.values()], pa.list_(pa.float64()))], names=["key", "values"])
 
-    sums = sums_by_key(data.table.mapInArrow(add, "key long, values array<double>"))
+    # Passes of leave-one-out grow with the rows, and so do tasks: one array a pass comes to the driver, not one a task.
+    sums = sums_by_key(data.table.mapInArrow(add, "key long, values array<double>"), len(arms) if members.splits > 1 else None)
     known.unpersist()
     out = {}
     for k, (a, c) in enumerate(columns.items()):
@@ -383,7 +386,8 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, row_id: str,
     arms = _kept(features, variants)
     betas = fit_models(data, Everyone(), arms)
     own = data.detached()
-    known = spark.sparkContext.broadcast({v: (_expansion(data, places, betas[v][0]), np.r_[0, np.array(places, int) + 1]) for v, places in arms.items()})
+    expanded = {v: (_expansion(data, places, betas[v][0]), np.r_[0, np.array(places, int) + 1]) for v, places in arms.items()}
+    known = spark.sparkContext.broadcast(expanded)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, wide in _parts(batches, own):
@@ -409,8 +413,11 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, row_id: str,
                 break
             last = taken[-1]["row"]
             folds = Without(np.array([r["row"] for r in taken]))
-            beta = fit_models(data, folds, {v: places}, {v: np.tile(betas[v][0], (len(taken), 1))}, by_row=True)[v]
             x = data.scaled(np.array([r["x"] for r in taken]).reshape(len(taken), -1))[:, places]
+            # What the expansion says is near: steps from there are fewer than from the model of all rows.
+            delta, off = _left_out(expanded[v][0], np.column_stack([np.ones(len(x)), x]), np.array([float(r["gold"]) for r in taken]))
+            start = betas[v][0] + np.where((off < NEAR)[:, None], delta, 0.0)
+            beta = fit_models(data, folds, {v: places}, {v: start}, by_row=True)[v]
             p = _sigmoid(beta[:, 0] + (x * beta[:, 1:]).sum(1))
             made = [(v, r["row"], r["id"], r["gold"], float(q), True) for r, q in zip(taken, p)]
             parts.append(write_table(spark.createDataFrame(made, LEFT_OUT).coalesce(1), "refitted"))

@@ -72,8 +72,11 @@ class Halves(NamedTuple):
         return out
 
 
-def summed(df: DataFrame) -> DataFrame:
-    """key, values (an array) of one size a key: the sums over all rows of each key, in two steps so that none meets more than its share."""
+def summed(df: DataFrame, keys: int | None = None) -> DataFrame:
+    """key, values (an array) of one size a key: the sums over all rows of each key, in two steps so that none meets more than its share.
+
+    ``keys`` says how many there are at most, if they are few: no more tasks answer then, and the rows of up to ``DIRECT`` tasks are added in one step.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -88,21 +91,26 @@ def summed(df: DataFrame) -> DataFrame:
 
     n = shuffle_partitions(df.sparkSession)
     kind = df.schema["values"].dataType.simpleString()
-    some = df.withColumn("_lane", F.spark_partition_id() % 16).repartition(n, "key", "_lane").select("key", "values").mapInArrow(add, f"key long, values {kind}")
-    return some.repartition(n, "key").mapInArrow(add, f"key long, values {kind}")
+    last = min(n, keys) if keys else n
+    some = df
+    if not keys or df.rdd.getNumPartitions() > DIRECT:
+        lanes = min(n, 16 * keys) if keys else n
+        some = df.withColumn("_lane", F.spark_partition_id() % 16).repartition(lanes, "key", "_lane").select("key", "values").mapInArrow(add, f"key long, values {kind}")
+    return some.repartition(last, "key").mapInArrow(add, f"key long, values {kind}")
 
 
 #: Tasks whose arrays the driver adds up itself; those of more are added on the way.
 DIRECT = 32
 
 
-def sums_by_key(df: DataFrame) -> dict[int, np.ndarray]:
-    """The sums of ``summed`` on the driver: as many arrays as there are keys, or at most ``DIRECT`` times as many on the way.
+def sums_by_key(df: DataFrame, keys: int | None = None) -> dict[int, np.ndarray]:
+    """The sums of ``summed`` on the driver: as many arrays as there are keys, or at most ``DIRECT`` times as many on the way
+    if ``keys`` (how many there are at most) isn't given.
 
     ``df`` reads a stored table: no exchange lies before it.
     """
-    few = df.rdd.getNumPartitions() <= DIRECT
-    table = (df if few else summed(df)).toArrow()
+    few = df.rdd.getNumPartitions() <= (1 if keys else DIRECT)
+    table = (df if few else summed(df, keys)).toArrow()
     out: dict[int, np.ndarray] = {}
     for k, v in zip(table.column("key").to_pylist(), table.column("values")):
         own = v.values.to_numpy()

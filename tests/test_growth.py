@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
+
 import __spark_entry__
+from scriptloom.operators import regression, splits
 
 
 def test_substr_join_counts_before_it_joins(spark, tmp_path):
@@ -17,3 +20,30 @@ def test_substr_join_counts_before_it_joins(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # Both sides of the join are counted, so it meets a row a tail.
     assert plan.index("Join") < plan.index("Aggregate") and plan.count("Aggregate") == 2
+
+
+def test_sums_of_folds_reach_the_driver_once_a_pass(spark):
+    rows = spark.createDataFrame([(i % 2, [float(i), 1.0]) for i in range(400)], "key long, values array<double>")
+    for parts in (6, 40):
+        dealt = rows.repartition(parts)
+        assert splits.summed(dealt, 2).rdd.getNumPartitions() <= 2
+        found = splits.sums_by_key(dealt, 2)
+        assert {k: v.tolist() for k, v in found.items()} == {k: [float(sum(range(k, 400, 2))), 200.0] for k in (0, 1)}
+
+
+def test_refitted_folds_of_a_table_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    y = x[:, 0] + 0.3 * rng.normal(size=60) > 0
+    rows = spark.createDataFrame([(i, float(a), float(b), bool(g)) for i, ((a, b), g) in enumerate(zip(x, y))], "i long, a double, b double, gold boolean").repartition(5)
+    told = []
+    direct = regression.sums_by_key
+    monkeypatch.setattr(regression, "sums_by_key", lambda df, keys=None: told.append(keys) or direct(df, keys))
+    got = {r.row_id: r.p for r in regression.leave_one_out(rows, ["a", "b"], "gold", "i", {"all": []}).collect()}
+    scaled = regression.standardise(x)
+    for i in range(60):
+        rest = np.arange(60) != i
+        want = regression.predict_logistic(regression.fit_logistic(scaled[rest], y[rest].astype(float)), scaled[i : i + 1])[0]
+        assert abs(got[i] - want) < 1e-7
+    # Folds were refitted, and each pass named how many arrays may come.
+    assert 1 in told
