@@ -15,6 +15,8 @@ from .rubric import percentile_rank
 FORCED_MAXIMA = ("subquery_count", "graph_nodes", "set_operation_count", "case_expression_count", "window_function_count", "statements", "graph_max_scope_sources")
 PLACED_BY = ("rubric_points", "loc_code", "source_tables", "subquery_count", "cte_count", "graph_edges", "graph_max_scope_sources")
 
+#: Places up to which Spark drops rows by group before it exchanges them (spark.sql.optimizer.windowGroupLimitThreshold).
+FEW_PLACES = 1000
 #: Scripts of a corpus that the exact (seeded) sampler takes to the driver at most.
 MAX_SCRIPTS = 100_000
 
@@ -50,6 +52,21 @@ def boundary_rows(df: DataFrame, points: str, cuts: list[int]) -> DataFrame:
     return spots.join(counts, "at").select("cut", "side", "n")
 
 
+def drawn_by(name: str, seed: int) -> Column:
+    """The MD5 of seed and name, whose order is that in which rows of a score are drawn."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(name).cast("string"), F.lit(""))))
+
+
+def first_of_scores(df: DataFrame, name: str, band: str, points: str, n: int, seed: int) -> DataFrame:
+    """The rows that may have one of the first ``n`` turns of their band: of each score the first ``n`` drawn.
+
+    A row's turn comes after those of all rows of its score that are drawn before it, and turns among the rows
+    that are left are those among all.  Tasks drop what can't be among the first before rows are exchanged.
+    """
+    drawn = Window.partitionBy(band, points).orderBy(drawn_by(name, seed), name)
+    return df.withColumn("_drawn", F.row_number().over(drawn)).where(F.col("_drawn") <= n).drop("_drawn")
+
+
 def spread_within_band(df: DataFrame, name: str, band: str, points: str, seed: int = 42) -> DataFrame:
     """Add ``turn``: the place at which a row of its band is taken when scores take turns (lowest, highest, second lowest, ...).
 
@@ -60,7 +77,7 @@ def spread_within_band(df: DataFrame, name: str, band: str, points: str, seed: i
     up, down = Window.partitionBy(band).orderBy(points), Window.partitionBy(band).orderBy(F.desc(points))
     low, high = F.row_number().over(up), F.row_number().over(down)
     side = scores.withColumn("_low", low).withColumn("_high", high).select(F.col(band).alias("_b"), F.col(points).alias("_p"), F.when(F.col("_low") <= F.col("_high"), 2 * F.col("_low") - 1).otherwise(2 * F.col("_high")).alias("_alternation"))
-    mixed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(name).cast("string"), F.lit("")))))
+    mixed = df.withColumn("_hash", drawn_by(name, seed))
     rounds = number_within(mixed, [band, points], ["_hash", name], "_round")
     ranked = rounds.join(side, (F.col(band) == F.col("_b")) & (F.col(points) == F.col("_p")))
     turns = number_within(ranked, [band], ["_round", "_alternation", name], "_turn")
@@ -70,7 +87,7 @@ def spread_within_band(df: DataFrame, name: str, band: str, points: str, seed: i
 def stratified_fill(df: DataFrame, name: str, band: str, points: str, total: int, seed: int = 42) -> DataFrame:
     """The rows that fill ``total`` places: bands by quota, scores in turns within each."""
     plan = quotas(df, band, total).select(F.col(band).alias("_band"), "quota")
-    turns = spread_within_band(df, name, band, points, seed)
+    turns = spread_within_band(first_of_scores(df, name, band, points, total, seed) if total <= FEW_PLACES else df, name, band, points, seed)
     # One row for each band.
     return turns.join(F.broadcast(plan), F.col(band) == F.col("_band")).where(F.col("turn") <= F.col("quota")).drop("_band", "quota")
 

@@ -47,7 +47,7 @@ sx AS (SELECT sr.*, row_number() OVER (PARTITION BY sr.band ORDER BY round_, CAS
 SELECT sx.name AS name, sx.band AS band, sx.points AS points FROM sx JOIN sq ON sq.band = sx.band WHERE sx.turn <= sq.quota""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 100 orders: bands by quota, scores in turns (sampling operator)."""
-    return S.stratified_fill(scored_orders(spark, sf_dir), "name", "band", "points", 100).select("name", "band", "points")
+    return S.stratified_fill(scored_orders(spark, sf_dir).select("name", "band", "points"), "name", "band", "points", 100).select("name", "band", "points")
 
 
 #: Parts stand for scripts whose families are brand, type and size.

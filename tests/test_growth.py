@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 import __spark_entry__
-from scriptloom.operators import regression, splits
+from scriptloom.operators import regression, sampling, splits
 
 
 def test_substr_join_counts_before_it_joins(spark, tmp_path):
@@ -47,3 +47,16 @@ def test_refitted_folds_of_a_table_in_parts(spark, monkeypatch):
         assert abs(got[i] - want) < 1e-7
     # Folds were refitted, and each pass named how many arrays may come.
     assert 1 in told
+
+
+def test_a_sample_ranks_only_rows_that_may_be_in_it(spark, monkeypatch):
+    rows = [(f"n{i}", ("low", "high")[i % 3 == 0], i % 4) for i in range(900)] + [(None, "low", 0), ("alone", "high", 9)]
+    df = spark.createDataFrame(rows, "name string, band string, points long").repartition(5)
+    plan = {r.band: r.quota for r in sampling.quotas(df, "band", 10).collect()}
+    want = {tuple(r) for r in sampling.spread_within_band(df, "name", "band", "points").collect() if r.turn <= plan[r.band]}
+    ranked, number = [], sampling.number_within
+    monkeypatch.setattr(sampling, "number_within", lambda d, *rest: ranked.append(d.count()) or number(d, *rest))
+    got = [tuple(r) for r in sampling.stratified_fill(df, "name", "band", "points", 10).collect()]
+    assert set(got) == want and len(got) == len(want) == 10
+    # Ten rows of each score of each band at most.
+    assert max(ranked) <= 10 * 9
