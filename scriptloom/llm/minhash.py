@@ -213,9 +213,9 @@ def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int = BLOCK_ROWS, near: Callable = near_rows) -> DataFrame:
     """id, shard, sketch, size, fp: where a row of ``posted`` (id long, fp long, sketch long, post long) shares a mark with a
-    row of another id that is close (``close_rows``), with sizes at least as ``ratio`` to 1.  Rows may repeat."""
+    row of another id that is close (as ``near`` finds), with sizes at least as ``ratio`` to 1.  Rows may repeat."""
     n = shuffle_partitions(posted.sparkSession)
     shard = F.shiftright("post", SIZE_BITS)
     size = F.col("post").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
@@ -224,7 +224,7 @@ def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int
 
     def compare(part: dict[str, np.ndarray], units: tuple[str, ...]) -> np.ndarray:
         met = np.zeros(len(part["id"]), bool)
-        for a, b in near_rows(part, units, reach, ratio):
+        for a, b in near(part, units, reach, ratio):
             other = part["id"][a] != part["id"][b]
             met[a[other]] = met[b[other]] = True
         return met
@@ -287,15 +287,15 @@ def units_of_work(met: DataFrame, ratio: float, block_rows: int = BODY_ROWS) ->
     return whole.select(*columns).union(split.select(*columns))
 
 
-def met_units(posted: DataFrame, reach: np.ndarray, ratio: float) -> DataFrame:
+def met_units(posted: DataFrame, reach: np.ndarray, ratio: float, near: Callable = near_rows) -> DataFrame:
     """``units_of_work`` of ``meetings``, whose own table goes."""
-    made = meetings(posted, reach, ratio)
+    made = meetings(posted, reach, ratio, near=near)
     units = units_of_work(made, ratio)
     discard(made)
     return units
 
 
-def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach: np.ndarray, ratio: float) -> DataFrame:
+def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach: np.ndarray, ratio: float, near: Callable = near_rows) -> DataFrame:
     """Edges (a, b) between keys of ``rows`` (id long, key binary, body) that meet in
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
@@ -324,7 +324,7 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
                     u, v = u[apart], v[apart]
                     edges.extend(union.join_all(u[sure := alike(u, v)], v[sure]))  # noqa: B023
 
-            for a, b in near_rows(part, ("shard", "i", "j"), reach, ratio):
+            for a, b in near(part, ("shard", "i", "j"), reach, ratio):
                 apart = union.roots(a) != union.roots(b)
                 a, b = a[apart], b[apart]
                 likely = may(a, b) if len(a) else apart

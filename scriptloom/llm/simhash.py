@@ -37,8 +37,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - width + 1
     spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    votes = np.zeros(64, np.int64)
-    hashes = np.array([digest(joined[s:e], seed) for s, e in spans], np.uint64)
+    return majority(np.array([digest(joined[s:e], seed) for s, e in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` (uint64, repeats included) have."""
+    votes, n = np.zeros(64, np.int64), len(hashes)
     for i in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(0, dtype=np.int64)
