@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMMENT = r"(?s)--[^\n]*|/\*.*?\*/"
@@ -72,7 +72,8 @@ def words(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Whole part of 1.3 x words + words that hold a digit or ``=``."""
-    return once(words(text), lambda w: F.floor(F.size(w) * F.lit(1.3) + F.size(F.filter(w, lambda x: F.rlike(x, F.lit("[0-9=]"))))).cast("long"))
+    # From the first digit or = of a word its rest is one match, so each such word is counted once.
+    return F.floor(F.regexp_count(text, F.lit(r"\S+")) * F.lit(1.3) + F.regexp_count(text, F.lit(r"[0-9=]\S*"))).cast("long")
 
 
 def windows(sql: Column, budget: int = 380) -> Column:
@@ -97,6 +98,16 @@ def windows(sql: Column, budget: int = 380) -> Column:
     return F.aggregate(weighed, zero, add, close)
 
 
+def each_window(scripts: DataFrame, name: str, cut: Column) -> DataFrame:
+    """``name``, n, window, sql: a row for each of the windows ``cut``, and their number.
+
+    The optimiser filters by what a plain explode opens, with a copy of the whole computation for each test; an outer one is
+    left alone, so texts are cut once.
+    """
+    rows = scripts.select(name, cut.alias("_w"))
+    return rows.select(name, F.size("_w").alias("n"), F.posexplode_outer("_w").alias("window", "sql")).where("window IS NOT NULL")
+
+
 def window_note(index: Column, total: Column) -> Column:
     """What a window says of its place; null if it is the only one."""
     return F.when(total > 1, F.format_string("Fragment %d of %d of one SQL script.", index + 1, total))

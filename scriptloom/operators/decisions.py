@@ -119,23 +119,36 @@ def _scored(rows: DataFrame, keys: list[str], questions: list[dict], scorer: Cal
     The scorer gets up to ``size`` states at a time, those of a batch in the order of their lengths, so that short ones
     are not padded to long ones.
     """
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    fields = [*keys, *[x.split()[0] for x in RAW.split(", ")]]
+    names = [*keys, *[x.split()[0] for x in RAW.split(", ")]]
+    number = lambda values: pa.array([None if v is None else float(v) for v in values], pa.float64(), from_pandas=True)
 
     def run(batches):
         for batch in batches:
-            batch = batch.iloc[batch["state"].str.len().argsort(kind="stable")]
-            for at in range(0, len(batch), size):
-                some = batch.iloc[at : at + size]
-                states = some["state"].tolist()
-                for q in questions:
-                    answers = scorer(states, q)
-                    made = [[*key, q["qid"], q["type"], a.get("choice"), a.get("score"), a.get("p_true"), a.get("legend"), [{"label": k, "p": v} for k, v in a.get("probabilities") or []]] for key, a in zip(some[keys].itertuples(index=False), answers)]
-                    yield pd.DataFrame(made, columns=fields).astype({"score": "float64", "p_true": "float64"})
+            order = pc.utf8_length(batch.column("state").fill_null("")).to_numpy().argsort(kind="stable")
+            batch = batch.take(pa.array(order))
+            for q in questions:
+                answers = []
+                states = batch.column("state")
+                for at in range(0, len(states), size):
+                    answers += scorer(states.slice(at, size).to_pylist(), q)
+                n = len(answers)
+                given = [a.get("probabilities") or [] for a in answers]
+                ends = [0]
+                for some in given:
+                    ends.append(ends[-1] + len(some))
+                pairs = pa.StructArray.from_arrays([pa.array([k for some in given for k, _ in some], pa.string()), number([v for some in given for _, v in some])], names=["label", "p"])
+                columns = [
+                    *[batch.column(k) for k in keys], pa.array([q["qid"]] * n, pa.string()), pa.array([q["type"]] * n, pa.string()), pa.array([a.get("choice") for a in answers], pa.string()),
+                    number([a.get("score") for a in answers]), number([a.get("p_true") for a in answers]), pa.array([a.get("legend") for a in answers], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "state").mapInPandas(run, f"{kinds}, {RAW}")
+    return rows.select(*keys, "state").mapInArrow(run, f"{kinds}, {RAW}")
 
 
 ANSWER = ("question", "type", "value_num", "value_str", "label", "max_probability", "probabilities")
@@ -160,9 +173,8 @@ def ask_windows(scripts: DataFrame, questions: list[dict], scorer: Callable[[lis
     first best of each script and question, so those of a long script need not meet.  Scripts that repeat an origin count as one.
     """
     sql = F.coalesce("sql", F.lit(""))
-    cut = text.windows(sql, budget)
-    rows = scripts.select("origin", F.when(F.size(cut) > 0, cut).otherwise(F.array(sql)).alias("w"))
-    each = rows.select("origin", F.size("w").alias("n"), F.posexplode("w").alias("window", "sql"))
+    cut = text.once(text.windows(sql, budget), lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(sql)))
+    each = text.each_window(scripts, "origin", cut)
     state = F.to_json(F.struct("sql", text.window_note(F.col("window"), F.col("n")).alias("note")))
     answers = normalise(_scored(each.select("origin", F.col("window").cast("long").alias("window"), state.alias("state")), ["origin", "window"], questions, scorer, size))
     return combine_windows(answers.select(F.col("origin").alias("script"), "window", *ANSWER))

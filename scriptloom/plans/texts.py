@@ -73,9 +73,8 @@ g AS (SELECT w.doc_id, w.win, string_agg(c.line, chr(10) ORDER BY w.i) AS txt, c
 @query("chunk_windows", f"""WITH RECURSIVE {WINDOWS_SQL}
 SELECT doc_id, win AS window_, md5(txt) AS text_md5, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 'Fragment ' || (win + 1) || ' of ' || count(*) OVER (PARTITION BY doc_id) || ' of one SQL script.' END AS note FROM g""")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = scripts(spark, sf_dir).select("doc_id", T.windows(F.col("sql")).alias("w"))
-    rows = made.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "text"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("window_"), F.md5("text").alias("text_md5"), T.window_note(F.col("i"), F.col("n")).alias("note"))
+    rows = T.each_window(scripts(spark, sf_dir), "doc_id", T.windows(F.col("sql")))
+    return rows.select("doc_id", F.col("window").cast("long").alias("window_"), F.md5("sql").alias("text_md5"), T.window_note(F.col("window"), F.col("n")).alias("note"))
 
 
 #: Orders stand for scripts again; the features of a card are taken from their counts.
