@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,9 @@ LONGEST = 5
 _CELLS = np.uint64((1 << 40) - 1)
 #: A filter of cells has 2**FILTER_BITS bits; more cells only let more candidates pass, which exact counts then reject.
 FILTER_BITS = 24
-#: Texts that a task works on at a time, and phrases of one automaton, in bytes.
-PART_BYTES, AUTOMATON_BYTES = 2 << 20, 4 << 20
+#: Texts of a language that a task works on at a time, texts of all languages that it holds, room that a language takes besides
+#: them, and phrases of one automaton, in bytes.
+PART_BYTES, HELD_BYTES, LANG_BYTES, AUTOMATON_BYTES = 1 << 20, 8 << 20, 256, 4 << 20
 #: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
 HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 256, 8
 #: Phrases whose counts are one array, and names that a task remembers so as to send each once.
@@ -51,21 +53,36 @@ def normal(text: str | None) -> bytes:
     return b" ".join(text.encode().translate(_TABLE).replace(_BREAK, b" . ").split()) if text else b""
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """lang and about ``PART_BYTES`` of normal text, a full stop behind each text; a longer text is a part alone."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """lang and up to ``PART_BYTES`` of a task's normal text, a full stop behind each text; a longer text is a part alone.
+
+    Batches are small, so a part takes texts of several: words that come often are counted, hashed and named once a part.
+    All languages together hold ``HELD_BYTES`` at most, and a text.
+    """
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-        body = normal(text.as_py())
-        if not body.strip(b" ."):
-            continue
-        if sizes.get(lang, 0) + len(body) > PART_BYTES and held.get(lang):
-            yield lang, b" . ".join([*held.pop(lang), b""]).strip(b" ")
-            sizes[lang] = 0
-        held.setdefault(lang, []).append(body)
-        sizes[lang] = sizes.get(lang, 0) + len(body)
-    for lang, bodies in held.items():
-        yield lang, b" . ".join([*bodies, b""]).strip(b" ")
+    total = 0
+
+    def part(lang: str) -> tuple[str, bytes]:
+        nonlocal total
+        total -= sizes.pop(lang)
+        return lang, b" . ".join([*held.pop(lang), b""]).strip(b" ")
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            body = normal(text.as_py())
+            if not body.strip(b" ."):
+                continue
+            if lang in held and sizes[lang] + len(body) > PART_BYTES:
+                yield part(lang)
+            if total + len(body) > HELD_BYTES:
+                yield from map(part, list(held))
+            held.setdefault(lang, []).append(body)
+            # A language itself takes room, so that many of them end too.
+            size = len(body) + (0 if lang in sizes else LANG_BYTES)
+            sizes[lang] = sizes.get(lang, 0) + size
+            total += size
+    yield from map(part, list(held))
 
 
 def _words(body: bytes) -> pa.Array:
@@ -78,12 +95,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word, n of ``texts`` (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, body in _parts(batch):
-                words = _words(body)
-                counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                table = pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), words.dictionary.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
-                yield table.filter(pc.not_equal(table.column("word"), _BREAK.decode()))
+        for lang, body in _parts(batches):
+            words = _words(body)
+            counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            table = pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), words.dictionary.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
+            yield table.filter(pc.not_equal(table.column("word"), _BREAK.decode()))
 
     return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -109,7 +125,8 @@ def _holds(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 def _word_cells(lang: str, words: pa.Array, frequent: np.ndarray) -> np.ndarray:
     """The cell of each word of a part, 0 for breaks and for words that are too rare."""
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    cells = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(words.dictionary))
+    spelt = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    cells = np.frombuffer(b"".join(map(xxhash.xxh64_digest, spelt, repeat(seed))), ">u8").astype(np.uint64)
     often = _holds(frequent, cells)
     stop = pc.index(words.dictionary, _BREAK.decode()).as_py()
     if stop >= 0:
@@ -139,12 +156,11 @@ def encoded(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     """``cells``: the cells of the words of each part of ``texts``, 0 for breaks and rare words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, body in _parts(batch):
-                ids = _word_cells(lang, _words(body), frequent.value).view(np.int64)
-                # Rare words in a row are one break.
-                ids = ids[(ids != 0) | np.r_[True, ids[:-1] != 0]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["cells"])
+        for lang, body in _parts(batches):
+            ids = _word_cells(lang, _words(body), frequent.value).view(np.int64)
+            # Rare words in a row are one break.
+            ids = ids[(ids != 0) | np.r_[True, ids[:-1] != 0]]
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["cells"])
 
     return texts.mapInArrow(encode, "cells array<long>")
 
@@ -182,26 +198,25 @@ def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast],
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = [f.value for f in filters], [w.value for w in wanted]
         said: set[tuple[str, str]] = set()
-        for batch in batches:
-            for lang, body in _parts(batch):
-                words = _words(body)
-                index, spelt = words.indices.to_numpy(), words.dictionary.to_pylist()
-                turn = np.uint64(xxhash.xxh64_intdigest(body))
-                found: dict[tuple[int, ...], tuple[int, int]] = {}
-                for k, at, cells in _levels(_word_cells(lang, words, frequent.value), known):
-                    with np.errstate(over="ignore"):
-                        own = ((cells ^ turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(thin) == 0
-                    own &= _holds(names[k - 2], cells)
-                    for s, cell in zip(at[own].tolist(), cells[own].tolist()):
-                        found[tuple(index[s : s + k].tolist())] = (k, cell)
-                rows = [(" ".join([spelt[i] for i in key]), *where) for key, where in found.items()]
-                rows = [r for r in rows if (lang, r[0]) not in said]
-                if len(said) > NAMES:
-                    said.clear()
-                said.update((lang, r[0]) for r in rows)
-                if rows:
-                    phrases, levels, cells = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrases), pa.array(levels, pa.int32()), pa.array(cells, pa.int64())], names=["lang", "phrase", "level", "cell"])
+        for lang, body in _parts(batches):
+            words = _words(body)
+            index, spelt = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+            turn = np.uint64(xxhash.xxh64_intdigest(body))
+            found: dict[tuple[int, ...], tuple[int, int]] = {}
+            for k, at, cells in _levels(_word_cells(lang, words, frequent.value), known):
+                with np.errstate(over="ignore"):
+                    own = ((cells ^ turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(thin) == 0
+                own &= _holds(names[k - 2], cells)
+                for s, cell in zip(at[own].tolist(), cells[own].tolist()):
+                    found[tuple(index[s : s + k].tolist())] = (k, cell)
+            rows = [(" ".join([spelt[i] for i in key]), *where) for key, where in found.items()]
+            rows = [r for r in rows if (lang, r[0]) not in said]
+            if len(said) > NAMES:
+                said.clear()
+            said.update((lang, r[0]) for r in rows)
+            if rows:
+                phrases, levels, cells = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrases), pa.array(levels, pa.int32()), pa.array(cells, pa.int64())], names=["lang", "phrase", "level", "cell"])
 
     return texts.mapInArrow(name, "lang string, phrase string, level int, cell long").distinct()
 
@@ -234,11 +249,10 @@ def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
         phrases = shard.value[1]
         machines = _automata(*shard.value)
         total = np.zeros(len(phrases), np.int64)
-        for batch in batches:
-            for lang, body in _parts(batch):
-                if lang in machines:
-                    text = f" {body.decode()} "
-                    total += np.bincount(np.fromiter((i for _, i in machines[lang].iter(text)), np.int64), minlength=len(phrases))
+        for lang, body in _parts(batches):
+            if lang in machines:
+                text = f" {body.decode()} "
+                total += np.bincount(np.fromiter((i for _, i in machines[lang].iter(text)), np.int64), minlength=len(phrases))
         blocks = range(0, len(total), BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([total[i : i + BLOCK] for i in blocks], pa.list_(pa.int64()))], names=["key", "values"])
 
