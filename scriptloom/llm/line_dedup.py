@@ -155,6 +155,8 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+#: Lines that a task compares at a time, and pairs of theirs that wait: the more, the fewer calls.
+VERIFIED_LINES, VERIFIED_PAIRS = 1 << 14, 1 << 15
 #: Edits for which distances of many pairs are counted in bytes, and in two bytes.
 BYTE_EDITS, WORD_EDITS = 120, 4000
 
@@ -393,12 +395,14 @@ def edit_tests(similarity: float) -> Callable:
             length = np.array([max(len(x), len(y)) for x, y in pairs])
             out[length <= most] = True
             order = np.flatnonzero(~out & (np.abs(sizes[u] - sizes[v]) <= most))
-            order = order[np.lexsort((length[order], most[order] // 16))]
+            # Few calls: a step of one costs as much for a hundred pairs as for ten.
+            band = (4 * np.log2(most + 24)).astype(np.int64)
+            order = order[np.lexsort((length[order], band[order]))]
             at = 0
             while at < len(order):
                 # Pairs of about one length at a time: a band is as wide and as long as the longest of them.
                 start = order[at]
-                like = (most[order[at:]] // 16 == most[start] // 16) & (length[order[at:]] <= 1.3 * length[start] + 16)
+                like = (band[order[at:]] == band[start]) & (length[order[at:]] <= 1.6 * length[start] + 32)
                 some = order[at : at + min(int(like.sum()), 1024)]
                 at += len(some)
                 widest = int(most[some].max())
@@ -424,7 +428,7 @@ def line_links(lines: DataFrame, classes: DataFrame, similarity: float) -> DataF
     one = may_hold(lines.where("new").select("key", "lead", "norm"), "lead", wanted).join(wanted, F.col("lead") == F.col("_key"))
     # Rows of another line that have the same lead by chance are none of that id's.
     one = one.where(id_of("key") == F.col("id")).select("id", "key", F.col("norm").alias("body"))
-    return verified_links(units, one, edit_tests(similarity), REACH, similarity)
+    return verified_links(units, one, edit_tests(similarity), REACH, similarity, part_rows=VERIFIED_LINES, pairs=VERIFIED_PAIRS)
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame, DataFrame]:

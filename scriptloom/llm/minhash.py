@@ -22,8 +22,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SIZE_BITS, COLUMNS = 25, 16
 #: Rows of a block of a shard at most, where rows meet and where their bodies are compared.
 BLOCK_ROWS, BODY_ROWS = 4096, 2048
-#: Pairs whose bodies are compared at a time.
-PAIRS = 2048
+#: Rows whose bodies are read at a time, and pairs of theirs that wait to be compared, in so many rounds.
+PART_ROWS, PAIRS, ROUNDS = 1 << 12, 2048, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -295,7 +295,44 @@ def met_units(posted: DataFrame, reach: np.ndarray, ratio: float, near: Callable
     return units
 
 
-def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach: np.ndarray, ratio: float, near: Callable = near_rows) -> DataFrame:
+def decided(union: Union, edges: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, fp: np.ndarray, alike: Callable) -> None:
+    """Join in ``union`` the rows of all pairs (a, b) that are ``alike``, and add those that this joined to ``edges``.
+
+    Rows that are joined already need no proof that they are.  So a round compares a forest of the pairs, those of the
+    fewest bits between them first: if all of it is alike, none was compared in vain.  The last round compares the rest.
+    """
+    order = np.argsort(np.bitwise_count(fp[a].astype(np.int64) ^ fp[b].astype(np.int64)), kind="stable")
+    a, b = a[order], b[order]
+    for turn in range(ROUNDS):
+        apart = union.roots(a) != union.roots(b)
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        now = np.ones(len(a), bool) if turn == ROUNDS - 1 else forest(union.roots(a), union.roots(b))
+        u, v = a[now], b[now]
+        edges.extend(union.join_all(u[sure := alike(u, v)], v[sure]))
+        a, b = a[~now], b[~now]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b), in their order, join what those before them don't."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            out[k] = True
+    return out
+
+
+def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach: np.ndarray, ratio: float, near: Callable = near_rows, part_rows: int = PART_ROWS, pairs: int = PAIRS) -> DataFrame:
     """Edges (a, b) between keys of ``rows`` (id long, key binary, body) that meet in
     a unit (``units_of_work``) and are alike; a forest of them per unit.
 
@@ -307,7 +344,7 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
     work = units.join(rows.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("shard", "i", "j", "block", "size", "sketch", "key", "fp", "body")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _grouped(batches, 1 << 12):
+        for part in _grouped(batches, part_rows):
             key = part["key"]
             may, alike = prepare(part["body"], part["size"])
             union = Union(len(key))
@@ -315,14 +352,9 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
             def decide() -> None:
-                # Rows that are joined already need no proof that they are.
                 a, b = (np.concatenate(x) for x in zip(*waiting))  # noqa: B023
                 waiting.clear()  # noqa: B023
-                for s in range(0, len(a), PAIRS):
-                    u, v = a[s : s + PAIRS], b[s : s + PAIRS]
-                    apart = union.roots(u) != union.roots(v)  # noqa: B023
-                    u, v = u[apart], v[apart]
-                    edges.extend(union.join_all(u[sure := alike(u, v)], v[sure]))  # noqa: B023
+                decided(union, edges, a, b, part["fp"], alike)  # noqa: B023
 
             for a, b in near(part, ("shard", "i", "j"), reach, ratio):
                 apart = union.roots(a) != union.roots(b)
@@ -330,7 +362,7 @@ def verified_links(units: DataFrame, rows: DataFrame, prepare: Callable, reach:
                 likely = may(a, b) if len(a) else apart
                 if likely.any():
                     waiting.append((a[likely], b[likely]))
-                    if sum(len(x) for x, _ in waiting) >= PAIRS:
+                    if sum(len(x) for x, _ in waiting) >= pairs:
                         decide()
             if waiting:
                 decide()
