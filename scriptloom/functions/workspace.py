@@ -79,12 +79,12 @@ def set_for(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 FILES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it as read from there."""
+def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with ``options`` of its writer) in the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with set_for(spark, FILES_GO):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_path = path
     return made

@@ -35,7 +35,7 @@ REACH = np.array([[0, 10, 16, 18, 18, 18, 18, 18, 18], [0, 14, 20, 26, 26, 26, 2
 #: Classes of runs of three characters by which lines are compared before their edit distance is.
 GRAM_CLASSES = 1024
 #: Normalised bytes whose lines are made at a time (a longer text is one part), and lines that a task remembers to have posted.
-PART_BYTES, SEEN_LINES = 1 << 16, 500_000
+PART_BYTES, SEEN_LINES = 1 << 15, 500_000
 
 
 def normal_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,12 +67,30 @@ def runs_of_bytes(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, widt
     """
     counts = sizes - (width - 1)
     first = np.cumsum(counts) - counts
-    at = np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
-    head = eight[at]
+    start, end = int(starts[0]), int(starts[-1] + counts[-1])
+    if 2 * int(counts.sum()) >= end - start:
+        # Where lines follow each other all bytes are hashed in their order, and those where a run begins stay.
+        mark = np.zeros(end - start + 1, np.int8)
+        mark[starts - start] = 1
+        mark[starts + counts - start] = -1
+        here = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+        head, tail = eight[start : end + max(0, width - 8)], slice(max(0, width - 8), None)
+    else:
+        at = np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
+        head, here, tail = eight[at], slice(None), at + (width - 8)
     if width < 8:
-        return mixed(head & np.uint64((1 << (8 * width)) - 1)), first
+        return mixed(head[here] & np.uint64((1 << (8 * width)) - 1)), first
     head = mixed(head)
-    return (mixed(head + mixed(eight[at + (width - 8)]) * np.uint64(3)) if width > 8 else head), first
+    if width == 8:
+        return head[here], first
+    if isinstance(here, slice):
+        rest = mixed(eight[tail])
+    else:
+        head, rest = head[: end - start], head[tail]
+        head, rest = head[here], rest[here]
+    rest *= np.uint64(3)
+    rest += head
+    return mixed(rest), first
 
 
 def simhashes(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -159,19 +177,70 @@ def similar(a: str, b: str, similarity: float) -> bool:
 VERIFIED_LINES, VERIFIED_PAIRS = 1 << 14, 1 << 15
 #: Edits for which distances of many pairs are counted in bytes, and in two bytes.
 BYTE_EDITS, WORD_EDITS = 120, 4000
+#: Widths of bands for each doubling.
+BANDS = 1
+
+
+def replaced(a: str, b: str, most: int) -> bool:
+    """Whether one way from a to b takes at most ``most`` edits: by replacing, dropping and adding words wherever, from left to
+    right, the words differ until the next ones that don't.  If it takes more, there may be a shorter way."""
+    v, w = a.split(" "), b.split(" ")
+    n, m = len(v), len(w)
+    i = j = held = 0
+    gaps = []
+    while i < n or j < m:
+        if i < n and j < m and v[i] == w[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = _next_alike(v, w, i, j)
+        # Every word has a space behind it; if words meet words, one such space meets another.
+        x, y = " ".join(v[i : i + p]), " ".join(w[j : j + q])
+        gaps.append((x, y))
+        held += max(len(x), len(y)) + (not p or not q)
+        if held > 1.2 * most:
+            return False
+        i, j = i + p, j + q
+    if held <= most:
+        return True
+    return sum(edit_distance(x, y, most) if x and y else len(x) + len(y) + 1 for x, y in gaps) <= most
 
 
-def distances(a: list[str], b: list[str], most: int) -> np.ndarray:
+def _next_alike(v: list[str], w: list[str], i: int, j: int) -> tuple[int, int]:
+    """How many words of v from i and of w from j are passed, few in all, until two (or the last ones) are alike."""
+    n, m = len(v) - i, len(w) - j
+    for s in range(1, min(n + m, NEXT_WORDS)):
+        for p in range(max(0, s - m + 1), min(s + 1, n)):
+            x, y = i + p, j + s - p
+            if v[x] == w[y] and v[x + 1 : x + 2] == w[y + 1 : y + 2]:
+                return p, s - p
+    return n, m
+
+
+#: Words passed at a time at most where two lines differ, before all that is left is taken to differ.
+NEXT_WORDS = 9
+
+
+def distances(a: list[str], b: list[str], most: int, limits: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of pairs as far as they are at most ``most`` (up to WORD_EDITS); what is larger is over it.
 
-    All pairs go through the band of ``most`` diagonals to either side at once, one
-    antidiagonal after another: diagonals of one parity are derived from the other's.
+    All pairs go through one band of diagonals at once, one antidiagonal after another: diagonals of one parity are
+    derived from the other's.  A way of few edits leaves the diagonals between its ends by half of what is to spare, so
+    the band has ``most`` + 1 of them.  Pairs that are done go, and those that are over their own ``limits`` (at most ``most``).
     """
     n, most = len(a), max(1, most)
+    limits = np.full(n, most) if limits is None else limits
     kind, none = (np.uint8, BYTE_EDITS + 10) if most <= BYTE_EDITS else (np.uint16, WORD_EDITS + 10)
     ends = np.array([(len(x), len(y)) for x, y in zip(a, b)])
     longest = int(ends.max()) + 2
-    edge = most + 2
+    apart = ends[:, 1] - ends[:, 0]
+    inside = apart[np.abs(apart) <= most]
+    if not len(inside):
+        return np.full(n, none, np.int64)
+    # Diagonals -low, ..., high (of b's places less a's): an odd number of them.
+    low, high = int((most - inside.min()) // 2), int((most + inside.max()) // 2)
+    high += (low + high) % 2
+    half = (low + high) // 2
+    edge = max(low, high) + 2
 
     def laid(texts: list[str], filler: int) -> np.ndarray:
         # A column a text, with a filler that the other side doesn't have.
@@ -186,24 +255,25 @@ def distances(a: list[str], b: list[str], most: int) -> np.ndarray:
     if x.dtype != y.dtype:
         x, y = x.astype(np.uint32), y.astype(np.uint32)
     x = np.ascontiguousarray(x)
-    # Diagonals -most, -most + 2, ... and those between, with a margin that is never reached.
-    own = np.full((most + 1, n), none, kind)
-    other = np.full((most + 2, n), none, kind)
-    if most % 2 == 0:
-        own[most // 2] = 0
+    # Diagonals -low, -low + 2, ... and those between, with a margin that is never reached.
+    own = np.full((half + 1, n), none, kind)
+    other = np.full((half + 2, n), none, kind)
+    if low % 2 == 0:
+        own[low // 2] = 0
     else:
-        other[most // 2 + 1] = 0
+        other[low // 2 + 1] = 0
     left = {}
     for i, (p, q) in enumerate(ends.tolist()):
-        left.setdefault(p + q, []).append((i, q - p + most))
+        left.setdefault(p + q, []).append((i, q - p + low))
     out = np.full(n, none, np.int64)
     for i, place in left.get(0, []):
         out[i] = 0
-    for t in range(1, int(ends.sum(1).max()) + 1):
-        first = (t + most) % 2  # place of the first diagonal of this parity
-        count = most + 1 - first
+    total, column, alive = ends.sum(1), np.arange(n), np.arange(n)
+    for t in range(1, int(total.max()) + 1):
+        first = (t + low) % 2  # place of the first diagonal of this parity
+        count = half + 1 - first
         # There, a[i - 1] meets b[j - 1]; further on i falls and j rises.
-        i, j = (t + most - first) // 2, (t - most + first) // 2
+        i, j = (t + low - first) // 2, (t - low + first) // 2
         p, q = x.shape[0] - edge - i, edge + j - 1
         differ = x[p : p + count] != y[q : q + count]
         if first == 0:
@@ -214,12 +284,21 @@ def distances(a: list[str], b: list[str], most: int) -> np.ndarray:
         step += 1
         now += differ.view(np.uint8)
         np.minimum(now, step, out=now)
-        if t % 100 == 0:  # what can't be reached grows by one a step
+        for k, place in left.get(t, ()):
+            if column[k] >= 0 and 0 <= place <= low + high and place % 2 == first:
+                out[k] = now[place // 2, column[k]]
+        if t % 32 == 0:
+            # What can't be reached grows by one a step.
             np.minimum(own, none, out=own)
             np.minimum(other, none, out=other)
-        for k, place in left.get(t, ()):
-            if 0 <= place <= 2 * most and place % 2 == first:
-                out[k] = now[place // 2, k]
+            stay = (total[alive] > t) & (np.minimum(own.min(0), other.min(0)) <= limits[alive])
+            if stay.sum() <= 0.7 * len(alive):
+                alive = alive[stay]
+                if not len(alive):
+                    break
+                column[:] = -1
+                column[alive] = np.arange(len(alive))
+                x, y, own, other = (np.ascontiguousarray(z[:, stay]) for z in (x, y, own, other))
     return out
 
 
@@ -329,12 +408,12 @@ def posts_by_line(lines: DataFrame, similarity: float) -> DataFrame:
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES)) - 1)
                 ends = (offsets[at : end + 1] - offsets[at]).astype(np.int64)
                 data = whole[offsets[at] : offsets[end]]
-                chars = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends])
+                chars = np.diff(ends) if data.max(initial=0) < 128 else np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends])
                 chosen = np.flatnonzero(edits(chars, similarity) > 0)
                 if len(chosen):
                     starts, sizes, own = ends[:-1][chosen], np.diff(ends)[chosen], ids[at:end][chosen]
                     padded = np.concatenate([data, np.zeros(16, np.uint8)])
-                    eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,))
+                    eight = np.ndarray((len(padded) - 8,), np.uint64, padded, 0, (1,)).copy()
                     fp = simhashes(*runs_of_bytes(eight, starts, sizes, 4)).view(np.int64)
                     row, posts, sketch = line_posts(data, eight, starts, sizes, chars[chosen], similarity)
                     yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(fp[row]), pa.array(sketch), pa.array(posts)], names=["id", "fp", "sketch", "post"])
@@ -391,23 +470,24 @@ def edit_tests(similarity: float) -> Callable:
         def alike(u: np.ndarray, v: np.ndarray) -> np.ndarray:
             most = edits(np.maximum(sizes[u], sizes[v]), similarity)
             out = np.zeros(len(u), bool)
-            pairs = [_trimmed(bodies[i], bodies[j]) for i, j in zip(u.tolist(), v.tolist())]
-            length = np.array([max(len(x), len(y)) for x, y in pairs])
+            pairs = [_trimmed(*sorted((bodies[i], bodies[j]), key=len)) for i, j in zip(u.tolist(), v.tolist())]
+            length = np.array([len(y) for _, y in pairs])
             out[length <= most] = True
             order = np.flatnonzero(~out & (np.abs(sizes[u] - sizes[v]) <= most))
+            # Lines of which words were replaced need no table of distances.
+            out[order] = [replaced(*pairs[k], int(most[k])) for k in order.tolist()]
+            order = order[~out[order]]
             # Few calls: a step of one costs as much for a hundred pairs as for ten.
-            band = (4 * np.log2(most + 24)).astype(np.int64)
+            band = (BANDS * np.log2(most + 24)).astype(np.int64)
             order = order[np.lexsort((length[order], band[order]))]
             at = 0
             while at < len(order):
-                # Pairs of about one length at a time: a band is as wide and as long as the longest of them.
-                start = order[at]
-                like = (band[order[at:]] == band[start]) & (length[order[at:]] <= 1.6 * length[start] + 32)
-                some = order[at : at + min(int(like.sum()), 1024)]
+                # Pairs of about one band at a time: it is as wide as that of the widest of them.
+                some = order[at : at + min(int((band[order[at:]] == band[order[at]]).sum()), 1024)]
                 at += len(some)
                 widest = int(most[some].max())
                 if len(some) >= 6 and widest <= WORD_EDITS:
-                    out[some] = distances([pairs[k][0] for k in some], [pairs[k][1] for k in some], widest) <= most[some]
+                    out[some] = distances([pairs[k][0] for k in some], [pairs[k][1] for k in some], widest, most[some]) <= most[some]
                 else:
                     out[some] = [edit_distance(*pairs[k], int(most[k])) <= most[k] for k in some]
             return out
@@ -436,7 +516,8 @@ def removed_lines(docs: DataFrame, similarity: float = 0.9) -> tuple[DataFrame,
     text_key, n_lines of each document; see ``dedup_lines``."""
     if not 0.8 <= similarity < 1:
         raise ValueError("similarity must be from 0.8 to below 1")
-    written = write_table(lines_of(docs), "lines")
+    # Lines, keys and leads seldom repeat in a task: a dictionary of them is made in vain.
+    written = write_table(lines_of(docs), "lines", **{f"parquet.enable.dictionary#{c}": "false" for c in ("key", "norm", "lead")})
     lines = written.where("line >= 0")
     # A line's text is read where it was posted: of those places the least.
     lead = F.min(F.when(F.col("new"), F.col("lead"))).alias("lead")

@@ -28,8 +28,11 @@ PART_ROWS, PAIRS, ROUNDS = 1 << 12, 2048, 4
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Hashes (uint64) of numbers."""
-    x = (x ^ x >> np.uint64(32)) * _MIX
-    return x ^ x >> np.uint64(29)
+    out = x >> np.uint64(32)
+    out ^= x
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def marks(members: np.ndarray, starts: np.ndarray, orders: int) -> np.ndarray:
@@ -138,6 +141,31 @@ def blocks_of_shards(batches: Iterator[pa.RecordBatch], limit: int, ratio: float
         yield from close()
 
 
+def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, size, id, fp, sketch of sorted posts (post, id, fp, sketch) without those that are alone in their shard: most are."""
+    last, shared = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        shard = batch.column("post").to_numpy() >> SIZE_BITS
+        same = shard[1:] == shard[:-1]
+        # Whether the last row is alone shows in the next batch.
+        keep = np.r_[shared or same[:1].any(), same[1:] | same[:-1]] if len(same) else np.zeros(0, bool)
+        last, shared = batch.slice(len(same)), bool(same[-1]) if len(same) else shared
+        if keep.any():
+            yield _sized(batch.slice(0, len(same)).filter(pa.array(keep)))
+    if shared:
+        yield _sized(last)
+
+
+def _sized(batch: pa.RecordBatch) -> pa.RecordBatch:
+    post = batch.column("post").to_numpy()
+    size = pa.array((post & ((1 << SIZE_BITS) - 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(post >> SIZE_BITS), size, *[batch.column(c) for c in ("id", "fp", "sketch")]], names=["shard", "size", "id", "fp", "sketch"])
+
+
 def near_rows(part: dict[str, np.ndarray], units: tuple[str, ...], reach: np.ndarray, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (a < b) of one unit that are close (``close_rows``) and whose sizes are at least as ``ratio`` to 1.
 
@@ -218,9 +246,7 @@ def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int
     row of another id that is close (as ``near`` finds), with sizes at least as ``ratio`` to 1.  Rows may repeat."""
     n = shuffle_partitions(posted.sparkSession)
     shard = F.shiftright("post", SIZE_BITS)
-    size = F.col("post").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
     dealt = posted.select("post", "id", "fp", "sketch").repartition(n, shard).sortWithinPartitions("post")
-    dealt = dealt.select(shard.alias("shard"), size.cast("int").alias("size"), "id", "fp", "sketch")
 
     def compare(part: dict[str, np.ndarray], units: tuple[str, ...]) -> np.ndarray:
         met = np.zeros(len(part["id"]), bool)
@@ -230,7 +256,7 @@ def meetings(posted: DataFrame, reach: np.ndarray, ratio: float, block_rows: int
         return met
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, part in blocks_of_shards(batches, block_rows, ratio):
+        for kind, part in blocks_of_shards(in_company(batches), block_rows, ratio):
             if kind == "whole":
                 yield _met_batch(part, compare(part, ("shard",)))
             else:
