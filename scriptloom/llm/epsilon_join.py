@@ -8,16 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workspace import shuffle_partitions, write_table
+from ..functions.workspace import discard, set_for, shuffle_partitions, write_table
 from .bk_tree import Union
 from .components import connected_components
 from .vectors import is_valid, matrix, sample, width_of
 
 #: Rows of a block of the sequence, and of an interval that is compared without further splitting.
 BLOCK_ROWS, LEAF_ROWS = 4096, 256
+#: Bytes of vectors of a tile: a task compares two tiles, one of them held.  Pairs of blocks that Python gets at a time.
+TILE_BYTES, PAIR_ROWS = 16 << 20, 4
 #: Vectors that the principal axes are fitted on at most; they steer pruning only.
 SAMPLE_ROWS = 20_000
 
@@ -98,33 +100,41 @@ def interval_pairs(lo: np.ndarray, hi: np.ndarray, epsilon: float) -> list[tuple
     return runs
 
 
-def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i of ``x``, j of ``y``) whose cosine is at least ``threshold``; within ``x``, i < j, if ``y`` is None.
+def class_hash(v: Column) -> Column:
+    """The same for equal vectors, whatever the sign of their zeros."""
+    return F.xxhash64(v)
+
+
+class Block:
+    """Vectors of a block: as they are, their lengths, the unit vectors in single precision, boxes of intervals."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray):
+        self.x, self.norms = x, np.sqrt(np.einsum("ij,ij->i", x, x))
+        unit = x / self.norms[:, None]
+        self.unit, self.boxes = unit.astype(np.float32), _Boxes(unit @ axes)
+
+
+def join_blocks(left: Block, right: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i of ``left``, j of ``right``) whose cosine is at least ``threshold``; i < j, if both are one block.
 
     Intervals of the two sequences are joined recursively as blocks are.  What a
     product in single precision can't rule out is decided in double precision.
     """
-    same = y is None
-    y = x if same else y
-    nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
-    ux, uy = x / nx[:, None], y / ny[:, None]
-    fx, fy = ux.astype(np.float32), uy.astype(np.float32)
-    px = _Boxes(ux @ axes)
-    py = px if same else _Boxes(uy @ axes)
+    same = left is right
     limit = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
-    stack = [(0, len(x), 0, len(y))]
+    stack = [(0, len(left.x), 0, len(right.x))]
     while stack:
         a, b, c, d = stack.pop()
-        if b <= a or d <= c or same and a >= d or _gap(*px.of(a, b), *py.of(c, d)) > limit:
+        if b <= a or d <= c or same and a >= d or _gap(*left.boxes.of(a, b), *right.boxes.of(c, d)) > limit:
             continue
         if b - a <= LEAF_ROWS and d - c <= LEAF_ROWS:
-            i, j = np.nonzero(fx[a:b] @ fy[c:d].T >= threshold - 1e-5)
+            i, j = np.nonzero(left.unit[a:b] @ right.unit[c:d].T >= threshold - 1e-5)
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 1 << 16):
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                sure = np.einsum("ij,ij->i", x[p], y[q]) / (nx[p] * ny[q]) >= threshold
+                sure = np.einsum("ij,ij->i", left.x[p], right.x[q]) / (left.norms[p] * right.norms[q]) >= threshold
                 if sure.any():
                     yield p[sure], q[sure]
         elif b - a >= d - c:
@@ -135,6 +145,31 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, threshold
             stack += [(a, b, c, m), (a, b, m, d)]
 
 
+class _Found:
+    """Link counts and a spanning forest of the links of a task's blocks."""
+
+    def __init__(self) -> None:
+        self.starts: dict[int, int] = {}
+        self.ids: list = []
+        self.n, self.links, self.union, self.edges = np.zeros(0, np.int64), np.zeros(0, np.int64), Union(0), []
+
+    def start(self, block: int, row: pa.StructScalar) -> int:
+        """The place of the first row of a block among the task's."""
+        if block not in self.starts:
+            self.starts[block] = size = len(self.ids)
+            self.ids += row["ids"].as_py()
+            more = len(self.ids) - size
+            self.n = np.concatenate([self.n, np.array(row["n"].as_py(), np.int64)])
+            self.links = np.concatenate([self.links, np.zeros(more, np.int64)])
+            self.union.parent = np.concatenate([self.union.parent, np.arange(size, size + more)])
+        return self.starts[block]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.links, i, self.n[j])
+        np.add.at(self.links, j, self.n[i])
+        self.edges += self.union.join_all(i, j)
+
+
 def cosine_components(vectors: DataFrame, row_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, dims: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links by cosine >= ``threshold`` (0 < threshold <= 1) among all rows of ``vectors``.
 
@@ -148,16 +183,22 @@ def cosine_components(vectors: DataFrame, row_id: str = "vec_id", embedding: str
     side epsilon (the distance of unit vectors at the threshold) along the leading
     principal axes and cut into blocks; boxes of blocks (two corners each) come to the
     driver, which joins intervals of the sequence recursively; pairs of blocks that stay
-    are joined likewise by tasks.  A task returns link counts and a spanning forest of
-    its links, at most as many rows as vectors.
+    are joined likewise by tasks.  A task reads two tiles of successive blocks from the
+    shared folder, so pairs are not exchanged and disk grows with the vectors, not with
+    their pairs.  It returns link counts and a spanning forest of its links, at most two
+    rows for each vector of its tiles.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[row_id].dataType.simpleString()
     epsilon = math.sqrt(2 - 2 * threshold) or 1e-6
-    rows = vectors.select(F.col(row_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    real, stored = ("float", np.float32) if single else ("double", np.float64)
+    rows = vectors.select(F.col(row_id).alias("id"), F.col(embedding).cast(f"array<{real}>").alias("v"))
     valid = rows.where(is_valid(F.col("v")))
-    classes = valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep IS NOT NULL")
-    classes = write_table(classes, "vector-classes")
+    # Rows find their class by a hash of the vector, which is smaller; should it stand for two vectors, by these as well.
+    every = write_table(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("h", class_hash(F.col("v"))), "vector-classes")
+    keys = ["h"] if every.groupBy("h").count().where("count > 1").isEmpty() else ["h", "v"]
+    classes = every.where("rep IS NOT NULL")
     width = width_of(classes, "v")
     fit = sample(classes, "rep", ["rep", "v"], SAMPLE_ROWS)
     points = np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in fit]).reshape(-1, width)
@@ -170,17 +211,17 @@ def cosine_components(vectors: DataFrame, row_id: str = "vec_id", embedding: str
             grid = np.floor(x / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(grid), pa.list_(pa.int32()))], names=[*b.schema.names, "cell"])
 
-    ordered = write_table(classes.mapInArrow(cells, f"v array<double>, rep {kind}, n long, cell array<int>"), "vector-cells")
-    count = ordered.count()
-    parts = max(1, min(shuffle_partitions(spark) * 4, -(-count // block_rows)))
+    ordered = classes.select("v", "rep", "n").mapInArrow(cells, f"v array<{real}>, rep {kind}, n long, cell array<int>")
+    count = classes.count()
+    tile_rows = max(block_rows, TILE_BYTES // (width * stored().itemsize))
+    parts = max(1, -(-count // tile_rows), min(math.isqrt(4 * shuffle_partitions(spark)) + 1, -(-count // block_rows)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         number = TaskContext.get().partitionId() << 32
 
         def block(x: np.ndarray, ids: list, n: np.ndarray) -> pa.RecordBatch:
             p = (x / np.sqrt((x * x).sum(1))[:, None]) @ axes
-            values = [pa.array([number], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([ids]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64()))]
+            values = [pa.array([number], pa.int64()), pa.array([x.astype(stored).tobytes()], pa.binary()), pa.array([ids]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64()))]
             return pa.RecordBatch.from_arrays(values, names=["block", "x", "ids", "n", "lo", "hi"])
 
         xs, ids, ns = np.zeros((0, width)), [], np.zeros(0, np.int64)
@@ -198,46 +239,52 @@ def cosine_components(vectors: DataFrame, row_id: str = "vec_id", embedding: str
     made = write_table(sequence.mapInArrow(blocks, f"block long, x binary, ids array<{kind}>, n array<long>, lo array<double>, hi array<double>"), "vector-blocks")
     meta = sorted((r["block"], r["lo"], r["hi"]) for r in made.select("block", "lo", "hi").collect())
     corners = [np.array([m[i] for m in meta]) for i in (1, 2)]
-    names = [m[0] for m in meta]
-    runs = interval_pairs(*corners, epsilon) if meta else []
-    pairs = spark.createDataFrame([(names[i], names[a:b]) for i, a, b in runs], "left long, partners array<long>").select("left", F.explode("partners").alias("right"))
-    left = made.select(F.col("block").alias("left"), F.col("x").alias("x"), F.col("ids").alias("xi"), F.col("n").alias("xn"))
-    right = made.select(F.col("block").alias("right"), F.col("x").alias("y"), F.col("ids").alias("yi"), F.col("n").alias("yn"))
-    work = pairs.hint("merge").join(left, "left").hint("merge").join(right, "right").repartition(max(1, min(len(meta) * 4, 64 * shuffle_partitions(spark))), "left", "right")
+    partners: list[list[tuple[int, int]]] = [[] for _ in meta]
+    for i, a, b in interval_pairs(*corners, epsilon) if meta else []:
+        partners[i].append((a, b))
+    places = spark.createDataFrame([(m[0], i, partners[i]) for i, m in enumerate(meta)], "block long, at int, runs array<struct<first:int,end:int>>")
+    numbered = made.select("block", F.struct("x", "ids", "n").alias("rows")).join(F.broadcast(places), "block")
+    left = numbered.select(F.col("at").alias("i"), F.col("runs").alias("_ri"), F.col("rows").alias("left"))
+    right = numbered.select(F.col("at").alias("j"), F.col("runs").alias("_rj"), F.col("rows").alias("right"))
+    near = lambda runs, at: F.exists(runs, lambda r: (r["first"] <= F.col(at)) & (F.col(at) < r["end"]))
+    # Each pair once: those of even distance in one order, others in the other one, so that all pairs of tiles have their share.
+    odd = F.abs(F.col("i") - F.col("j")) % 2 == 1
+    chosen = (~odd & (F.col("i") <= F.col("j")) & near("_ri", "j")) | (odd & (F.col("i") > F.col("j")) & near("_rj", "i"))
+    work = left.hint("shuffle_replicate_nl").join(right, chosen).select("i", "j", "left", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, kinds = _Found(), (-1, None), None
+        vectors_of = lambda row: Block(np.frombuffer(row["x"].as_buffer(), stored).astype(np.float64).reshape(-1, width), axes)
         for batch in batches:
-            for r in range(batch.num_rows):
-                value = lambda c: batch.column(c)[r]  # noqa: E731, B023
-                own = value("left").as_py() == value("right").as_py()
-                x = np.frombuffer(value("x").as_buffer(), np.float64).reshape(-1, width)
-                xi, xn = value("xi").as_py(), np.array(value("xn").as_py())
-                y, yi, yn = (None, [], xn) if own else (np.frombuffer(value("y").as_buffer(), np.float64).reshape(-1, width), value("yi").as_py(), np.array(value("yn").as_py()))
-                links, ids, shift = np.zeros(len(xi) + len(yi), np.int64), xi + yi, 0 if own else len(xi)
-                union, edges = Union(len(ids)), []
-                for i, j in join_blocks(x, y, axes, threshold):
-                    links += np.bincount(i, yn[j], len(links)).astype(np.int64)
-                    links += np.bincount(j + shift, xn[i], len(links)).astype(np.int64)
-                    edges += union.join_all(i, j + shift)
-                some = np.flatnonzero(links).tolist()
-                a = [ids[k] for k in some] + [ids[i] for i, _ in edges]
-                b = [None] * len(some) + [ids[j] for _, j in edges]
-                if a:
-                    kinds = batch.schema.field("xi").type.value_type
-                    yield pa.RecordBatch.from_arrays([pa.array(a, kinds), pa.array(b, kinds), pa.array([int(links[k]) for k in some] + [0] * len(edges), pa.int64())], names=["a", "b", "links"])
-
-    found = write_table(work.mapInArrow(compare, f"a {kind}, b {kind}, links long"), "vector-links")
+            kinds = batch.schema.field("left").type.field("ids").type.value_type
+            for i, j, left, right in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("left"), batch.column("right")):
+                if held[0] != i:
+                    held = i, vectors_of(left)
+                x = held[1]
+                y = x if i == j else vectors_of(right)
+                p, q = found.start(i, left), found.start(j, right)
+                for a, b in join_blocks(x, y, threshold):
+                    found.add(a + p, b + q)
+        if found.links.any():
+            some = np.flatnonzero(found.links).tolist()
+            a = [found.ids[k] for k in some] + [found.ids[i] for i, _ in found.edges]
+            b = [None] * len(some) + [found.ids[j] for _, j in found.edges]
+            yield pa.RecordBatch.from_arrays([pa.array(a, kinds), pa.array(b, kinds), pa.array([int(found.links[k]) for k in some] + [0] * len(found.edges), pa.int64())], names=["a", "b", "links"])
+
+    with set_for(spark, {"spark.sql.files.maxPartitionBytes": str(TILE_BYTES * 5 // 4), "spark.sql.execution.arrow.maxRecordsPerBatch": str(PAIR_ROWS)}):
+        found = write_table(work.mapInArrow(compare, f"a {kind}, b {kind}, links long"), "vector-links")
+    discard(made)
     reached = connected_components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("_links"))
     per_class = (
-        ordered.select(F.col("v").alias("_v"), "rep", "n")
+        classes.select(*[F.col(k).alias(f"_{k}") for k in keys], "rep", "n")
         .join(counts, F.col("rep") == F.col("_a"), "left")
         .join(reached, F.col("rep") == F.col("node"), "left")
-        .select("_v", (F.col("n") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select(*[f"_{k}" for k in keys], (F.col("n") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    keyed = rows.withColumn("v", F.when(is_valid(F.col("v")), F.col("v")))
+    keyed = rows.withColumn("v", F.when(is_valid(F.col("v")), F.col("v"))).withColumn("h", F.when(F.col("v").isNotNull(), class_hash(F.col("v")))).select("id", *keys)
     # Classes whose ids are all null have no row in ``per_class``; such rows stand alone, as invalid ones do.
-    out = keyed.join(per_class, keyed["v"] == per_class["_v"], "left")
+    out = keyed.join(per_class, [keyed[k] == per_class[f"_{k}"] for k in keys], "left")
     return out.select(
         F.col("id").alias(row_id),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
