@@ -4,15 +4,19 @@ Counts of word sequences are wanted exactly, but only of those that come often.
 A sketch finds them: a cell is the hash of a sequence, so its count is never below
 that of a sequence in it.  Levels are swept from two words up, and a sequence is
 put in the sketch only if both its parts, one word shorter, reached the count
-there.  What reaches it is a candidate.  Candidates, guarded by the delimiter on
-both sides, compile into automata that find all their occurrences, overlapping
+there.  What reaches it is a candidate.  Candidates compile into automata whose
+first letter of each word guards its border; they find all occurrences, overlapping
 ones too; tasks count what their texts hold, and only exact sums decide.
+
+Texts are read once: parts of text become numbers of words, and a word is a hash that
+no other word of the table has, so automata of many phrases are small and scans cheap.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import count as numbers
 from itertools import repeat
 
 import ahocorasick
@@ -34,15 +38,20 @@ _CELLS = np.uint64((1 << 40) - 1)
 #: A filter of cells has 2**FILTER_BITS bits; more cells only let more candidates pass, which exact counts then reject.
 FILTER_BITS = 24
 #: Texts of a language that a task works on at a time, texts of all languages that it holds, room that a language takes besides
-#: them, and phrases of one automaton, in bytes.
-PART_BYTES, HELD_BYTES, LANG_BYTES, AUTOMATON_BYTES = 1 << 20, 8 << 20, 256, 4 << 20
-#: Cells that a task counts at a time, and rows of texts and of cells of parts that Python gets at a time.
-HELD_CELLS, TEXT_ROWS, PART_ROWS = 1 << 18, 256, 8
-#: Phrases whose counts are one array, and names that a task remembers so as to send each once.
-BLOCK, NAMES = 1 << 12, 1 << 18
+#: them, and phrases of one automaton (as hashes of words), in bytes.
+PART_BYTES, HELD_BYTES, LANG_BYTES, AUTOMATON_BYTES = 1 << 20, 8 << 20, 256, 32 << 20
+#: Cells and words that a task counts at a time, candidates that it names at a time, and rows of texts and of parts that Python
+#: gets at a time.
+HELD_CELLS, HELD_WORDS, HELD_NAMES, TEXT_ROWS, PART_ROWS = 1 << 20, 1 << 18, 1 << 16, 256, 8
+#: Phrases whose counts are one array.
+BLOCK = 1 << 12
+#: The first hash of words that is tried; the next one is, if two words have the same.
+FIRST_SALT = 0
 #: Of its candidates a part of text names one in so many at first.
 THIN = 32
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+#: Hashes of the words of a phrase, 0 behind the last one.
+_KEY = [f"c{i + 1}" for i in range(LONGEST)]
 #: Stands between pieces of text as a word of its own; it breaks pieces, so no word has it.
 _BREAK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 9)
@@ -91,17 +100,64 @@ def _words(body: bytes) -> pa.Array:
     return words.filter(pc.not_equal(words, "")).dictionary_encode()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, n of ``texts`` (lang, text)."""
+def _cells(lang: str, words: pa.Array, salt: int = 0) -> np.ndarray:
+    """The hash of each word of a part's dictionary, 0 for the break alone."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    spelt = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    cells = np.frombuffer(b"".join(map(xxhash.xxh64_digest, spelt, repeat(seed))), ">u8").astype(np.uint64)
+    if salt:
+        cells = np.array([xxhash.xxh64_intdigest(str(salt).encode(), c) for c in cells.tolist()], np.uint64)
+    cells = np.maximum(cells, np.uint64(1))
+    stop = pc.index(words.dictionary, _BREAK.decode()).as_py()
+    if stop >= 0:
+        cells[stop] = 0
+    return cells
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def coded(texts: DataFrame, salt: int) -> DataFrame:
+    """Parts of ``texts`` (lang, text): lang, and as bytes the different words, a space between them, their cells, and which of
+    them comes at each place (16 bits, if these are enough)."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, body in _parts(batches):
             words = _words(body)
-            counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            table = pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), words.dictionary.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
-            yield table.filter(pc.not_equal(table.column("word"), _BREAK.decode()))
+            said = " ".join(words.dictionary.to_pylist()).encode()
+            at = words.indices.to_numpy().astype(np.uint16 if len(words.dictionary) <= 1 << 16 else np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), *(pa.array([x], pa.binary()) for x in (said, _cells(lang, words, salt).tobytes(), at.tobytes()))], names=["lang", "words", "cells", "at"])
+
+    return texts.mapInArrow(code, "lang string, words binary, cells binary, at binary")
+
+
+def _coded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells of the different words of each part, and which of them comes at each place."""
+    for batch in batches:
+        for cells, at in zip(batch.column("cells"), batch.column("at")):
+            known = np.frombuffer(cells.as_buffer(), np.uint64)
+            yield known, np.frombuffer(at.as_buffer(), np.uint16 if len(known) <= 1 << 16 else np.int32)
+
 
-    return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def word_counts(parts: DataFrame) -> DataFrame:
+    """lang, word, cell, n of ``parts`` of text."""
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).group_by(["lang", "word", "cell"], use_threads=False).aggregate([("n", "sum")])
+        return table.select(["lang", "word", "cell", "n_sum"]).rename_columns(["lang", "word", "cell", "n"]).combine_chunks().to_batches()[0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lang, words, (cells, at) in zip(batch.column("lang").to_pylist(), batch.column("words"), _coded_words([batch])):
+                said = pc.split_pattern(pa.array([words.as_py().decode()], pa.large_string()), " ").flatten().cast(pa.string())
+                columns = [pa.repeat(pa.scalar(lang), len(said)), said, pa.array(cells.view(np.int64)), pa.array(np.bincount(at, minlength=len(cells)), pa.int64())]
+                held.append(pa.RecordBatch.from_arrays(columns, names=["lang", "word", "cell", "n"]))
+                if sum(b.num_rows for b in held) > HELD_WORDS:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
+
+    counts = parts.select("lang", "words", "cells", "at").mapInArrow(count, "lang string, word string, cell long, n long")
+    return counts.where("cell <> 0").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n"))
 
 
 # -- The sketch -----------------------------------------------------------------
@@ -122,16 +178,21 @@ def _holds(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _word_cells(lang: str, words: pa.Array, frequent: np.ndarray) -> np.ndarray:
+def _often(cells: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The cell of each word of a part, 0 for breaks and for words that are too rare."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    spelt = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
-    cells = np.frombuffer(b"".join(map(xxhash.xxh64_digest, spelt, repeat(seed))), ">u8").astype(np.uint64)
-    often = _holds(frequent, cells)
-    stop = pc.index(words.dictionary, _BREAK.decode()).as_py()
-    if stop >= 0:
-        often[stop] = False
-    return np.where(often, np.maximum(cells, np.uint64(1)), np.uint64(0))[words.indices.to_numpy()]
+    return np.where(_holds(frequent, cells), cells, np.uint64(0))[at]
+
+
+def _word_cells(lang: str, words: pa.Array, frequent: np.ndarray) -> np.ndarray:
+    """``_often`` of the words of a part of normal text."""
+    return _often(_cells(lang, words), words.indices.to_numpy(), frequent)
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[np.ndarray]:
+    """The cells of the words of each part, rare words in a row being one break."""
+    for cells, at in _coded_words(batches):
+        ids = _often(cells, at, frequent)
+        yield ids[(ids != 0) | np.r_[True, ids[:-1] != 0]]
 
 
 def _levels(ids: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -152,20 +213,7 @@ def _levels(ids: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, n
         ok[at] = _holds(filters[k - 2], cells[at])
 
 
-def encoded(texts: DataFrame, frequent: Broadcast) -> DataFrame:
-    """``cells``: the cells of the words of each part of ``texts``, 0 for breaks and rare words."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, body in _parts(batches):
-            ids = _word_cells(lang, _words(body), frequent.value).view(np.int64)
-            # Rare words in a row are one break.
-            ids = ids[(ids != 0) | np.r_[True, ids[:-1] != 0]]
-            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["cells"])
-
-    return texts.mapInArrow(encode, "cells array<long>")
-
-
-def level_cells(parts: DataFrame, filters: list[Broadcast], least: int) -> DataFrame:
+def level_cells(parts: DataFrame, frequent: Broadcast, filters: list[Broadcast], least: int) -> DataFrame:
     """``cell``, ``n``: cells of the level after those of ``filters`` whose count is ``least`` or more."""
     level = len(filters) + 2
 
@@ -176,83 +224,118 @@ def level_cells(parts: DataFrame, filters: list[Broadcast], least: int) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
         held: list[np.ndarray] = []
-        for batch in batches:
-            for row in batch.column("cells"):
-                held += [cells for k, _, cells in _levels(row.values.to_numpy().view(np.uint64), known) if k == level]
-                if sum(map(len, held)) > HELD_CELLS:
-                    yield counted(held)
-                    held = []
+        for ids in _sequences(batches, frequent.value):
+            held += [cells for k, _, cells in _levels(ids, known) if k == level]
+            if sum(map(len, held)) > HELD_CELLS:
+                yield counted(held)
+                held = []
         if held:
             yield counted(held)
 
-    counts = parts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = parts.select("cells", "at").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= least)
 
 
-def candidates(texts: DataFrame, frequent: Broadcast, filters: list[Broadcast], wanted: list[Broadcast], thin: int) -> DataFrame:
-    """lang, phrase, level, cell of sequences of 2 to ``LONGEST`` words whose cell is in ``wanted`` of its level, once each.
+def candidates(parts: DataFrame, frequent: Broadcast, filters: list[Broadcast], wanted: list[Broadcast], thin: int) -> DataFrame:
+    """Words (``_KEY``), level, cell of sequences of 2 to ``LONGEST`` words whose cell is in ``wanted`` of its level, once each.
 
     A part of text names only one in ``thin`` of its cells, chosen by a hash of both: many parts would say the same names.
     """
 
+    def named(held: list[np.ndarray]) -> pa.RecordBatch:
+        table = pa.table([pa.array(c) for c in np.concatenate(held).T], names=[*_KEY, "level", "cell"])
+        return table.group_by(table.column_names, use_threads=False).aggregate([]).combine_chunks().to_batches()[0]
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = [f.value for f in filters], [w.value for w in wanted]
-        said: set[tuple[str, str]] = set()
-        for lang, body in _parts(batches):
-            words = _words(body)
-            index, spelt = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
-            turn = np.uint64(xxhash.xxh64_intdigest(body))
-            found: dict[tuple[int, ...], tuple[int, int]] = {}
-            for k, at, cells in _levels(_word_cells(lang, words, frequent.value), known):
+        held: list[np.ndarray] = []
+        for ids in _sequences(batches, frequent.value):
+            turn = np.uint64(xxhash.xxh64_intdigest(ids.tobytes()))
+            for k, at, cells in _levels(ids, known):
                 with np.errstate(over="ignore"):
                     own = ((cells ^ turn) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(thin) == 0
                 own &= _holds(names[k - 2], cells)
-                for s, cell in zip(at[own].tolist(), cells[own].tolist()):
-                    found[tuple(index[s : s + k].tolist())] = (k, cell)
-            rows = [(" ".join([spelt[i] for i in key]), *where) for key, where in found.items()]
-            rows = [r for r in rows if (lang, r[0]) not in said]
-            if len(said) > NAMES:
-                said.clear()
-            said.update((lang, r[0]) for r in rows)
-            if rows:
-                phrases, levels, cells = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrases), pa.array(levels, pa.int32()), pa.array(cells, pa.int64())], names=["lang", "phrase", "level", "cell"])
+                at, cells = at[own], cells[own]
+                for i in range(0, len(at), HELD_NAMES):
+                    some = at[i : i + HELD_NAMES]
+                    rows = np.zeros((len(some), LONGEST + 2), np.int64)
+                    rows[:, :k] = ids[some[:, None] + np.arange(k)].view(np.int64)
+                    rows[:, LONGEST], rows[:, LONGEST + 1] = k, cells[i : i + HELD_NAMES]
+                    held.append(rows)
+                    if sum(map(len, held)) >= HELD_NAMES:
+                        yield named(held)
+                        held = []
+        if held:
+            yield named(held)
 
-    return texts.mapInArrow(name, "lang string, phrase string, level int, cell long").distinct()
+    return parts.select("cells", "at").mapInArrow(name, ", ".join(f"{c} long" for c in [*_KEY, "level", "cell"])).distinct()
 
 
 # -- Automata -------------------------------------------------------------------
 
-_BUILT: dict[str, dict[str, ahocorasick.Automaton]] = {}
+_BUILT: dict[str, "_Automaton"] = {}
+
 
+class _Automaton:
+    """All phrases of a shard (a row of ``LONGEST`` cells each, 0 behind its words), the language being part of a cell.
 
-def _automata(name: str, phrases: list[tuple[str, str]]) -> dict[str, ahocorasick.Automaton]:
-    """An automaton for each language of a shard of phrases; a worker keeps those of one shard."""
+    A word is three letters, of which the first is of an alphabet of its own: it guards the word's border, so that no
+    match begins within a word or ends in one.  Letters are few, so a node's children are found fast.
+    """
+
+    def __init__(self, phrases: np.ndarray):
+        self.words = np.unique(phrases)
+        self.words = self.words[self.words != 0]
+        size = 2
+        while size**3 < len(self.words):
+            size += 1
+        number = np.arange(len(self.words))
+        letters = np.stack([number // size**2, size + number // size % size, size + number % size], 1) + 0x100
+        # The last one stands for words of no phrase and for breaks.
+        self.letters = np.concatenate([letters, np.full((1, 3), ord(" "))]).astype("<u4")
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.phrases = len(phrases)
+        sizes = np.count_nonzero(phrases, axis=1)
+        body = self._written(self._places(phrases.ravel()))
+        for i, n in enumerate(sizes.tolist()):
+            start = 3 * LONGEST * i
+            self.machine.add_word(body[start : start + 3 * n], i)
+        self.machine.make_automaton()
+
+    def _places(self, cells: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, cells), len(self.words) - 1)
+        return np.where(self.words[at] == cells, at, len(self.words))
+
+    def _written(self, places: np.ndarray) -> str:
+        return self.letters[places].tobytes().decode("utf-32-le")
+
+    def counts(self, cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each phrase comes in a part of text: words of ``cells``, where they come."""
+        places = self._places(cells)[at]
+        known = places != len(self.words)
+        places = places[known | np.r_[True, known[:-1]]]
+        return np.bincount(np.fromiter((i for _, i in self.machine.iter(self._written(places))), np.int64), minlength=self.phrases)
+
+
+def _automaton(name: str, phrases: np.ndarray) -> _Automaton:
+    """The automaton of a shard of phrases; a worker keeps that of one shard."""
     if name not in _BUILT:
         _BUILT.clear()
-        made: dict[str, ahocorasick.Automaton] = {}
-        for i, (lang, phrase) in enumerate(phrases):
-            made.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", i)
-        for a in made.values():
-            a.make_automaton()
-        _BUILT[name] = made
+        _BUILT[name] = _Automaton(phrases)
     return _BUILT[name]
 
 
-def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
-    """lang, phrase, n: how often each phrase of a shard (its name and a list of lang and phrase) comes, if ``least`` times.
+def occurrences(parts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
+    """``_KEY``, n: how often each phrase of a shard (its name and rows of cells) comes, if ``least`` times.
 
     A task's counts are arrays over ``BLOCK`` phrases each, in the order of the shard, so no phrase is sent to be summed.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shard.value[1]
-        machines = _automata(*shard.value)
-        total = np.zeros(len(phrases), np.int64)
-        for lang, body in _parts(batches):
-            if lang in machines:
-                text = f" {body.decode()} "
-                total += np.bincount(np.fromiter((i for _, i in machines[lang].iter(text)), np.int64), minlength=len(phrases))
+        machine = _automaton(*shard.value)
+        total = np.zeros(machine.phrases, np.int64)
+        for cells, at in _coded_words(batches):
+            total += machine.counts(cells.view(np.int64), at)
         blocks = range(0, len(total), BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([total[i : i + BLOCK] for i in blocks], pa.list_(pa.int64()))], names=["key", "values"])
 
@@ -262,63 +345,60 @@ def occurrences(texts: DataFrame, shard: Broadcast, least: int) -> DataFrame:
             for key, row in zip(batch.column("key").to_pylist(), batch.column("values")):
                 n = row.values.to_numpy()
                 often = np.flatnonzero(n >= least)
-                own = [phrases[key * BLOCK + i] for i in often.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([x for _, x in own], pa.string()), pa.array(n[often])], names=["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in phrases[key * BLOCK + often].T), pa.array(n[often])], names=[*_KEY, "n"])
 
-    return summed(texts.mapInArrow(count, "key long, values array<long>")).mapInArrow(name, "lang string, phrase string, n long")
+    return summed(parts.select("cells", "at").mapInArrow(count, "key long, values array<long>")).mapInArrow(name, ", ".join(f"{c} long" for c in [*_KEY, "n"]))
 
 
-def _exact(texts: DataFrame, named: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, n: the phrases of ``named`` that come ``least`` times, dealt by hash to as many shards as their bytes need."""
-    total = named.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    shards = -(-total // AUTOMATON_BYTES)
-    counts = named.select("lang", "phrase", F.lit(0).cast("long").alias("n")).where("false")
+def _exact(parts: DataFrame, named: DataFrame, least: int) -> DataFrame:
+    """``_KEY``, n: the phrases of ``named`` that come ``least`` times, dealt by their first two words to as many shards as they need."""
+    shards = -(-named.count() * 8 * LONGEST // AUTOMATON_BYTES)
+    counts = named.select(*_KEY, F.lit(0).cast("long").alias("n")).where("false")
     for s in range(shards):
-        of_shard = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("lang", "phrase")
-        shard = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in of_shard.collect()]))
-        counts = counts.union(write_table(occurrences(texts, shard, least), "phrases"))
-        shard.unpersist()
+        of_shard = named.where(F.pmod(F.xxhash64(*_KEY[:2]), F.lit(shards)) == s).select(*_KEY).toArrow()
+        if of_shard.num_rows:
+            shard = parts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, np.stack([c.to_numpy() for c in of_shard.columns], 1)))
+            counts = counts.union(write_table(occurrences(parts, shard, least), "phrases"))
+            shard.unpersist()
     return counts
 
 
-def phrase_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
+def phrase_counts(parts: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """lang, phrase, n: all sequences of 2 to ``LONGEST`` words that come ``least`` times or more, counted exactly.
 
-    ``words`` are the counts of ``word_counts``.  Each part of text first names a few of its candidates.  A cell whose
-    count exceeds those of the phrases named for it by ``least`` or more may hide another: of such cells every part names
-    all, so nothing is missed.  Driver and tasks hold filters of fixed size and one shard of candidates at a time.
+    ``words`` are those that come as often, as ``word_counts`` gives them, each with a cell that no other word of the texts has.  Each part of text first names a few of its
+    candidates.  A cell whose count exceeds those of the phrases named for it by ``least`` or more may hide another: of
+    such cells every part names all, so nothing is missed.  Driver and tasks hold filters of fixed size and one shard of
+    candidates at a time.
     """
-    spark = texts.sparkSession
+    spark = parts.sparkSession
     send = spark.sparkContext.broadcast
-    frequent = send(cell_filter(words.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("cell"))))
-    parts = write_table(encoded(texts, frequent), "cells")
+    frequent = send(cell_filter(words))
     filters: list[Broadcast] = []
     left = None
-    with set_for(spark, {_ROWS: str(PART_ROWS)}):
-        for level in range(2, LONGEST + 1):
-            often = write_table(level_cells(parts, filters, least), "frequent").withColumn("level", F.lit(level))
-            filters.append(send(cell_filter(often)))
-            left = often if left is None else left.union(often)
-    discard(parts)
+    for level in range(2, LONGEST + 1):
+        often = write_table(level_cells(parts, frequent, filters, least), "frequent").withColumn("level", F.lit(level).cast("long"))
+        filters.append(send(cell_filter(often)))
+        left = often if left is None else left.union(often)
     known, counts = None, None
     for thin in (THIN, 1):
-        wanted = [send(cell_filter(left.where(F.col("level") == level))) for level in range(2, LONGEST + 1)]
-        named = write_table(candidates(texts, frequent, filters, wanted, thin), "candidates")
+        wanted = filters if known is None else [send(cell_filter(left.where(F.col("level") == level))) for level in range(2, LONGEST + 1)]
+        named = write_table(candidates(parts, frequent, filters, wanted, thin), "candidates")
         if known is not None:
-            named = write_table(named.join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "candidates")
-        found = _exact(texts, named, least)
+            named = write_table(named.join(known.select(*_KEY), _KEY, "left_anti"), "candidates")
+        found = _exact(parts, named, least)
         counts = found if counts is None else counts.union(found)
         known = named if known is None else known.union(named)
-        got = named.join(found, ["lang", "phrase"]).groupBy("level", "cell").agg(F.sum("n").alias("_n"))
+        got = named.join(found, _KEY).groupBy("level", "cell").agg(F.sum("n").alias("_n"))
         left = left.join(got, ["level", "cell"], "left").select("level", "cell", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")).where(F.col("n") >= least)
         left = write_table(left, "left")
-        for sent in wanted:
-            sent.unpersist()
         if left.isEmpty():
             break
-    for sent in (frequent, *filters):
+    for sent in {id(x): x for x in (frequent, *filters, *wanted)}.values():
         sent.unpersist()
-    return counts
+    place = counts.select(*_KEY, "n", F.posexplode(F.array(*_KEY)).alias("_place", "cell")).where("cell <> 0")
+    said = place.join(words.select("cell", "lang", "word"), "cell").groupBy(*_KEY, "n").agg(F.max("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("_place", "word"))).alias("_said"))
+    return said.select("lang", F.array_join(F.col("_said.word"), " ").alias("phrase"), "n")
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:
@@ -340,10 +420,21 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     between come no less often than the longer one and no more than the shorter one.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    with set_for(docs.sparkSession, {_ROWS: str(TEXT_ROWS)}):
-        words = write_table(word_counts(texts), "words")
-        phrases = write_table(phrase_counts(texts, words, least), "phrases")
-    known = phrases.union(words.where(F.col("n") >= least))
+    for salt in numbers(FIRST_SALT):
+        with set_for(docs.sparkSession, {_ROWS: str(TEXT_ROWS)}):
+            parts = write_table(coded(texts, salt), "parts", compression="zstd")
+        with set_for(docs.sparkSession, {_ROWS: str(PART_ROWS), _READ: str(PART_ROWS)}):
+            every = write_table(word_counts(parts), "words")
+            if every.groupBy("cell").count().where("count > 1").isEmpty():
+                totals = write_table(every.groupBy(F.col("lang").alias("_of")).agg(F.sum("n").alias("n")), "totals")
+                words = write_table(every.where(F.col("n") >= least), "words")
+                discard(every)
+                phrases = write_table(phrase_counts(parts, words, least), "phrases")
+                break
+        discard(parts)
+        discard(every)
+    discard(parts)
+    known = phrases.union(words.select("lang", "word", "n"))
     said = F.split("phrase", " ")
     piece = lambda start, size: F.array_join(F.slice(said, start, size), " ")
     size = F.size(said)
@@ -355,7 +446,6 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFram
     part = lambda c: known.select(F.col("lang").alias(f"_lang{c}"), F.col("phrase").alias(f"_part{c}"), F.col("n").alias(c))
     cuts = cuts.join(part("l"), (F.col("lang") == F.col("_langl")) & (F.col("_first") == F.col("_partl")))
     cuts = cuts.join(part("r"), (F.col("lang") == F.col("_langr")) & (F.col("_rest") == F.col("_partr")))
-    totals = words.groupBy(F.col("lang").alias("_of")).agg(F.sum("n").alias("n"))
     cuts = cuts.join(totals, F.col("lang") == F.col("_of"))
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("cut"))
     ranked = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"), (-F.col("cut.score")).alias("_s"), (-F.col("a")).alias("_a"))
